@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import packing, token_counts
+from gleaner.llm import fingerprints, packing, sharding, token_counts
 from gleaner.llm.common import documents
 
 
@@ -18,8 +18,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op5_token_counts, op6_sharding, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
