@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import fingerprints, packing, sharding, token_counts
+from gleaner.llm import fingerprints, packing, quality_rules, sharding, token_counts
 from gleaner.llm.common import documents
 
 
@@ -14,6 +15,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = quality_rules.judged(documents(spark, sf_dir), labels, ["doc_id"], "q")
+    return out.select("doc_id", *[f"q.{c}" for c in quality_rules.BASE], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
@@ -27,7 +34,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_token_counts, op6_sharding, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op3_quality_rules, op5_token_counts, op6_sharding, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
