@@ -34,5 +34,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if it has few rows; else as it is, for a shuffled join. df is a written table, so that counting is cheap."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import fingerprints, packing, quality_rules, sharding, token_counts
+from gleaner.llm import fingerprints, mixing, packing, quality_rules, sharding, token_counts
 from gleaner.llm.common import documents
 
 
@@ -15,6 +15,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.taken_words().alias("taken"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality_rules.judged(documents(spark, sf_dir), labels, ["doc_id"], "q")
@@ -34,7 +39,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_quality_rules, op5_token_counts, op6_sharding, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality_rules, op5_token_counts, op6_sharding, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
