@@ -12,12 +12,15 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 
 #: Tokenizers whose normaliser and splitter drop white space.
 DROP_WHITE_SPACE = frozenset({"word_bpe_49k.json"})
 #: Pieces remembered by a Python worker at most, and the longest that is remembered, in bytes.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 1_000_000, 48
+#: Stands between words that are encoded in one go: a character that is one token by itself between spaces. Words that hold it are encoded alone.
+SEPARATOR = " ~ "
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -42,6 +45,8 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self.encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
+            if self.by_word:
+                (self.separator,) = self.encode([SEPARATOR])[0]
 
     def pieces(self, raw: bytes) -> list[bytes]:
         """bytes.split() cuts at ASCII white space only."""
@@ -49,15 +54,41 @@ class Encoder:
 
     def learn(self, pieces: set[bytes]) -> list[bytes]:
         """Encode what isn't known yet; returns the pieces to forget after this batch."""
-        new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        new = pieces.difference(self.known)
+        if len(self.known) + 2 * len(new) > REMEMBERED:
             self.known.clear()
-            new = list(pieces)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, ids in zip(part, self.encode([x.decode("utf-8", "replace") for x in part]), strict=True):
-                self.known[piece] = b"".join(i.to_bytes(4, "little") for i in ids) if self.want_ids else len(ids)
-        return [x for x in new if len(x) > LONGEST]
+            new = pieces
+        if not self.by_word:
+            for piece in new:
+                self.known[piece] = self.value(np.array(self.encode([piece.decode("utf-8", "replace")])[0], "<u4"))
+            return list(new)
+        parts = {x: self.parts(x) for x in new}
+        cores = list({y for x in parts.values() for y in x}.difference(self.known))
+        apart = {x for x in cores if b"<|" in x or b"~" in x}
+        plain = [x for x in cores if x not in apart]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = np.array(self.encode([SEPARATOR.join(x.decode("utf-8", "replace") for x in part)])[0], "<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.separator).tolist(), len(ids)]
+            for piece, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
+                self.known[piece] = self.value(ids[a + 1 : b])
+        for piece in apart:
+            self.known[piece] = self.value(np.array(self.encode([piece.decode("utf-8", "replace")])[0], "<u4"))
+        for piece, (core, *tail) in parts.items():
+            self.known[piece] = self.known[core] + self.known[tail[0]] if tail else self.known[core]
+        return [x for x in {*new, *cores} if len(x) > LONGEST]
+
+    def value(self, ids: np.ndarray) -> bytes | int:
+        return ids.tobytes() if self.want_ids else len(ids)
+
+    @staticmethod
+    def parts(word: bytes) -> tuple[bytes, ...]:
+        """A word without its last punctuation, and that: letters and digits never share a token with it.  ASCII words in lower case."""
+        core = word.rstrip(b".,;:!?|")
+        if not core or b"<" in word or not core[-1:].isalnum():
+            return (word,)
+        low = core.lower() if core.isascii() else core
+        return (low, word[len(core) :]) if len(core) < len(word) else (low,)
 
     def batch(self, raws: list[bytes]) -> Iterator:
         """Per text its number of tokens, or its ids."""
