@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import fingerprints, mixing, packing, quality_rules, sharding, token_counts
+from gleaner.llm import fingerprints, licenses, mixing, packing, quality_rules, sharding, token_counts
 from gleaner.llm.common import documents
 
 
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"q.{c}" for c in quality_rules.BASE], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"), F.col("q_rule").alias("rule"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
@@ -39,7 +43,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality_rules, op5_token_counts, op6_sharding, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality_rules, op4_license_scan, op5_token_counts, op6_sharding, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
