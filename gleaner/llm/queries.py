@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import fingerprints, licenses, mixing, packing, quality_rules, sharding, token_counts
+from gleaner.llm import fingerprints, licenses, mixing, near_duplicates, packing, quality_rules, sharding, token_counts
 from gleaner.llm.common import documents
 
 
@@ -38,12 +38,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir), span=4)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality_rules, op4_license_scan, op5_token_counts, op6_sharding, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality_rules, op4_license_scan, op5_token_counts, op6_sharding, op7_near_duplicates, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
