@@ -34,6 +34,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], base: str) -> str:
+    """base, or the first of base_, base__ and so on of which no taken name is a start, whatever the case."""
+    while any(t.lower().startswith(base.lower()) for t in taken):
+        base += "_"
+    return base
+
+
 def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df to be broadcast if it has few rows; else as it is, for a shuffled join. df is a written table, so that counting is cheap."""
     return F.broadcast(df) if df.count() <= most_rows else df
