@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import fingerprints, licenses, line_dedup, mixing, near_duplicates, packing, quality_rules, sharding, token_counts
+from gleaner.llm import fingerprints, licenses, line_dedup, mixing, near_duplicates, packing, passages, quality_rules, sharding, token_counts
 from gleaner.llm.common import documents
 
 
@@ -43,6 +43,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf_dir), span=4)
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dropped(documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality_rules, op4_license_scan, op5_token_counts, op6_sharding, op7_near_duplicates, op9_line_dedup, op10_fingerprints)}
+    out = {f.__name__: f for f in (op1_packing, op2_mixing, op3_quality_rules, op4_license_scan, op5_token_counts, op6_sharding, op7_near_duplicates, op8_repeated_passages, op9_line_dedup, op10_fingerprints)}
     return out | {"pipeline": corpus_pipeline.run}
 
 
