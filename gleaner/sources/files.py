@@ -21,7 +21,7 @@ def gate(path: Column, length: Column, max_bytes: int = MAX_BYTES) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content, length) of the text files under a folder, or of one file; the size test reaches the listing, so larger files aren't read."""
+    """(path, content, length) of the text files under a folder, or of one file; the size test reaches the listing, so larger files aren't read. Names that begin with a dot or an underscore are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes).where(gate(F.col("path"), F.col("length"), max_bytes))
     if ignore:
         files = files.where(~ignored(relative(F.col("path"), root), ignore))
@@ -34,9 +34,14 @@ def relative(path: Column, root: str) -> Column:
 
 
 def ignore_patterns(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """An ignore file's patterns in order: no blanks, comments, negations or repeats."""
-    rows = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and not startswith(v, '#') and not startswith(v, '!')").collect()  # one short settings file
-    return tuple(dict.fromkeys(r["v"] for r in rows))
+    """An ignore file's patterns in order: no blanks, comments, negations or repeats. Spark's readers pass over files whose name begins with a dot, so its file system is asked."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        lines = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    finally:
+        stream.close()
+    return tuple(dict.fromkeys(x.strip() for x in lines if x.strip() and x.strip()[0] not in "#!"))
 
 
 def ignored(path: Column, patterns: tuple[str, ...]) -> Column:
