@@ -34,13 +34,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each time that a document is taken it is a row, in shuffled order; one that is taken in part has that many of its words."""
-    out = mixing.mix(docs, docs.columns).select("carry.*", F.col("size").alias("_size"), F.explode("takes").alias("_take"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.col("_take.taken") < F.col("_size")
-    text = F.when(part, F.array_join(F.slice(words, 1, F.col("_take.taken").cast("int")), " ")).otherwise(F.col("text"))
-    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text, "n_chars": F.when(part, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    out = out.repartitionByRange("_take.shard", "_take.shuffle_key").sortWithinPartitions("_take.shard", "_take.shuffle_key")
-    return out.select(*[v.alias(k) for k, v in columns.items() if k in docs.columns])
+    size, take = free_name(docs.columns, "mix_size"), free_name(docs.columns, "mix_take")
+    out = mixing.mix(docs, docs.columns).select("carry.*", F.col("size").alias(size), F.explode("takes").alias(take))
+    words, taken = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col(f"{take}.taken")
+    part = taken < F.col(size)
+    text = F.when(part, F.array_join(F.slice(words, 1, taken.cast("int")), " ")).otherwise(F.col("text"))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(part, F.length(text).cast("long")).otherwise(F.col("n_chars"))
+    order = [F.col(f"{take}.shard"), F.col(f"{take}.shuffle_key")]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[v.alias(k) for k, v in columns.items()])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def split_quotas(places: DataFrame, levels: int, seed: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, carry: list[str] = (), size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, levels: int = 4, max_blocks: int = 2048, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """A row for each row of docs: struct `carry` of the named columns, id, size, source_size, target, and `takes`, an array of (pass, shard, taken words, shuffle key)."""
+    """A row for each row of docs: struct `carry` of the named columns, id, source, size, source_size, target, and `takes`, an array of (pass, shard, taken words, shuffle key)."""
     sized = docs.select(
         F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carry"),
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"), _hash(seed, F.col(id_col)).alias("key"),
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, carry: list[str] = (), size: Column | None = None, weig
     rows = base.where(~in_part).withColumn("ahead", F.lit(0).cast("long")).unionByName(base.where(in_part).withColumn("ahead", ahead))  # one block of a source is taken in part
     taken = lambda d: F.when(d["room"] == F.col("words"), F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), d["room"] - F.col("ahead")))).cast("long")
     takes = F.transform("draws", lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), taken(d).alias("taken"), _hash(seed, F.col("id"), d["pass"], d["shard"]).alias("shuffle_key")))
-    return rows.select("carry", "id", "size", "source_size", "target", F.coalesce(F.filter(takes, lambda t: t["taken"] > 0), F.array().cast(TAKES)).alias("takes"))
+    return rows.select("carry", "id", "source", "size", "source_size", "target", F.coalesce(F.filter(takes, lambda t: t["taken"] > 0), F.array().cast(TAKES)).alias("takes"))
 
 
 TAKES = "array<struct<pass:int,shard:int,taken:bigint,shuffle_key:string>>"
