@@ -1,0 +1,375 @@
+"""The training-data operators against brute force, and on odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from gleaner.llm import fingerprints, licenses, line_dedup, mixing, near_duplicates, packing, passages, quality_rules, sharding, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = {i: chr(i + 32) for i in range(65, 91)}
+CLASHING = ("carry", "size", "path", "token", "id", "row", "line", "text_left", "rules", "takes", "_size", "words")
+
+
+def vocabulary(n=400, seed=1):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abdeilnorstuv") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+
+
+def corpus(n=120, seed=3):
+    """Random prose with exact copies, near copies, shared passages and lines."""
+    rng, words = random.Random(seed), vocabulary()
+    prose = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    shared_line, passage = prose(9).capitalize() + ".", prose(70)
+    out = []
+    for k in range(n):
+        lines = [prose(rng.randint(5, 40)) + "." for _ in range(rng.randint(1, 8))]
+        if k % 7 == 0:
+            lines.insert(rng.randint(0, len(lines)), shared_line)
+        if k % 9 == 0:
+            lines[0] += " " + passage + " " + prose(5)
+        text = "\n".join(lines)
+        if k % 11 == 1 and out:
+            text = out[rng.randrange(len(out))]
+        if k % 13 == 2 and out:
+            w = out[rng.randrange(len(out))].split(" ")
+            w[rng.randrange(len(w))] = "changed"
+            text = " ".join(w)
+        out.append(text)
+    return out
+
+
+def table(spark, texts, ids=None, source=lambda k: f"s{k % 3}"):
+    rows = [(k if ids is None else ids[k], t, "en", source(k), len(t or ""), *[f"x{k}"] * len(CLASHING)) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return table(spark, texts).repartition(3).cache()
+
+
+ODD = ["", None, " \n\t ", "one", "a b c d", "\n\nx\n\n", "Ünïcödé 漢字 😀 <|endoftext|> ~ it's 42!!", "the " * 300, "word" * 20_000, "same text here", "same text here", "K cc by Kelvin", "\x00\x1c\x85\xa0"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    ids = [*range(len(ODD) - 3), None, None, 3]
+    return table(spark, ODD, ids, lambda k: None if k % 4 == 0 else f"s{k % 2}")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "pack": lambda d, _: packing.pack(d), "mix": lambda d, _: mixing.mix(d, d.columns), "rules": lambda d, x: quality_rules.judged(d, x, d.columns, "rules_"), "licenses": lambda d, _: licenses.scan(d),
+    "tokens": lambda d, _: token_counts.count_tokens(d), "shard": lambda d, _: sharding.shard(d, 3), "near": lambda d, _: near_duplicates.near_duplicates(d), "passages": lambda d, _: passages.repeated_passages(d),
+    "lines": lambda d, _: line_dedup.without_repeats(d), "fingerprints": lambda d, _: fingerprints.fingerprints(d),
+}
+ONE_EACH = {"mix", "rules", "licenses", "tokens", "shard", "near", "fingerprints"}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_and_empty_tables(spark, odd, labels, name):
+    n = OPERATORS[name](odd, labels).count()
+    assert n == len(ODD) or name not in ONE_EACH
+    assert OPERATORS[name](odd.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def test_token_counts_equal_the_library(docs, odd, texts, tokenizer):
+    for d, plain in ((docs, texts), (odd, ODD)):
+        want = sorted((len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for t in plain)
+        assert sorted((r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(d).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers_take_whole_texts(docs, texts, name):
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, tokenizer=name).collect()}
+    if name.endswith(".json"):
+        want = [len(Tokenizer.from_file(str(public_tokenizers.path(name))).encode(t, add_special_tokens=False).ids) for t in texts]
+    else:
+        import sentencepiece
+
+        want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path(name))).encode(texts)]
+    assert [got[k] for k in range(len(texts))] == want
+
+
+@pytest.mark.parametrize(("window", "most_open"), [(64, 1 << 22), (64, 500), (2048, 1 << 22)])
+def test_packing_is_an_exact_cut(docs, texts, tokenizer, window, most_open):
+    rows = packing.pack(docs, window=window, most_open=most_open).collect()
+    by_doc, by_window = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_window[r.sequence_id].append(r)
+    for k, t in enumerate(texts):
+        ids, at = [*tokenizer.encode(t, add_special_tokens=False).ids, 1], 0
+        for r in sorted(by_doc[k], key=lambda r: r.start):
+            part = b"".join(i.to_bytes(4, "little") for i in ids[r.start : r.start + r.length])
+            assert r.start == at and r.ids_crc32 == zlib.crc32(part) and r.doc_tokens == len(ids)
+            at += r.length
+        assert at == len(ids)
+    fill = []
+    for found in by_window.values():
+        at = 0
+        for r in sorted(found, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        fill.append(at)
+    assert max(fill) <= window and sum(f < window for f in fill) <= docs.rdd.getNumPartitions()
+
+
+def test_level_choice_minimises_the_sum_of_squares():
+    rng, packer = random.Random(5), packing.LevelPacker(32, 1 << 22)
+    for k in range(400):
+        size, counts = rng.randint(1, 31), packer.count.copy()
+
+        def after(h, size=size, counts=counts):
+            c = counts.copy()
+            c[h] -= h > 0
+            c[h + size] += h + size < 32
+            return int((c**2).sum())
+
+        allowed = [h for h in range(33 - size) if h == 0 or counts[h]]
+        assert after(packer.level(size)) == min(map(after, allowed))
+        list(packer.add((k, 0, b"\0\0\0\0" * size, size), size))
+
+
+def fill_targets(size):
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    left, free, out = 1.5 * sum(size.values()), set(size), {}
+    while over := [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * size[s]]:
+        for s in over:
+            out[s] = 2.0 * size[s]
+            left -= out[s]
+            free.discard(s)
+    return out | {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+
+
+@pytest.mark.parametrize("which", ["plain", "hot", "odd"])
+def test_mixing_meets_its_targets(spark, texts, odd, which):
+    d = {"plain": lambda: table(spark, texts), "hot": lambda: table(spark, texts, source=lambda k: "s0" if k % 3 else f"t{k % 5}"), "odd": lambda: odd}[which]()
+    rows = mixing.mix(d).select("id", "source", "size", "source_size", "target", mixing.taken_words().alias("taken")).collect()
+    size, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        size[r.source] += r.size
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    want = fill_targets(size)
+    assert all(abs(r.target - want[r.source]) < 1e-6 and r.source_size == size[r.source] for r in rows)
+    assert all(abs(taken[s] - want[s]) < 1 for s in size)
+    again = mixing.mix(d).select("id", "size", mixing.taken_words().alias("taken")).collect()
+    assert sorted((str(r.id), r.size, r.taken) for r in again) == sorted((str(r.id), r.size, r.taken) for r in rows)
+
+
+def test_mixing_quotas_are_split_evenly(spark, texts):
+    from collections import Counter
+
+    rows = mixing.mix(table(spark, texts), levels=3).selectExpr("explode(takes) t").selectExpr("t.shard", "t.pass", "t.shuffle_key").collect()
+    assert set(r.shard for r in rows) <= set(range(8)) and len({r.shuffle_key for r in rows}) == len(rows)
+    assert max(Counter(r.shard for r in rows).values()) <= 2 * len(rows) / 8
+
+
+def counted(t):
+    w, seen, cover = WORD.findall(t), defaultdict(list), set()
+    for k in range(len(w) - 4):
+        seen[tuple(w[k : k + 5])].append(k)
+    for at in seen.values():
+        if len(at) > 1:
+            cover.update(p for k in at for p in range(k, k + 5))
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
+
+
+def test_statistics_equal_brute_force(spark, texts, odd, labels):
+    more = [*texts[:20], "a b c d e " * 30, "x x x x x x x x", "p q r s t u p q r s t", "l one\nl one\n \n \nl one"]
+    for d, plain in ((table(spark, more), more), (odd, ODD)):
+        rows = quality_rules.judged(d, labels, ["doc_id"], "q").select("q.*", "q_base_failed", "q_kept").collect()
+        assert sorted(tuple(r[c] for c in quality_rules.BASE) for r in rows) == sorted(counted(t or "") for t in plain)
+        for r in rows:
+            assert r.q_base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.q_kept and r.q_base_failed)
+
+
+def test_rules_are_learned_and_hold_out(spark):
+    """Junk in symbols or capitals is told from prose on documents without labels."""
+    rng, words = random.Random(2), vocabulary()
+    rows = []
+    for k in range(600):
+        kind, w = rng.choice(["good", "good", "symbols", "capitals"]), [rng.choice(words) for _ in range(rng.randint(20, 60))]
+        w = [x + rng.choice(["$$$", "***"]) for x in w] if kind == "symbols" else [x.upper() + "!!" for x in w] if kind == "capitals" else w
+        rows.append((k, " ".join(w), kind == "good"))
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(good)) for k, _, good in rows[:300]], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality_rules.judged(d, labels, ["doc_id"], "q").where("q_kept").collect()}
+    held = [(k in kept) == good for k, _, good in rows[300:]]
+    assert sum(held) >= 0.95 * len(held) and sum(k not in kept for k, _, good in rows if good) <= 0.02 * len(rows)
+
+
+def test_licences(spark):
+    plain = [
+        "All rights reserved. all RIGHTS reserved", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "GNU General Public License, version 3", "nothing here",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "by cc by", "the mit of license", "ALL rights reserved cc by", None, "Kcc by",
+    ]
+    rows = {r.doc_id: r for r in licenses.scan(table(spark, plain)).collect()}
+    for k, t in enumerate(plain):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOW))
+        at = [(i, label) for phrase, label, _ in licenses.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        r = rows[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=[None])[0], max(at, default=[None])[0])
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+    assert [rows[k].labels for k in (1, 2, 3, 4, 5, 7)] == ["cc-by,cc-by-nc", "mit", "gpl,gpl-3.0", "", "mit", ""]
+    assert rows[4].score == 0 and rows[2].score == 1 and 0 < rows[5].score <= 1
+
+
+@pytest.mark.parametrize("rows", [0, 1, 5, 120])
+def test_shards_are_exact_and_uniform(spark, texts, rows):
+    got = sharding.shard(table(spark, texts[:rows]), shards=7, block_rows=16).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r.slot)
+        assert r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode())
+    sizes = [len(by[s]) for s in range(7)]
+    assert sum(sizes) == rows and max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_matrix_has_exact_margins():
+    m = sharding.communication_matrix([10, 0, 3, 999], 16)
+    assert m.sum(axis=1).tolist() == [10, 0, 3, 999] and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and m.min() >= 0
+    big = sharding.communication_matrix([3 * 10**9, 10**9], 2)
+    assert big.sum(axis=1).tolist() == [3 * 10**9, 10**9] and big.sum(axis=0).tolist() == [2 * 10**9] * 2
+
+
+def shingle_set(t, span):
+    w = WORD.findall((t or "").translate(LOW))
+    return frozenset(tuple(w[k : k + span]) for k in range(max(1, len(w) - span + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("span", [4, 5])
+def test_components_equal_brute_force(spark, seed, span):
+    plain = corpus(seed=seed)
+    base = corpus(3, seed=9)[2] + " " + " ".join(vocabulary(120, 8))
+    rng = random.Random(seed)
+    for _ in range(150):  # more than a leaf holds, all alike
+        w = base.split(" ")
+        w[rng.randrange(len(w))] = rng.choice(vocabulary())
+        plain.append(" ".join(w))
+    sets, root = [shingle_set(t, span) for t in plain], list(range(len(plain)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(plain)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(table(spark, plain), span=span).collect()}
+    for k in range(len(plain)):
+        assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (len(sets[k]), find(k), find(k) == k)
+
+
+def test_nodes_beyond_a_leaf_are_whole(spark, monkeypatch):
+    """With leaves of 4 and trees of depth 2 the nodes at full depth are large; no link is lost."""
+    monkeypatch.setattr(near_duplicates, "LEAF", 4)
+    test_components_equal_brute_force(spark, 3, 4)
+
+
+def test_passages_are_found_whole(spark, texts):
+    found = defaultdict(list)
+    for r in passages.repeated_passages(table(spark, texts)).collect():
+        found[r.doc_id].append((r.start_word, r.start_word + r.n_words))
+    words, at = [WORD.findall(t.translate(LOW)) for t in texts], defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - 49):
+            at[tuple(w[i : i + 50])].add((k, i))
+    repeated = {p for places in at.values() if len({k for k, _ in places}) > 1 for p in places}
+    # a window that only two documents share may reach a few words beyond the passage that they share with others
+    covered = lambda k, i: max((min(b, i + 50) - max(a, i) for a, b in found[k]), default=0)
+    assert repeated and all(covered(k, i) >= 40 for k, i in repeated) and sum(covered(k, i) == 50 for k, i in repeated) >= 0.99 * len(repeated)
+    near = {k for k, _ in repeated}
+    alike = {k for k in range(len(texts)) if any(j != k and len(shingle_set(texts[j], 5) & shingle_set(texts[k], 5)) >= 30 for j in range(len(texts)))}
+    assert set(found) <= near | alike
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return len(b) - len(a) <= 1 and (a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :])
+
+
+def test_lines_equal_brute_force(spark, texts):
+    rng, plain = random.Random(6), list(texts)
+    for k in range(40):  # lines one edit apart, short and long
+        x = rng.choice(plain[rng.randrange(len(texts))].split("\n")) * rng.choice([1, 1, 12])
+        i, c = rng.randrange(len(x) + 1), rng.choice("qé ")
+        plain.append("\n".join([rng.choice([x[:i] + c + x[i:], x[:i] + x[i + 1 :], x[:i] + c + x[i + 1 :]]), "Short.", f"Shor{k}."]))
+    first, places = {}, []
+    for k, t in enumerate(plain):
+        for i, x in enumerate(t.split("\n")):
+            if WORD.search(x):
+                first.setdefault(x, (k, i))
+                places.append((k, i, x))
+    near = {x: min((first[y] for y in first if y != x and min(len(x), len(y)) >= line_dedup.LEAST and first[y] < first[x] and one_edit(x, y)), default=None) for x in first}
+    want = {(k, i): ((near[x] or first[x]), int(near[x] is not None)) for k, i, x in places if (near[x] or first[x]) != (k, i)}
+    got = {(r.doc_id, r.line_no): ((r.kept_doc_id, r.kept_line_no), r.edits) for r in line_dedup.dropped(table(spark, plain)).collect()}
+    assert got == want and any(v[1] for v in want.values())
+    left = {r.doc_id: r for r in line_dedup.without_repeats(table(spark, plain)).collect()}
+    for k, t in enumerate(plain):
+        kept = "\n".join(x for i, x in enumerate(t.split("\n")) if (k, i) not in want)
+        assert (left[k].text == kept and left[k].n_chars == len(kept)) if WORD.search(kept) else k not in left
+
+
+def test_fingerprints(spark, texts, odd):
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, texts).repartition(5)).collect()}
+    for k, t in enumerate(texts):
+        after, cut = texts[(k + 1) % len(texts)], len(t) // 4
+        changed = (t[: len(t) - cut] + after[:cut]).encode()
+        assert (rows[k].n_chars, rows[k].edited_sha256, rows[k].fingerprint, rows[k].edited_fingerprint) == (len(t), hashlib.sha256(changed).hexdigest(), fingerprints.fingerprint(t.encode()), fingerprints.fingerprint(changed))
+        assert 0 <= rows[k].near_next <= 1 and 0 <= rows[k].near_edited <= 1
+    long = [k for k, t in enumerate(texts) if len(t) > 400]
+    mean = lambda c: sum(rows[k][c] for k in long) / len(long)
+    assert mean("near_edited") > 0.6 and mean("near_next") < 0.2
+    assert len({r.fingerprint for r in fingerprints.fingerprints(odd).collect()}) < len(ODD)
+    only = fingerprints.fingerprints(table(spark, ["only one text"])).first()
+    assert only.near_next == 1.0
+
+
+def test_pipeline_stages(spark, texts, tmp_path):
+    d = str(tmp_path)
+    table(spark, texts).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, d)
+        out.write.parquet(f"{d}/{k}")
+        after = spark.read.parquet(f"{d}/{k}")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert after.columns == now.columns
+            assert name != "quality_rules" or {r.doc_id for r in after.collect()} == {k for k, t in enumerate(texts) if counted(t)[0] >= 10 and 100 * counted(t)[4] <= 20 * counted(t)[0]}
+            now = after
+    tokens = {r.sequence_id: 0 for r in after.collect()}
+    assert tokens and corpus_pipeline.run(spark, d).count() == after.count()
