@@ -24,15 +24,22 @@ def count_flags(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [c.cast("int") for c in conditions], F.lit(0))
 
 
-def matches(content: Column, pattern: str) -> Column:
-    """Every non-overlapping match: array of (line, column, match), lines and columns from 1, in code points.
+def unmarked(content: Column) -> Column:
+    """Text without the characters that mark matches."""
+    return F.translate(F.coalesce(content, F.lit("")), OPEN + CLOSE, "")
+
+
+def marked(clean: Column, pattern: str) -> Column:
+    """unmarked() text with each non-overlapping match between marks."""
+    return F.regexp_replace(clean, F.lit(f"({pattern})"), F.lit(f"{OPEN}$1{CLOSE}"))
+
 
-    One regex pass marks the matches; the marked text is split at the marks.  The
-    text before a match is what the earlier pieces hold, without their marks.
-    Matches of nothing are left out.
+def places(text: Column) -> Column:
+    """Of marked() text every match: array of (line, column, match), lines and columns from 1, in code points.
+
+    The text is split at the marks; the place of a match follows from the lines
+    and characters of the pieces before it.  Matches of nothing are left out.
     """
-    clean = F.translate(F.coalesce(content, F.lit("")), OPEN + CLOSE, "")
-    pieces = F.split(F.regexp_replace(clean, F.lit(f"({pattern})"), F.lit(f"{OPEN}$1{CLOSE}")), OPEN, -1)
     start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("column"), F.array().cast("array<struct<line:int,column:int,match:string>>").alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -45,7 +52,12 @@ def matches(content: Column, pattern: str) -> Column:
         here = F.when(F.contains(piece, F.lit(CLOSE)) & (F.length(match) > 0), F.concat(acc["found"], F.array(this))).otherwise(acc["found"])
         return F.struct((acc["line"] + breaks).alias("line"), column.alias("column"), here.alias("found"))
 
-    return F.aggregate(pieces, start, step)["found"]
+    return F.aggregate(F.split(text, OPEN, -1), start, step)["found"]
+
+
+def matches(content: Column, pattern: str) -> Column:
+    """places() of a pattern's matches in any text."""
+    return places(marked(unmarked(content), pattern))
 
 
 def masked(rule_id: Column, match: Column) -> Column:

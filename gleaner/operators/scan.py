@@ -49,21 +49,25 @@ def flagged(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> Data
 
 
 def located(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> DataFrame:
-    """A row for each match: key, rule, line, column, snippet (masked), line_content."""
-    d = _prepared(docs)
+    """A row for each match: key, rule, line, column, snippet (masked), line_content.
+
+    Rules that match mark the text; marks are turned into places once, after rows are made.
+    """
+    d = _prepared(docs).withColumn("clean", T.unmarked(F.col("content")))
     path = F.col("path") if "path" in docs.columns else None
-    out = None
+    names = ["rule_id", "severity", "description", "recommendation"]
+    parts = []
     for at in range(0, len(rules), CHUNK):
-        structs = [
-            F.when(hit(r, path=path), F.struct(*[F.lit(v).alias(k) for k, v in (("rule_id", r.id), ("severity", r.severity), ("description", r.description), ("recommendation", r.recommendation))], T.matches(F.col("content"), r.pattern).alias("at")))
+        found = [
+            F.when(hit(r, path=path), F.struct(*[F.lit(v).alias(k) for k, v in zip(names, (r.id, r.severity, r.description, r.recommendation), strict=True)], T.marked(F.col("clean"), r.pattern).alias("marked")))
             for r in rules[at : at + CHUNK]
         ]
-        rows = d.select(key, "content", *(["path"] if "path" in docs.columns else []), F.explode(F.array_compact(F.array(*structs))).alias("r"))
-        out = rows if out is None else out.unionByName(rows)
-    rows = out.select("*", F.explode("r.at").alias("m"))
+        parts.append(F.array_compact(F.array(*found)))
+    keep = [key, *(["path"] if "path" in docs.columns else [])]
+    rows = d.select(*keep, "content", F.explode(F.concat(*parts)).alias("r")).select(*keep, "content", *[f"r.{n}" for n in names], F.explode(T.places(F.col("r.marked"))).alias("m"))
     return rows.select(
-        key, *(["path"] if "path" in docs.columns else []), "r.rule_id", "r.severity", "r.description", "r.recommendation", F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"),
-        T.masked(F.col("r.rule_id"), F.col("m.match")).alias("snippet"), T.line_text(F.col("content"), F.col("m.line")).alias("line_content"),
+        *keep, *names, F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"),
+        T.masked(F.col("rule_id"), F.col("m.match")).alias("snippet"), T.line_text(F.col("content"), F.col("m.line")).alias("line_content"),
     )
 
 
