@@ -11,7 +11,8 @@ and, for the rest, joined below.
 
 Candidates are confirmed on whole sets in two steps, so that a large group of
 copies costs links in proportion to its size: first each class's likeliest
-partner, and after that all candidates whose ends aren't connected by then.
+partner; after that, in each leaf, all classes that have a candidate which they
+aren't connected with by then. The pairs of a leaf are never made as rows.
 
 With 16 trees, a pair at the threshold 0.8 that parts in leaves at depth 3 is
 missed with probability (1 - 0.8**3)**16, about 1 in 100,000; at depth 5 with 1
@@ -114,16 +115,17 @@ def _pairs_in_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compared(rows: DataFrame, across: bool, ratio: tuple[int, int]) -> DataFrame:
-    """Candidate pairs (a, b, alike) of rows(path, cid, n, sketch, root).
+    """Of rows(path, cid, n, sketch, root) what sketches leave to be compared.
 
-    In the first step (across false) each class's likeliest earlier partner in its
-    node; in the second all candidates with different roots.  Rows are dealt out
+    In the first step (across false) pairs (a, b, alike): each class's likeliest
+    earlier partner in its node.  In the second the rows (path, cid, root) that
+    have a candidate with another root in their node.  Rows are dealt out
     and sorted by path, so a task holds one stretch of rows at a time, and nodes
     longer than a leaf are cut into blocks.
     """
 
     def candidates(chunk: list[np.ndarray]) -> pa.RecordBatch:
-        path, cid, n, root, sketch = chunk
+        path, node, cid, n, root, sketch = chunk
         a, b = _pairs_in_runs(path)
         keep = ratio[1] * np.minimum(n[a], n[b]) >= ratio[0] * np.maximum(n[a], n[b])
         if across:
@@ -132,7 +134,10 @@ def compared(rows: DataFrame, across: bool, ratio: tuple[int, int]) -> DataFrame
         alike = _agreement(sketch, a, b)
         keep = alike >= ALIKE
         a, b, alike = a[keep], b[keep], alike[keep]
-        if not across and len(b):
+        if across:
+            at = np.unique(np.concatenate([a, b]))
+            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(cid[at]), pa.array(root[at])], ["path", "cid", "root"])
+        if len(b):
             order = np.lexsort((a, -alike, b))
             order = order[np.r_[True, np.diff(b[order]) != 0]]
             a, b, alike = a[order], b[order], alike[order]
@@ -160,15 +165,14 @@ def compared(rows: DataFrame, across: bool, ratio: tuple[int, int]) -> DataFrame
         path = chunk[0]
         start = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
         within = np.arange(len(path)) - np.repeat(start, np.diff(np.r_[start, len(path)]))
-        return [np.cumsum(within % LEAF == 0), *chunk[1:]]
+        return [np.cumsum(within % LEAF == 0), *chunk]
 
     dealt = rows.select("path", "cid", "n", "root", "sketch").repartition("path").sortWithinPartitions("path", "cid")
-    return dealt.mapInArrow(run, "a long, b long, alike int")
+    return dealt.mapInArrow(run, "path long, cid long, root long" if across else "a long, b long, alike int")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, span: int, ratio: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """Those of pairs(a, b) whose whole sets are as alike as asked; sets are made again from the texts of the classes concerned."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
+    """(cid, items) of wanted(cid): whole sets in order, made again from the texts of the classes concerned."""
     wanted = written(wanted.join(classes.select("cid", "rep", "hi", "lo"), "cid"), "wanted")
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +192,77 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, span: int,
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     found = texts.join(small(wanted), "rep").select("cid", "hi", "lo", "text").mapInArrow(whole, "cid long, items array<long>")
     # rows with the same id and text give the same set
-    found = written(found, "sets")
+    return written(found, "sets")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, span: int, ratio: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """Those of pairs(a, b) whose whole sets are as alike as asked."""
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    found = whole_sets(wanted, classes, docs, span, id_col, text_col)
     left, right = (found.select(F.col("cid").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(ratio[1] * shared >= ratio[0] * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b").distinct()
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a node's sets: a product of 0-1 matrices, some columns at a time."""
+    sizes = [len(x) for x in sets]
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for first in range(0, int(column[-1]) + 1, 4096):
+        s = slice(*np.searchsorted(column, [first, first + 4096]))
+        block = np.zeros((len(sets), 4096), np.float32)
+        block[row[s], column[s] - first] = 1
+        out += block @ block.T
+    return out.astype(np.int64)
+
+
+def linked_in_nodes(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Links (a, b) of rows(path, cid, root, items), no more than join a node's components: its classes are compared exhaustively on whole sets."""
+
+    def links(cid: list[int], root: list[int], sets: list[np.ndarray]) -> list[tuple]:
+        out, to = [], {r: r for r in root}
+
+        def top(r: int) -> int:
+            while to[r] != r:
+                r = to[r]
+            return r
+
+        if len(to) > 1:
+            both, n = _shared(sets), np.array([len(x) for x in sets])
+            hit = np.triu(ratio[1] * both >= ratio[0] * (n[:, None] + n[None, :] - both), 1)
+            for x, y in zip(*np.nonzero(hit), strict=True):
+                p, q = top(root[x]), top(root[y])
+                if p != q:
+                    to[max(p, q)] = min(p, q)
+                    out.append((min(cid[x], cid[y]), max(cid[x], cid[y])))
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, out = ([], [], []), None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path = batch.column(0)[k].as_py()
+                if path != last:
+                    out += links(*held)
+                    held, last = ([], [], []), path
+                held[0].append(batch.column(1)[k].as_py())
+                held[1].append(batch.column(2)[k].as_py())
+                held[2].append(batch.column(3)[k].values.to_numpy())
+            yield made(out)
+            out = []
+        yield made(links(*held))
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = rows.select("path", "cid", "root", "items").repartition("path").sortWithinPartitions("path", "cid")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept for each row; linked are sets with ratio[1] * |both| >= ratio[0] * |either|."""
     rows = written(sets(docs, span, id_col, text_col), "rows")
@@ -211,11 +280,14 @@ def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80
     open_ends = sketched.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
     mixed = open_ends.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path")
     open_ends = written(open_ends.join(mixed, "path"), "open")
-    second = compared(open_ends.where("not big"), True, ratio).select("a", "b").unionByName(_rest(open_ends.where("big"), ratio))
-    second = written(second.distinct().join(likeliest.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        links = links.unionByName(confirmed(second, classes, docs, span, ratio, id_col, text_col))
-        roots = written(components(links), "roots")
+    # in leaves, the classes that have a candidate across components are compared on whole sets where they stand
+    across = written(compared(open_ends.where("not big"), True, ratio), "across")
+    found = whole_sets(across.select("cid").distinct(), classes, docs, span, id_col, text_col)
+    more = linked_in_nodes(across.join(found, "cid"), ratio)
+    rest = written(_rest(open_ends.where("big"), ratio).distinct(), "pairs")
+    if not rest.isEmpty():
+        more = more.unionByName(confirmed(rest, classes, docs, span, ratio, id_col, text_col))
+    roots = written(components(links.unionByName(more)), "roots")
 
     named = classes.select("cid", "rep", "hi", "lo").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))

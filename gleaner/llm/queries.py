@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import fingerprints, licenses, line_dedup, mixing, near_duplicates, packing, passages, quality_rules, sharding, token_counts
+from gleaner.llm import fingerprints, licenses, line_dedup, mixing, near_duplicates, packing, passages, quality_rules, sharding, sql, token_counts
 from gleaner.llm.common import documents
 
 
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": sql.MIXING, "op9_line_dedup": sql.LINES}
