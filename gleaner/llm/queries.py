@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": sql.MIXING, "op9_line_dedup": sql.LINES}
+    return {"op2_mixing": sql.MIXING, "op4_license_scan": sql.licences(), "op9_line_dedup": sql.LINES}

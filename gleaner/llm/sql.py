@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gleaner.llm import licenses
+
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 MIXING = f"""
@@ -32,3 +34,27 @@ SELECT doc_id, CAST(line_no AS INT) AS line_no, k.d AS kept_doc_id, CAST(k.n AS
   SELECT doc_id, line_no, coalesce(earlier, pos) AS k, CASE WHEN earlier IS NULL THEN 0 ELSE 1 END AS edits FROM worded JOIN classes USING (line) LEFT JOIN near ON x = line)
 WHERE NOT (doc_id IS NOT DISTINCT FROM k.d AND line_no = k.n)
 """
+
+
+def _stands(words: list[str], at: str) -> str:
+    return " AND ".join(f"w[{at} + {k}] = '{x}'" for k, x in enumerate(words))
+
+
+def licences() -> str:
+    """A template's label holds where its key phrase stands; the score is the largest share of its words at their places there."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    base = [(f"list_filter(range(1, len(w) + 1), lambda i: {_stands(phrase.split(), 'i')})", label) for phrase, label, _ in licenses.BASE]
+    found = []
+    for t in licenses.TEMPLATES:
+        share = " + ".join(f"CASE WHEN i - {t.key_at} + {k} > 0 AND w[i - {t.key_at} + {k}] = '{x}' THEN 1 ELSE 0 END" for k, x in enumerate(t.words))
+        found.append(f"SELECT r, '{t.label}' AS label, max(({share}) / {len(t.words)}.0) AS share FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM texts WHERE list_contains(w, '{t.key.split()[0]}')) WHERE {_stands(t.key.split(), 'i')} GROUP BY r")
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+based AS (SELECT r, {', '.join(f'{p} AS s{k}' for k, (p, _) in enumerate(base))} FROM texts),
+more AS ({' UNION ALL '.join(found)}),
+labelled AS (SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM more GROUP BY r),
+joined AS (SELECT doc_id, len(w) AS n_words, list_concat({', '.join(f's{k}' for k in range(len(base)))}) AS s, list_filter([{', '.join(f"CASE WHEN len(s{k}) > 0 THEN '{x}' END" for k, (_, x) in enumerate(base))}], lambda x: x IS NOT NULL) AS b, more, share
+  FROM texts JOIN based USING (r) LEFT JOIN labelled USING (r))
+SELECT doc_id, n_words, len(s) AS n_base, list_min(s) - 1 AS first_word, list_max(s) - 1 AS last_word, array_to_string(list_sort(b), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(b, coalesce(more, [])))), ',') AS labels, CASE WHEN len(s) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score FROM joined
+"""
