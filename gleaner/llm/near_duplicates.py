@@ -6,8 +6,10 @@ node's path is the tokens chosen on the way to it, and two sets stay together
 with the probability that equals their similarity at each level.  A node with
 few classes is a leaf and its classes are compared exhaustively, by sketches of
 one byte for each token; a larger one branches again.  Nodes that are still
-large at full depth hold sets that are much alike: they are compared in blocks
-and, for the rest, joined below.
+large at full depth hold sets that are much alike: they are dealt into blocks of
+a leaf's size at random, in each tree and once more for what is still apart, so
+that nearly all of a group is linked in time proportional to its size.  Only
+what then stands outside a node's largest component is joined to all of the node.
 
 Candidates are confirmed on whole sets in two steps, so that a large group of
 copies costs links in proportion to its size: first each class's likeliest
@@ -73,7 +75,7 @@ def sets(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def leaves(classes: DataFrame) -> DataFrame:
-    """(path, cid, big): the nodes in which trees end, of two classes or more; big ones are large at full depth."""
+    """(path, cid, count, big): the nodes in which trees end, of `count` classes, two or more; big ones are large at full depth."""
     tokens = classes.select("cid", "tokens")
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("tokens", t * DEPTH)).alias("path")))
     rows = tokens.select("cid", F.explode(roots).alias("r")).select("cid", "r.*")
@@ -83,9 +85,9 @@ def leaves(classes: DataFrame) -> DataFrame:
         live = written(rows.join(counts, "path"), "nodes")
         large = live.where(F.col("count") > LEAF)
         if level == DEPTH:
-            ends.append(live.select("path", "cid", (F.col("count") > LEAF).alias("big")))
+            ends.append(live.select("path", "cid", "count", (F.col("count") > LEAF).alias("big")))
             break
-        ends.append(live.where(F.col("count") <= LEAF).select("path", "cid", F.lit(False).alias("big")))
+        ends.append(live.where(F.col("count") <= LEAF).select("path", "cid", "count", F.lit(False).alias("big")))
         if large.isEmpty():
             break
         rows = large.join(tokens, "cid").select("cid", "tree", F.xxhash64("path", F.get("tokens", F.col("tree") * DEPTH + level)).alias("path"))
@@ -114,12 +116,18 @@ def _pairs_in_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+def in_blocks(rows: DataFrame, turn: int) -> DataFrame:
+    """rows with big nodes dealt into blocks of about a leaf's size, by a hash of class, node and turn, as nodes of their own."""
+    block = F.pmod(F.xxhash64("cid", "path", F.lit(turn)), F.ceil(F.col("count") / LEAF))
+    return rows.withColumn("path", F.when(F.col("big"), F.xxhash64("path", block, F.lit(turn))).otherwise(F.col("path")))
+
+
 def compared(rows: DataFrame, across: bool, ratio: tuple[int, int]) -> DataFrame:
-    """Of rows(path, cid, n, sketch, root) what sketches leave to be compared.
+    """Of rows(path, cid, n, sketch, root) what sketches leave to be compared: classes with different roots in one node.
 
     In the first step (across false) pairs (a, b, alike): each class's likeliest
     earlier partner in its node.  In the second the rows (path, cid, root) that
-    have a candidate with another root in their node.  Rows are dealt out
+    have a candidate in their node.  Rows are dealt out
     and sorted by path, so a task holds one stretch of rows at a time, and nodes
     longer than a leaf are cut into blocks.
     """
@@ -128,8 +136,7 @@ def compared(rows: DataFrame, across: bool, ratio: tuple[int, int]) -> DataFrame
         path, node, cid, n, root, sketch = chunk
         a, b = _pairs_in_runs(path)
         keep = ratio[1] * np.minimum(n[a], n[b]) >= ratio[0] * np.maximum(n[a], n[b])
-        if across:
-            keep &= root[a] != root[b]
+        keep &= root[a] != root[b]
         a, b = a[keep], b[keep]
         alike = _agreement(sketch, a, b)
         keep = alike >= ALIKE
@@ -272,14 +279,23 @@ def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80
     ends = written(leaves(classes), "leaves")
     sketched = ends.join(classes.select("cid", "n", "sketch"), "cid")
 
-    first = compared(sketched.withColumn("root", F.col("cid")), False, ratio)
-    likeliest = first.groupBy("b").agg(F.max(F.struct("alike", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-    links = written(confirmed(written(likeliest, "pairs"), classes, docs, span, ratio, id_col, text_col), "links")
-    roots = written(components(links), "roots")
-
-    open_ends = sketched.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
-    mixed = open_ends.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path")
-    open_ends = written(open_ends.join(mixed, "path"), "open")
+    def likely_links(rows: DataFrame) -> DataFrame:
+        """Confirmed links (a, b) of each class's likeliest partner."""
+        likeliest = compared(rows, False, ratio).groupBy("b").agg(F.max(F.struct("alike", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
+        return confirmed(written(likeliest, "pairs"), classes, docs, span, ratio, id_col, text_col)
+
+    def apart(roots: DataFrame) -> DataFrame:
+        """Rows of nodes that hold more than one component."""
+        rows = sketched.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
+        mixed = rows.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path")
+        return written(rows.join(mixed, "path"), "open")
+
+    links = written(likely_links(in_blocks(sketched.withColumn("root", F.col("cid")), 0)), "links")
+    open_ends = apart(written(components(links), "roots"))
+    big = open_ends.where("big")
+    if not big.isEmpty():
+        links = written(links.unionByName(likely_links(in_blocks(big, 1))), "links")
+        open_ends = apart(written(components(links), "roots"))
     # in leaves, the classes that have a candidate across components are compared on whole sets where they stand
     across = written(compared(open_ends.where("not big"), True, ratio), "across")
     found = whole_sets(across.select("cid").distinct(), classes, docs, span, id_col, text_col)
