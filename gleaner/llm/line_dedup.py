@@ -16,9 +16,11 @@ such group only the earliest matters, so groups are reduced by minimum and no
 pairs of a group are made.  The pair that decides is verified by edit distance.
 
 Cases: lines without a word are never dropped and match nothing; a null or empty
-text has no lines; a null id comes first; repeated rows of one id stand at the
-same place and share each decision; an empty table gives no rows; other columns
-are not read.
+text has no lines; a null id comes first; an empty table gives no rows.  In
+`dropped` a place is an id and a line number, rows of one id are one document,
+and other columns are not read.  `without_repeats` tells rows apart: by id and
+text, so that only equal rows of one id share each decision, and where the id is
+null by all columns, so that each such row is a document of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WORD, small, written
+from gleaner.llm.common import WORD, free_name, small, written
 
 LEAST, SEGMENT = 20, 32
 
@@ -55,8 +57,13 @@ def _seen_as(n: Column, least: int) -> Column:
 
 def dropped(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each dropped line: id_col, line_no, kept_doc_id and kept_line_no of the line it repeats, and the edits between them."""
+    return _dropped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), least).withColumnRenamed("doc_id", id_col)
+
+
+def _dropped(docs: DataFrame, least: int) -> DataFrame:
+    """`dropped` for docs(doc_id, text), where doc_id is anything that can be ordered."""
     line, n, two = F.col("line"), F.col("n"), F.lit(2)
-    every = lines(docs, id_col, text_col).withColumn("n", F.length("line"))
+    every = lines(docs, "doc_id", "text").withColumn("n", F.length("line"))
     halves = F.flatten(F.transform(_seen_as(n, least), lambda m: F.array(*[_surroundings(line, n, m, two, F.lit(j)) for j in (0, 1)])))
     every = written(every.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), halves.alias("halves")), "lines")
     grouped = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("halves").alias("halves"))
@@ -67,9 +74,8 @@ def dropped(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_co
     active = keys.join(shared, "key").select("cid").distinct()
     active = written(classes.select("cid", "at", "h1").join(active, "cid"), "active")
     # the text of each such line, from its document
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     wanted = active.select("cid", "h1", F.col("at.line_no").alias("line_no"), F.col("at.doc_id").alias("first_id"))
-    found = texts.join(small(wanted, 400_000), F.col("doc_id").eqNullSafe(F.col("first_id")))
+    found = docs.join(small(wanted, 400_000), F.col("doc_id").eqNullSafe(F.col("first_id")))
     found = found.select("cid", "h1", F.get(F.split("text", "\n", -1), F.col("line_no")).alias("line")).where(F.xxhash64("line") == F.col("h1"))
     found = written(found.groupBy("cid").agg(F.first("line").alias("line")).withColumn("n", F.length("line")), "line-texts")
 
@@ -103,14 +109,27 @@ def dropped(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_co
     kept = F.coalesce("earlier", "at")
     mine = F.struct("doc_id", "line_no")
     return out.where(~mine.eqNullSafe(kept)).select(
-        F.col("doc_id").alias(id_col), "line_no", kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"), F.when(F.col("earlier").isNull(), 0).otherwise(1).alias("edits")
+        "doc_id", "line_no", kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"), F.when(F.col("earlier").isNull(), 0).otherwise(1).alias("edits")
     )
 
 
+def _own(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells a row of docs from the others, ordered by id."""
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias(free_name(docs.columns, "own"))))
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col, F.when(F.col(id_col).isNull(), rest)).alias("key"))
+
+
 def without_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, their texts without dropped lines; rows of which no line with a word is left go, rows that had none stay."""
-    gone = written(dropped(docs, least, id_col, text_col), "dropped").groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left")
+    # of null-id rows that are equal in all columns the first keeps its lines and the others lose all with a word
+    alike, own = F.col(id_col).isNull() & F.coalesce(F.col(text_col).rlike(WORD), F.lit(False)), free_name(docs.columns, "own")
+    every = docs.withColumn(own, _own(docs, id_col, text_col))
+    once = every.where(alike).groupBy(own).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*", own)
+    every = every.where(~alike).unionByName(once)
+    # the lines of equal rows are equal, so those of all rows may be compared
+    compared = docs.select(_own(docs, id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = written(_dropped(compared, least), "dropped").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
+    joined = every.join(gone, every[own].eqNullSafe(gone["gone_id"]), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
     text = F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(kept)
     joined = joined.withColumn("text_left", text).where(F.col("gone_lines").isNull() | F.col("text_left").rlike(WORD))

@@ -342,6 +342,17 @@ def test_lines_equal_brute_force(spark, texts):
         assert (left[k].text == kept and left[k].n_chars == len(kept)) if WORD.search(kept) else k not in left
 
 
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    texts = ["aa\nbb", "cc\naa", "dd\nee", "dd\nee", "ff\ngg", "hh\nff", "ii\njj", "ii\njj", "", "", "kk\nll", "kk\nll\nmm"]
+    ids = [None, None, None, None, 7, 7, 8, 8, None, None, None, 9]
+    left = [(r.doc_id, r.text) for r in line_dedup.without_repeats(table(spark, texts, ids)).collect()]
+    lines_left = lambda i: sorted(x for d, t in left if d == i for x in t.split("\n"))
+    # of rows that differ each line stays once, equal rows of an id share each decision, and rows without a word stay
+    assert lines_left(None) == ["", "", *"aa bb cc dd ee kk ll".split()] and lines_left(7) == ["ff", "gg", "hh"] and lines_left(8) == ["ii", "ii", "jj", "jj"] and lines_left(9) == ["mm"]
+    same = spark.createDataFrame([(None, "x y\nz"), (None, "x y\nz"), (None, " "), (None, " ")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.without_repeats(same).collect()) == [" ", " ", "x y\nz"]
+
+
 def test_fingerprints(spark, texts, odd):
     rows = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, texts).repartition(5)).collect()}
     for k, t in enumerate(texts):
