@@ -313,6 +313,25 @@ def test_passages_are_found_whole(spark, texts):
     assert set(found) <= near | alike
 
 
+def test_passages_of_common_lines_are_found(spark):
+    rng, words = random.Random(8), iter(f"w{k}" for k in range(10**6))
+    some = lambda n: [next(words) for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        lines = [some(20) for _ in range(3)]
+        passage = [x for line in lines for x in line]
+        # many documents hold one line of the passage, before and after the two that hold all of it, one of these after a part of it
+        held = [some(40) + rng.choice(lines) + some(40) for _ in range(60)]
+        held[20:20] = [some(30) + passage + some(30), some(20) + passage[:30] + some(40) + passage + some(20)]
+        texts.append(held)
+    flat, want = [], []
+    for held in texts:
+        want += [(len(flat) + 20, 30), (len(flat) + 21, 90)]
+        flat += [" ".join(x) for x in held]
+    got = {(r.doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(table(spark, flat)).collect()}
+    assert got == {(doc, at, 60) for doc, at in want}
+
+
 def one_edit(a, b):
     if len(a) > len(b):
         a, b = b, a
