@@ -298,7 +298,7 @@ def injection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def injection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(spark, sf_dir).select("doc_id", firewall.injection_score(F.col("content")).alias("score"), firewall.base64_runs(F.col("content")).alias("encoded"))
+    return vet_inputs(spark, sf_dir).select("doc_id", firewall.injection_score(F.col("content")).alias("score"), firewall.base64_runs(F.col("content")).alias("encoded"))
 
 
 _FIRST = " UNION ALL ".join(f"SELECT doc_id, '{p.id}' AS id, CAST(strpos(content, regexp_extract(content, {literal(p.regex)})) - 1 AS BIGINT) AS \"offset\" FROM short WHERE regexp_matches(content, {literal(p.regex)})" for p in firewall.RESPONSE)
