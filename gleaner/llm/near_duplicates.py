@@ -8,8 +8,11 @@ few classes is a leaf and its classes are compared exhaustively, by sketches of
 one byte for each token; a larger one branches again.  Nodes that are still
 large at full depth hold sets that are much alike: they are dealt into blocks of
 a leaf's size at random, in each tree and once more for what is still apart, so
-that nearly all of a group is linked in time proportional to its size.  Only
-what then stands outside a node's largest component is joined to all of the node.
+that nearly all of a group is linked in time proportional to its size.  Large
+nodes of all trees that have one largest component in common are then one group.
+What stands outside that component is compared with all of the group in tiles: a
+tile holds a part of the one and a part of the other, its sets are compared
+inside the task, and out come no more links than join its components.
 
 Candidates are confirmed on whole sets in two steps, so that a large group of
 copies costs links in proportion to its size: first each class's likeliest
@@ -18,10 +21,13 @@ aren't connected with by then. The pairs of a leaf are never made as rows.
 
 With 16 trees, a pair at the threshold 0.8 that parts in leaves at depth 3 is
 missed with probability (1 - 0.8**3)**16, about 1 in 100,000; at depth 5 with 1
-in 600.  Sketches of 128 bytes drop a pair at the threshold with a probability
-below 1 in 100,000 (they must agree in 82 places).
+in 600; at depth 8 with 1 in 20.  A pair in a group of large nodes is not missed
+once each of the two is in such a node of any tree.  Sketches of 128 bytes drop a
+pair at the threshold with a probability below 1 in 100,000 (they must agree in
+82 places).
 
-Cases: a null or empty text or one without words has an empty set, is its own
+Cases: ids are whole numbers (others are cast, and null where that fails); a
+null or empty text or one without words has an empty set, is its own
 component and is kept; a row with a null id is linked with nothing and kept,
 with a null component; repeated rows have one component; an empty table gives
 no rows; other columns are not read.
@@ -30,11 +36,11 @@ no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import shingles
@@ -45,6 +51,8 @@ from gleaner.llm.tokenization import arrow_rows
 TREES, DEPTH, LEAF = 16, 8, 100
 #: Of the sketch's bytes, how many must agree: 4.5 standard deviations below the threshold.
 ALIKE = 82
+#: Sets in each side of a tile, and shingles in them all together, on average at most.
+TILE, TILE_ITEMS = 256, 500_000
 
 
 def sets(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
@@ -212,14 +220,16 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, span: int,
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of a node's sets: a product of 0-1 matrices, some columns at a time."""
-    sizes = [len(x) for x in sets]
-    column = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
-    row = np.repeat(np.arange(len(sets)), sizes)
+    """Sizes of all intersections of a node's sets: a product of 0-1 matrices, some columns at a time, of the items that two sets or more hold."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(held > 1) - 1
+    column = column.reshape(-1)
+    row, column = row[held[column] > 1], number[column[held[column] > 1]]
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
     out = np.zeros((len(sets), len(sets)), np.float64)
-    for first in range(0, int(column[-1]) + 1, 4096):
+    for first in range(0, int(number[-1]) + 1, 4096):
         s = slice(*np.searchsorted(column, [first, first + 4096]))
         block = np.zeros((len(sets), 4096), np.float32)
         block[row[s], column[s] - first] = 1
@@ -239,8 +249,8 @@ def linked_in_nodes(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
             return r
 
         if len(to) > 1:
-            both, n = _shared(sets), np.array([len(x) for x in sets])
-            hit = np.triu(ratio[1] * both >= ratio[0] * (n[:, None] + n[None, :] - both), 1)
+            both, n, of = _shared(sets), np.array([len(x) for x in sets]), np.array(root)
+            hit = np.triu((ratio[1] * both >= ratio[0] * (n[:, None] + n[None, :] - both)) & (of[:, None] != of[None, :]), 1)
             for x, y in zip(*np.nonzero(hit), strict=True):
                 p, q = top(root[x]), top(root[y])
                 if p != q:
@@ -270,6 +280,21 @@ def linked_in_nodes(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def in_tiles(rows: DataFrame) -> DataFrame:
+    """(path, cid, root): tiles in which all that stands outside the largest component of a group of large nodes meets all of the group."""
+    sizes = rows.groupBy("path", "root").count()
+    main = sizes.groupBy("path").agg(F.max(F.struct("count", "root")).alias("x")).select("path", F.col("x.root").alias("main"))
+    group = written(rows.join(main, "path").select("main", "cid", "root", "n").distinct(), "groups")
+    outside = F.col("root") != F.col("main")
+    parts = lambda where: F.ceil(F.greatest(F.count(F.when(where, 1)) / TILE, F.sum(F.when(where, F.col("n"))) / TILE_ITEMS)).cast("int")
+    dealt = group.groupBy("main").agg(parts(F.lit(True)).alias("parts"), parts(outside).alias("parts_out")).where("parts_out > 0")
+    group = group.join(small(dealt), "main")
+    own = lambda k: F.pmod(F.xxhash64("cid", "main"), F.col(k)).cast("int")
+    every = group.select("main", "cid", "root", own("parts").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts_out") - 1)).alias("y"))
+    apart = group.where(outside).select("main", "cid", "root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("x"), own("parts_out").alias("y"))
+    return every.unionByName(apart).select(F.xxhash64("main", "x", "y").alias("path"), "cid", "root").distinct()
+
+
 def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept for each row; linked are sets with ratio[1] * |both| >= ratio[0] * |either|."""
     rows = written(sets(docs, span, id_col, text_col), "rows")
@@ -300,9 +325,10 @@ def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80
     across = written(compared(open_ends.where("not big"), True, ratio), "across")
     found = whole_sets(across.select("cid").distinct(), classes, docs, span, id_col, text_col)
     more = linked_in_nodes(across.join(found, "cid"), ratio)
-    rest = written(_rest(open_ends.where("big"), ratio).distinct(), "pairs")
-    if not rest.isEmpty():
-        more = more.unionByName(confirmed(rest, classes, docs, span, ratio, id_col, text_col))
+    big = open_ends.where("big")
+    if not big.isEmpty():
+        tiles = written(in_tiles(big), "tiles")
+        more = more.unionByName(linked_in_nodes(tiles.join(whole_sets(tiles.select("cid").distinct(), classes, docs, span, id_col, text_col), "cid"), ratio))
     roots = written(components(links.unionByName(more)), "roots")
 
     named = classes.select("cid", "rep", "hi", "lo").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
@@ -311,23 +337,3 @@ def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80
     linked = with_set.select("id", "n", "hi", "lo").join(named, ["hi", "lo"]).select("id", "n", "component_id")
     alone = rows.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _rest(rows: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """Candidates with different roots in nodes that are large at full depth: every row outside a node's largest component against the others."""
-    sizes = rows.groupBy("path", "root").count()
-    main = sizes.groupBy("path").agg(F.max(F.struct("count", "root")).alias("x")).select("path", F.col("x.root").alias("main"))
-    rows = rows.select("path", "cid", "n", "root", "sketch")
-    other = rows.join(main, "path").where("root <> main").drop("main").select("path", *[F.col(c).alias(f"{c}_b") for c in ("cid", "n", "root", "sketch")])
-    alike_n: Callable[[str, str], Column] = lambda x, y: ratio[1] * F.least(x, y) >= ratio[0] * F.greatest(x, y)
-    pairs = rows.join(other, "path").where((F.col("root") != F.col("root_b")) & alike_n("n", "n_b")).select("cid", "cid_b", "sketch", "sketch_b")
-
-    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cid, other = (np.asarray(batch.column(k)) for k in (0, 1))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, TREES * DEPTH) for k in (2, 3))
-            keep = (x == y).sum(axis=1) >= ALIKE
-            a, b = cid[keep], other[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return pairs.mapInArrow(near, "a long, b long")
