@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import tokenization
+from gleaner.llm.common import known_to_workers
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -99,6 +100,7 @@ class LevelPacker:
 
 def pack(docs: DataFrame, window: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, most_open: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of a document: where it starts in the document's ids, its length and CRC-32, and its window and offset there."""
+    known_to_workers(docs.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import tokenization
+from gleaner.llm.common import known_to_workers
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,6 +26,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = 2048,
     many rows that is; see tokenization for how long texts are cut.
     """
 
+    known_to_workers(docs.sparkSession)
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenization.encoder(tokenizer)
         for rows in tokenization.by_bytes(tokenization.arrow_rows(batches), batch_bytes):
