@@ -1,9 +1,11 @@
 """Line dedup by a join of deletion neighbourhoods, keeping the earliest line.
 
 A line is dropped if an equal line stands earlier (by document id, then line
-number), or, if the shorter of two has at least `least` characters, one within
-one edit (a character put in, left out or changed).  Equal lines meet by hash.
-For the rest each distinct line takes part once, by its first place.
+number), or a line within the edit bound that is kept.  The bound is one edit (a
+character put in, left out or changed) if the shorter of two lines has at least
+`least` characters, that is about 1 in 20; in a shorter line one character
+makes another word, so the bound is none.  Equal lines meet by hash.  For the
+rest each distinct line takes part once, by its first place.
 
 One edit leaves a line equal before and after one segment of it.  So lines that
 share no half with another are out at once, and those left are cut into short
@@ -13,7 +15,10 @@ segment with one character left out, at each place, and the segment itself.
 Lines that meet at a place left out differ in that character; a line that
 meets another one's segment with a character left out has one more.  In each
 such group only the earliest matters, so groups are reduced by minimum and no
-pairs of a group are made.  The pair that decides is verified by edit distance.
+pairs of a group are made.  A line that isn't kept drops no other: in rounds, a
+line is kept once all earlier ones within the bound are dropped, and dropped once
+one of them is kept.  The pair that decides, of a line and the earliest kept one
+that it meets, is verified by edit distance.
 
 Cases: lines without a word are never dropped and match nothing; a null or empty
 text has no lines; a null id comes first; an empty table gives no rows.  In
@@ -75,7 +80,7 @@ def _dropped(docs: DataFrame, least: int) -> DataFrame:
     active = written(classes.select("cid", "at", "h1").join(active, "cid"), "active")
     # the text of each such line, from its document
     wanted = active.select("cid", "h1", F.col("at.line_no").alias("line_no"), F.col("at.doc_id").alias("first_id"))
-    found = docs.join(small(wanted, 400_000), F.col("doc_id").eqNullSafe(F.col("first_id")))
+    found = docs.join(small(written(wanted, "wanted-lines")), F.col("doc_id").eqNullSafe(F.col("first_id")))
     found = found.select("cid", "h1", F.get(F.split("text", "\n", -1), F.col("line_no")).alias("line")).where(F.xxhash64("line") == F.col("h1"))
     found = written(found.groupBy("cid").agg(F.first("line").alias("line")).withColumn("n", F.length("line")), "line-texts")
 
@@ -96,13 +101,11 @@ def _dropped(docs: DataFrame, least: int) -> DataFrame:
     )).otherwise(F.transform(places, lambda i: one(F.xxhash64(F.lit("more"), "key", without(i)), "more")))
     emitted = met.select("cid", F.explode(variants).alias("v")).select("cid", "v.*").distinct().join(active.select("cid", "at"), "cid")
     emitted = written(emitted, "variants")
-    first = lambda role: F.min(F.when(F.col("role") == role, F.col("at"))).alias(role)
-    groups = emitted.groupBy("variant").agg(F.count("*").alias("count"), *[first(r) for r in ("changed", "less", "more")]).where("count > 1")
-    earlier = F.when(F.col("role") == "more", F.col("less")).when(F.col("role") == "less", F.col("more")).otherwise(F.col("changed"))
-    near = emitted.join(groups, "variant").select("cid", "at", earlier.alias("earlier")).where("earlier < at").groupBy("cid").agg(F.min("earlier").alias("earlier"))
+    shared = emitted.groupBy("variant").agg(F.count("*").alias("count")).where("count > 1").select("variant")
+    near = _nearest_kept(written(emitted.join(shared, "variant"), "meetings"))
     # verified on the lines themselves
     by_place = found.join(active.select("cid", "at"), "cid").select("at", F.col("line").alias("other"))
-    near = near.join(found, "cid").join(by_place, F.col("earlier").eqNullSafe(F.col("at"))).where(F.levenshtein("line", "other", 1).between(0, 1)).select("cid", "earlier")
+    near = near.select("cid", "earlier").join(found, "cid").join(by_place, F.col("earlier").eqNullSafe(F.col("at"))).where(F.levenshtein("line", "other", 1).between(0, 1)).select("cid", "earlier")
 
     decided = classes.select("h1", "h2", "cid", "at").join(near, "cid", "left").drop("cid")
     out = every.select("doc_id", "line_no", "h1", "h2").join(decided, ["h1", "h2"])
@@ -113,6 +116,31 @@ def _dropped(docs: DataFrame, least: int) -> DataFrame:
     )
 
 
+def _nearest_kept(met: DataFrame) -> DataFrame:
+    """(cid, at, earlier) of dropped lines: of met(variant, cid, role, at), the earliest kept line that each one meets before itself."""
+
+    def before(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        """(cid, name): the earliest line of `of` that each line of rows meets and that stands before it."""
+        first = lambda role: F.min(F.when(F.col("role") == role, F.col("at"))).alias(role)
+        groups = of.groupBy("variant").agg(*[first(r) for r in ("changed", "less", "more")])
+        other = F.when(F.col("role") == "more", F.col("less")).when(F.col("role") == "less", F.col("more")).otherwise(F.col("changed"))
+        return rows.join(groups, "variant").select("cid", "at", other.alias(name)).where(F.col(name) < F.col("at")).groupBy("cid", "at").agg(F.min(name).alias(name))
+
+    open_rows, kept, gone = met, None, None
+    while not open_rows.isEmpty():
+        waits = before(open_rows, open_rows, "waits").select("cid", "waits")
+        lines = open_rows.select("cid").distinct()
+        ready = written(lines.join(waits, "cid", "left_anti"), "kept-lines")
+        now = open_rows.join(ready, "cid")
+        kept = now if kept is None else written(kept.unionByName(now), "kept-meetings")
+        hit = written(before(open_rows.join(ready, "cid", "left_anti"), now, "hit").select("cid"), "dropped-lines")
+        gone = hit if gone is None else gone.unionByName(hit)
+        open_rows = written(open_rows.join(ready.unionByName(hit), "cid", "left_anti"), "open-lines")
+    if kept is None:
+        return met.select("cid", "at", F.col("at").alias("earlier"))
+    return before(met.join(gone, "cid", "left_semi"), kept, "earlier")
+
+
 def _own(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """What tells a row of docs from the others, ordered by id."""
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias(free_name(docs.columns, "own"))))
@@ -129,11 +157,13 @@ def without_repeats(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     # the lines of equal rows are equal, so those of all rows may be compared
     compared = docs.select(_own(docs, id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
     gone = written(_dropped(compared, least), "dropped").groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line_no").alias("gone_lines"))
-    joined = every.join(gone, every[own].eqNullSafe(gone["gone_id"]), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
-    text = F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(kept)
-    joined = joined.withColumn("text_left", text).where(F.col("gone_lines").isNull() | F.col("text_left").rlike(WORD))
-    out = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.col("text_left")}
+    carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    joined = every.select(F.col(own).alias("own"), carried).join(gone, F.col("own").eqNullSafe(F.col("gone_id")), "left")
+    text = F.col(f"row.`{text_col}`")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("gone_lines", i)), "\n")
+    left = joined.select("row", F.col("gone_lines").isNull().alias("whole"), F.when(F.col("gone_lines").isNull(), text).otherwise(kept).alias("text_left"))
+    left = left.where(F.col("whole") | F.col("text_left").rlike(WORD))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {text_col: F.col("text_left")}
     if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text_left")).cast("long")
-    return joined.select(*[v.alias(k) for k, v in out.items()])
+        out["n_chars"] = F.when(F.col("whole"), out["n_chars"]).otherwise(F.length("text_left")).cast("long")
+    return left.select(*[v.alias(k) for k, v in out.items()])

@@ -23,15 +23,21 @@ FROM (SELECT *, sum(size) OVER (PARTITION BY place, block ORDER BY key, doc_id,
 """
 
 LINES = r"""
-WITH every AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
+WITH RECURSIVE every AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)),
 worded AS (SELECT * FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 classes AS (SELECT line, length(line) AS n, min({'d': doc_id, 'n': line_no}) AS pos FROM worded GROUP BY line),
 keyed AS (SELECT line, n, pos, unnest(['<' || m || '|' || left(line, m // 2), '>' || m || '|' || right(line, m - m // 2)]) AS key FROM (SELECT *, unnest([n, n - 1]) AS m FROM classes) WHERE m >= 20),
-pairs AS (SELECT DISTINCT a.line AS x, b.line AS y, b.pos AS earlier FROM keyed a JOIN keyed b ON a.key = b.key AND a.line <> b.line AND b.pos < a.pos),
-near AS (SELECT x, min(earlier) AS earlier FROM (SELECT *, CASE WHEN length(x) >= length(y) THEN x ELSE y END AS p, CASE WHEN length(x) >= length(y) THEN y ELSE x END AS q FROM pairs)
-  WHERE length(p) - length(q) <= 1 AND len(list_filter(range(length(p)), lambda i: left(p, i) = left(q, i) AND substr(p, i + 2) = substr(q, i + 2 - (length(p) - length(q))))) > 0 GROUP BY x)
+pairs AS (SELECT DISTINCT a.line AS x, b.line AS y, a.pos AS later, b.pos AS earlier FROM keyed a JOIN keyed b ON a.key = b.key AND a.line <> b.line AND b.pos < a.pos),
+near AS (SELECT later, earlier FROM (SELECT *, CASE WHEN length(x) >= length(y) THEN x ELSE y END AS p, CASE WHEN length(x) >= length(y) THEN y ELSE x END AS q FROM pairs)
+  WHERE length(p) - length(q) <= 1 AND len(list_filter(range(length(p)), lambda i: left(p, i) = left(q, i) AND substr(p, i + 2) = substr(q, i + 2 - (length(p) - length(q))))) > 0),
+numbered AS (SELECT pos, row_number() OVER (ORDER BY pos) AS k FROM (SELECT later AS pos FROM near UNION SELECT earlier FROM near)),
+before AS (SELECT a.k, list(b.k) AS ks FROM near JOIN numbered a ON a.pos = later JOIN numbered b ON b.pos = earlier GROUP BY a.k),
+walk(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT w.k + 1, CASE WHEN coalesce(list_has_any(b.ks, w.kept), false) THEN w.kept ELSE list_append(w.kept, w.k + 1) END FROM walk w LEFT JOIN before b ON b.k = w.k + 1 WHERE w.k < (SELECT max(k) FROM numbered)),
+kept AS (SELECT unnest(arg_max(kept, k)) AS k FROM walk),
+gone AS (SELECT later, min(earlier) AS earlier FROM near WHERE earlier IN (SELECT pos FROM numbered SEMI JOIN kept USING (k)) AND later NOT IN (SELECT pos FROM numbered SEMI JOIN kept USING (k)) GROUP BY later)
 SELECT doc_id, CAST(line_no AS INT) AS line_no, k.d AS kept_doc_id, CAST(k.n AS INT) AS kept_line_no, edits FROM (
-  SELECT doc_id, line_no, coalesce(earlier, pos) AS k, CASE WHEN earlier IS NULL THEN 0 ELSE 1 END AS edits FROM worded JOIN classes USING (line) LEFT JOIN near ON x = line)
+  SELECT doc_id, line_no, coalesce(earlier, pos) AS k, CASE WHEN earlier IS NULL THEN 0 ELSE 1 END AS edits FROM worded JOIN classes USING (line) LEFT JOIN gone ON later = pos)
 WHERE NOT (doc_id IS NOT DISTINCT FROM k.d AND line_no = k.n)
 """
 
