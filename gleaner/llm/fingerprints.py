@@ -7,11 +7,17 @@ chunks (3 if none has), so a fingerprint is "block:signature:signature at twice
 the block".  Fingerprints are compared where block sizes are compatible, by the
 edit distance of their signatures.
 
+A text that says one phrase over and over ends a chunk in each period or in none,
+so its chunks may stay many at any block size.  As the method has it, a signature
+is then bounded: the last of `most` characters stands for all the rest.  Other
+texts have about twice `least` chunks, and never so many.
+
 Cases: null text is empty; an empty text has the fingerprint "3::" and is like
 another empty one (1) and no other (0); equal texts have equal fingerprints;
-rows are put in order by id (null first), then by text, so repeated rows are
-each other's neighbours; a single row is its own neighbour; an empty table
-gives no rows; other columns are not read.
+ids are whole numbers (others are cast, and null where that fails);
+rows are put in order by id (null first), then by a hash of the text, so equal
+rows are each other's neighbours; a single row is its own neighbour; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import written
+from gleaner.llm.common import known_to_workers, written
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, SMALLEST = 7, 3
@@ -46,7 +52,7 @@ def rolling(raw: bytes) -> np.ndarray:
     return out ^ (out >> np.uint32(13))
 
 
-def fingerprint(raw: bytes, least: int = 32) -> str:
+def fingerprint(raw: bytes, least: int = 32, most: int = 128) -> str:
     if not raw:
         return f"{SMALLEST}::"
     hashes = rolling(raw)
@@ -57,11 +63,12 @@ def fingerprint(raw: bytes, least: int = 32) -> str:
         block, ends, at = 2 * block, ends[keep], at[keep]
 
     def signature(cuts: list[int]) -> str:
+        cuts = cuts[: most - 1]
         if not cuts or cuts[-1] != len(raw):
             cuts = [*cuts, len(raw)]
         return "".join(ALPHABET[zlib.crc32(raw[a:b]) >> 26] for a, b in zip([0, *cuts], cuts, strict=False))
 
-    return f"{block}:{signature((ends + 1).tolist())}:{signature((ends[keep] + 1).tolist())}"
+    return f"{block}:{signature((ends[:most] + 1).tolist())}:{signature((ends[keep][:most] + 1).tolist())}"
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -140,8 +147,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     successor is the next row of the stream.  Of each partition two rows, its
     first and last, are joined to their neighbours in other partitions.
     """
+    known_to_workers(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = written(slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_in_order, ROW), "fingerprints")
+    # rows of one id, or of none, are parted by their texts, and equal ones by their place, so that no id fills a range
+    order = ["doc_id", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place")]
+    dealt = slim.select(*order, "text").repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place")
+    rows = written(dealt.select("doc_id", "text").mapInArrow(_in_order, ROW), "fingerprints")
     edges = rows.where("role != 'done'")
     firsts = edges.where("role = 'first'").select("part", F.col("text").alias("following"), F.col("fingerprint").alias("theirs"))
     # of partitions that have rows, each one's successor; the last one's is the first: one short row for each partition
