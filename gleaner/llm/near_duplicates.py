@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import shingles
-from gleaner.llm.common import small, written
+from gleaner.llm.common import known_to_workers, small, written
 from gleaner.llm.components import components
 from gleaner.llm.tokenization import arrow_rows
 
@@ -89,8 +89,9 @@ def leaves(classes: DataFrame) -> DataFrame:
     rows = tokens.select("cid", F.explode(roots).alias("r")).select("cid", "r.*")
     ends = []
     for level in range(1, DEPTH + 1):
-        counts = rows.groupBy("path").count().where("count > 1")
-        live = written(rows.join(counts, "path"), "nodes")
+        # counts are a table of their own, so that in the join a large node may be split
+        counts = written(rows.groupBy("path").count().where("count > 1"), "counts")
+        live = written(rows.join(small(counts), "path"), "nodes")
         large = live.where(F.col("count") > LEAF)
         if level == DEPTH:
             ends.append(live.select("path", "cid", "count", (F.col("count") > LEAF).alias("big")))
@@ -297,6 +298,7 @@ def in_tiles(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept for each row; linked are sets with ratio[1] * |both| >= ratio[0] * |either|."""
+    known_to_workers(docs.sparkSession)
     rows = written(sets(docs, span, id_col, text_col), "rows")
     with_set = rows.where("n > 0 and id is not null")
     grouped = with_set.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
@@ -313,7 +315,7 @@ def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80
         """Rows of nodes that hold more than one component."""
         rows = sketched.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
         mixed = rows.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path")
-        return written(rows.join(mixed, "path"), "open")
+        return written(rows.join(small(written(mixed, "mixed")), "path"), "open")
 
     links = written(likely_links(in_blocks(sketched.withColumn("root", F.col("cid")), 0)), "links")
     open_ends = apart(written(components(links), "roots"))
