@@ -279,34 +279,32 @@ def firewall_top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firewall.top_patterns(firewall.judge(_talk(spark, sf_dir).where("role = 'user'"), "inbound"), 5)
 
 
-_INJ = " + ".join(f"CASE WHEN regexp_matches(content, {literal(p.regex)}) THEN {firewall.RESPONSE_SCORE[p.severity]} ELSE 0 END" for p in firewall.RESPONSE)
+_INJ = " + ".join(f"CASE WHEN regexp_matches(content, {literal(p.regex)}) THEN {p.score} ELSE 0 END" for p in firewall.RESPONSE)
 _DENSE = f"len(regexp_extract_all(content, {literal(firewall.IMPERATIVES)})) > 5 AND length(content) < 500"
-_SHORT = "short AS (SELECT doc_id, CASE WHEN length(content) > 2000 THEN right(content, 300) ELSE content END AS content FROM vet_inputs)"
-
-
-def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("content")
-    return vet_inputs(spark, sf_dir).select("doc_id", F.when(F.length(c) > 2000, F.right(c, F.lit(300))).otherwise(c).alias("content"))
+# in DuckDB a blob as text is its ASCII characters and the codes of its other bytes
+_RUNS = (
+    f"len(list_filter(regexp_extract_all(content, {literal(firewall.ENCODED)}), lambda x: regexp_matches(CAST(from_base64(left(x, length(x) // 4 * 4)) AS VARCHAR), {literal(firewall.HIDDEN)})))"
+)
 
 
-@query(f"WITH {VIEW}, {_SHORT} SELECT doc_id, CAST({_INJ} AS BIGINT) AS points, {_DENSE} AS dense FROM short")
+@query(f"WITH {VIEW} SELECT doc_id, CAST({_INJ} AS BIGINT) AS points, {_DENSE} AS dense FROM vet_inputs")
 def injection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
-    points = sum((F.when(c.rlike(p.regex), firewall.RESPONSE_SCORE[p.severity]).otherwise(0) for p in firewall.RESPONSE), F.lit(0))
-    return _short(spark, sf_dir).select("doc_id", points.cast("long").alias("points"), firewall.dense(c).alias("dense"))
+    points = sum((F.when(c.rlike(p.regex), p.score).otherwise(0) for p in firewall.RESPONSE), F.lit(0))
+    return vet_inputs(spark, sf_dir).select("doc_id", points.cast("long").alias("points"), firewall.dense(c).alias("dense"))
 
 
-@query()
+@query(f"WITH {VIEW} SELECT doc_id, CAST(least(100, {_INJ} + CASE WHEN {_DENSE} THEN 15 ELSE 0 END + 25 * encoded) AS BIGINT) AS score, CAST(encoded AS INT) AS encoded FROM (SELECT *, {_RUNS} AS encoded FROM vet_inputs)")
 def injection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vet_inputs(spark, sf_dir).select("doc_id", firewall.injection_score(F.col("content")).alias("score"), firewall.base64_runs(F.col("content")).alias("encoded"))
 
 
-_FIRST = " UNION ALL ".join(f"SELECT doc_id, '{p.id}' AS id, CAST(strpos(content, regexp_extract(content, {literal(p.regex)})) - 1 AS BIGINT) AS \"offset\" FROM short WHERE regexp_matches(content, {literal(p.regex)})" for p in firewall.RESPONSE)
+_FIRST = " UNION ALL ".join(f"SELECT doc_id, '{p.id}' AS id, CAST(strpos(content, regexp_extract(content, {literal(p.regex)})) - 1 AS BIGINT) AS \"offset\" FROM vet_inputs WHERE regexp_matches(content, {literal(p.regex)})" for p in firewall.RESPONSE)
 
 
-@query(f"WITH {VIEW}, {_SHORT} {_FIRST}")
+@query(f"WITH {VIEW} {_FIRST}")
 def injection_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _short(spark, sf_dir).select("doc_id", F.explode(firewall.first_matches(F.col("content"))).alias("m")).select("doc_id", "m.id", "m.offset")
+    return vet_inputs(spark, sf_dir).select("doc_id", F.explode(firewall.first_matches(F.col("content"))).alias("m")).select("doc_id", "m.id", "m.offset")
 
 
 # policy
