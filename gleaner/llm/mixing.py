@@ -10,9 +10,10 @@ is made by ranking the quota's places by a seeded hash.  A leaf draws its quota
 from the source's permuted blocks, each place once, and rows carry a hashed key
 by which a shard is shuffled locally.
 
-Only tables of sources and of blocks are ever sorted as a whole; a source has
-at most max_blocks blocks, and all sources together at most max_blocks and one
-for each source.  Documents move once, with their id and size alone.
+Only tables of sources and of blocks are ever sorted as a whole.  There are
+`least_blocks` blocks and one for each source, or more, so that a block has no
+more than about `block_rows` documents: the one block of a source that is taken in
+part is ordered in one task.  Documents move once, with their id and size alone.
 
 Cases: null text has no words and counts 0; a null source is a source of its
 own, the last; null ids hash as the empty string; repeated rows are taken each;
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small, word_count, written
+from gleaner.llm.common import free_name, small, word_count, written
 
 #: By order of source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -55,7 +56,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     s = s.withColumn("rate", (share * F.col("total") - F.col("capped")) / F.col("weights"))
     # the rate rises from place to place while sources stop, and falls once one is stopped that shouldn't be: the largest is the one sought
     rate = F.max("rate").over(every)
-    return s.select("source", "source_size", "place", F.least(F.col("cap").cast("double"), rate * F.col("weight")).alias("target"))
+    return s.select(*by_source.columns, "place", F.least(F.col("cap").cast("double"), rate * F.col("weight")).alias("target"))
 
 
 def split_quotas(places: DataFrame, levels: int, seed: str) -> DataFrame:
@@ -72,17 +73,18 @@ def split_quotas(places: DataFrame, levels: int, seed: str) -> DataFrame:
     return places.withColumnRenamed("node", "shard") if levels else places.withColumn("shard", F.lit(0))
 
 
-def mix(docs: DataFrame, carry: list[str] = (), size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, levels: int = 4, max_blocks: int = 2048, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, carry: list[str] = (), size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, levels: int = 4, least_blocks: int = 2048, block_rows: int = 50_000, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """A row for each row of docs: struct `carry` of the named columns, id, source, size, source_size, target, and `takes`, an array of (pass, shard, taken words, shuffle key)."""
+    filler = F.lit(0).alias(free_name(list(carry), "_"))
     sized = docs.select(
-        F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carry"),
+        F.struct(filler, *[F.col(f"`{c}`") for c in carry]).alias("carry"),
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), (word_count(F.col("text")) if size is None else size).alias("size"), _hash(seed, F.col(id_col)).alias("key"),
     )
     slim = written(sized.drop("carry"), "sizes")
-    by_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    total = F.sum("source_size").over(W.partitionBy())
-    blocks = F.greatest(F.lit(1), F.ceil(max_blocks * F.col("source_size") / F.greatest(total, F.lit(1)))).cast("long")
-    plan = written(by_source.withColumn("blocks", blocks), "sources")
+    counted = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    total, every = F.sum("source_size").over(W.partitionBy()), F.greatest(F.lit(least_blocks), F.ceil(F.sum("n").over(W.partitionBy()) / block_rows))
+    blocks = F.greatest(F.lit(1), F.ceil(every * F.col("source_size") / F.greatest(total, F.lit(1))), F.ceil(F.col("n") / block_rows)).cast("long")
+    plan = written(targets(counted, weights, share, most).withColumn("blocks", blocks), "sources")
 
     def placed(df: DataFrame) -> DataFrame:
         found = df.join(small(plan), df["source"].eqNullSafe(plan["source"])).drop(plan["source"])
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, carry: list[str] = (), size: Column | None = None, weig
     drawn = quota.join(runs, ["place", "q"]).groupBy("place", "block").agg(F.max("words").alias("words"), F.min("room").alias("least"), F.sort_array(F.collect_list(F.struct("pass", "shard", "room"))).alias("draws"))
     drawn = written(drawn, "draws")
 
-    base = placed(sized if carry else slim.withColumn("carry", F.struct(F.lit(0).alias("_"))))
+    base = placed(sized if carry else slim.withColumn("carry", F.struct(filler)))
     base = base.join(small(drawn), ["place", "block"], "left")
     in_part = F.coalesce(F.col("least") < F.col("words"), F.lit(False))
     ahead = F.sum("size").over(W.partitionBy("place", "block").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")

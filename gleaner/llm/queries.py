@@ -18,7 +18,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.taken_words().alias("taken"))
+    shards = F.array_join(F.transform("takes", lambda t: t["shard"].cast("string")), ",")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", mixing.taken_words().alias("taken"), shards.alias("shards"), F.get("takes.shuffle_key", F.lit(0)).alias("shuffle_key"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
