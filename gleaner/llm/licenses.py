@@ -1,13 +1,15 @@
 """License scan by a positional index of rare tokens.
 
 Each text's licence words (words of the templates that aren't common ones) are
-found with their places and the words around them.  How many documents hold
-each word is counted over all documents; a template is indexed under its words
-of highest inverse document frequency, each with its position in the template.
-A text's occurrences of such words are looked up, postings that agree on where
-the template would start are intersected, and a start counts where the
-template's key phrase stands there word for word.  The score is the largest
-share of a template's words that stand at their places.
+found with their places.  How many documents hold each word is counted over all
+documents; a template is indexed under its words of highest inverse document
+frequency, each with its position in the template, one of the key phrase among
+them.  A text's licence words are looked up, and each posting tells where its
+template would begin; these starts are intersected: a start counts where `agree`
+postings or more say the same and the template's key phrase stands there word
+for word.  The score is the largest share of a template's words that stand at
+their places.  Templates may be of any length, and starts before a text's first
+word are starts like others.
 
 Three base phrases are found exactly, by their rarest word and its neighbours.
 
@@ -28,8 +30,6 @@ from gleaner.llm.common import written
 
 #: A word in a text whose letters A to Z count as a to z.
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Words kept on each side of a licence word.
-AROUND = 24
 #: The base phrases, their labels, and the word of each by which it is found.
 BASE = (("cc by", "cc-by", "cc"), ("general public license", "gpl", "general"), ("all rights reserved", "reserved", "reserved"))
 #: Too common to be looked up.
@@ -55,8 +55,8 @@ class Template:
 #: Notices by which well-known licences are named; the key phrase must stand whole.
 TEMPLATES = (
     Template("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    Template("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache license version 2 0"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribution and use in source and binary forms"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
@@ -65,13 +65,14 @@ TEMPLATES = (
     Template("epl-2.0", "under the terms of the eclipse public license v 2 0", "eclipse public license"),
     Template("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "redistribute it and or modify it under the terms of the gnu general public license"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and or distribute this software"),
     Template("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
     Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge to any person obtaining a copy"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", "unauthorized copying of this file"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "permission is hereby granted free of charge to any person obtaining a copy"),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    Template("proprietary", "unauthorized copying of this file via any medium is strictly prohibited proprietary and confidential", "unauthorized copying of this file"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "free and unencumbered software"),
 )
 
 
@@ -84,21 +85,20 @@ def licence_words(templates: tuple[Template, ...]) -> list[str]:
 
 
 def occurrences(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """row, id, n_words, and hits: each licence word with its place p, the words around it, and its place o among those."""
+    """row, id, n_words, hits (each licence word w with its place p) and, where there are hits, the words."""
     d = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("words"))
     words = F.col("words")
     # F.lower is quick but also lowers letters beyond A to Z; lowered() settles the few words found
     places = F.filter(F.transform(words, lambda w, i: F.when(F.lower(w).isin(vocabulary), i)), lambda i: i.isNotNull())
     d = d.select("id", "words", places.alias("places"))
-    around = lambda i: F.slice(F.col("words"), F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)) + AROUND + 1)
-    hit = lambda i: F.struct(lowered(F.get(F.col("words"), i)).alias("w"), i.alias("p"), F.transform(around(i), lowered).alias("near"), F.least(i, F.lit(AROUND)).alias("o"))
-    hits = F.filter(F.transform("places", hit), lambda h: h["w"].isin(vocabulary))
-    return d.select(F.monotonically_increasing_id().alias("row"), "id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    hit = lambda i: F.struct(lowered(F.get(F.col("words"), i)).alias("w"), i.alias("p"))
+    d = d.select(F.monotonically_increasing_id().alias("row"), "id", "words", F.filter(F.transform("places", hit), lambda h: h["w"].isin(vocabulary)).alias("hits"))
+    return d.select("row", "id", F.size("words").cast("long").alias("n_words"), "hits", F.when(F.size("hits") > 0, F.transform("words", lowered)).alias("words"))
 
 
-def stands(near: Column, at: Column, phrase: list[str]) -> Column:
-    """The phrase's words are those of `near` from place `at` (from 0) on."""
-    return reduce(lambda a, b: a & b, [F.coalesce(F.get(near, at + k) == w, F.lit(False)) for k, w in enumerate(phrase)])
+def stands(at: Column, phrase: list[str]) -> Column:
+    """The phrase's words are those of `words` from place `at` (from 0) on."""
+    return (at >= 0) & (F.slice("words", F.greatest(at, F.lit(0)) + 1, F.lit(len(phrase))) == F.array(*[F.lit(w) for w in phrase]))
 
 
 def base(found: DataFrame) -> DataFrame:
@@ -106,13 +106,12 @@ def base(found: DataFrame) -> DataFrame:
     def places(phrase: str, anchor: str) -> Column:
         words = phrase.split()
         k = words.index(anchor)
-        here = F.filter("hits", lambda h: (h["w"] == anchor) & (h["o"] >= k) & stands(h["near"], h["o"] - k, words))
-        return F.transform(here, lambda h: h["p"] - k)
+        return F.transform(F.filter("hits", lambda h: (h["w"] == anchor) & stands(h["p"] - k, words)), lambda h: h["p"] - k)
 
     starts = [(places(phrase, anchor), label) for phrase, label, anchor in BASE]
     found = found.withColumn("starts", F.concat(*[s for s, _ in starts])).withColumn("labels", F.filter(F.array(*[F.when(F.size(s) > 0, F.lit(x)) for s, x in starts]), lambda x: x.isNotNull()))
     return found.select(
-        "row", "id", "n_words", "hits", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"),
+        "row", "id", "n_words", "hits", "words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"),
         F.array_max("starts").cast("long").alias("last_word"), F.col("labels").alias("base_labels"),
     )
 
@@ -130,22 +129,36 @@ def rare_words(hits: DataFrame, templates: tuple[Template, ...], most: int) -> l
     return out
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def starts_of(postings: list[tuple[int, int, str]], agree: int) -> tuple[Column, Column]:
+    """Of a row with hits each start (template t, start) that a posting (template, position, word) tells, in order; and by template how many must agree: `agree`, or all postings of a template that has fewer."""
+    by_word: dict[str, list[tuple[int, int]]] = {}
+    for t, k, w in postings:
+        by_word.setdefault(w, []).append((t, k))
+    index = F.create_map(*[x for w, found in sorted(by_word.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in found]))])
+    none = F.array().cast("array<struct<t:int,k:int>>")
+    starts = F.flatten(F.transform("hits", lambda h: F.transform(F.coalesce(F.element_at(index, h["w"]), none), lambda x: F.struct(x["t"].alias("t"), (h["p"] - x["k"]).alias("start")))))
+    of = [sum(t == k for t, _, _ in postings) for k in range(1 + max(t for t, _, _ in postings))]
+    need = F.array(*[F.lit(min(agree, n)) for n in of])
+    # equal starts stand together in order, and each posting says each start once at most
+    return F.array_sort(starts), need
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, most: int = 3, agree: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels and score of each text."""
-    vocabulary = licence_words(templates)
-    found = written(base(occurrences(docs, vocabulary, id_col, text_col)), "licences")
+    found = written(base(occurrences(docs, licence_words(templates), id_col, text_col)), "licences")
     some = found.where(F.size("hits") > 0)
-    index = [(k, w, x.label, x.words, x.key_at, x.key.split()) for t, k, w in rare_words(some, templates, most) for x in [templates[t]]]
-    schema = "position int, w string, label string, words array<string>, key_at int, key array<string>"
-    postings = F.broadcast(docs.sparkSession.createDataFrame(index, schema))  # `most` rows for each template
-    met = some.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(postings, "w")
-    local = F.col("o") - F.col("position")  # where the template would start among the words that are kept around this one
-    equal = lambda words, at: F.filter(words, lambda w, k: F.get("near", at + k) == w)
-    checked = F.size(equal(F.col("key"), local + F.col("key_at"))) == F.size("key")
-    share = F.size(equal(F.col("words"), local)) / F.size("words")
-    met = met.select("row", (F.col("p") - F.col("position")).alias("start"), "label", checked.alias("checked"), share.alias("share"))
-    agreed = met.groupBy("row", "start", "label").agg(F.max("checked").alias("checked"), F.max("share").alias("share")).where("checked")
-    by_row = agreed.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    starts, need = starts_of(rare_words(some, templates, most), agree)
+    held = some.withColumn("starts", starts)
+    same = lambda x, i: (F.get("starts", i) == x)
+    agreed = F.filter("starts", lambda x, i: same(x, i + F.get(need, x["t"]) - 1) & ~F.coalesce(same(x, i - 1), F.lit(False)))
+    held = held.withColumn("starts", agreed)
+    words = F.array(*[F.array(*[F.lit(w) for w in t.words]) for t in templates])
+    checked = reduce(lambda c, t: c.when(F.col("x.t") == t[0], stands(F.col("x.start") + t[1].key_at, t[1].key.split())), enumerate(templates), F.when(F.lit(False), F.lit(False)))
+    at = F.col("x.start")
+    share = F.size(F.filter(F.get(words, F.col("x.t")), lambda w, k: F.when(at + k >= 0, F.get("words", at + k) == w))) / F.size(F.get(words, F.col("x.t")))
+    labels = F.array(*[F.lit(t.label) for t in templates])
+    met = held.select("row", "words", F.explode("starts").alias("x")).where(checked).select("row", F.get(labels, F.col("x.t")).alias("label"), share.alias("share"))
+    by_row = met.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     none = F.array().cast("array<string>")
     with_more = some.join(by_row, "row", "left").unionByName(found.where(F.size("hits") == 0), allowMissingColumns=True)
     return with_more.select(

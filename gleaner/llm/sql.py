@@ -6,20 +6,34 @@ from gleaner.llm import licenses
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
+LEVELS = 4
+_LEVELS = "\n".join(
+    f"""level{k + 1} AS (SELECT place, q, 2 * node + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws('|', 'mix', {k}, place, q)), place, q) <= (count(*) OVER (PARTITION BY node) + 1) // 2 THEN 0 ELSE 1 END AS node FROM level{k}),"""
+    for k in range(LEVELS)
+)
 MIXING = f"""
 WITH sized AS (SELECT doc_id, source, {WORDS} AS size, md5(concat_ws('|', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key FROM documents),
-placed AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
+placed AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
 weighed AS (SELECT *, [3, 1, 2][(place - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM placed),
 rated AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - (sum(cap) OVER (ORDER BY cap / weight, place) - cap))
   / (sum(weight) OVER () - sum(weight) OVER (ORDER BY cap / weight, place) + weight) AS rate FROM weighed),
 planned AS (SELECT source, source_size, place, least(CAST(cap AS DOUBLE), max(rate) OVER () * weight) AS target,
-  CAST(greatest(1, ceil(2048 * source_size / greatest(sum(source_size) OVER (), 1))) AS BIGINT) AS blocks FROM rated),
+  CAST(greatest(1, ceil(greatest(2048, ceil(sum(n) OVER () / 50000)) * source_size / greatest(sum(source_size) OVER (), 1)), ceil(n / 50000)) AS BIGINT) AS blocks FROM rated),
 dealt AS (SELECT s.doc_id, s.size, s.key, p.*, CAST(('0x' || substr(key, 1, 8)) AS BIGINT) % blocks AS block FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source),
 sums AS (SELECT place, block, sum(size) AS words, first(source_size) AS ss, first(target) AS t FROM dealt GROUP BY place, block),
-passes AS (SELECT place, block, words, CASE WHEN ss > 0 THEN floor(t / ss) ELSE 0 END AS whole, least(words, CAST(floor(t) AS BIGINT) - CASE WHEN ss > 0 THEN floor(t / ss) ELSE 0 END * ss
-  - (sum(words) OVER (PARTITION BY place ORDER BY md5(concat_ws('|', 'mix', place, block)), block) - words)) AS room FROM sums)
-SELECT doc_id, size, source_size, target, CAST(whole * size + CASE WHEN room <= 0 THEN 0 WHEN room = words THEN size ELSE greatest(0, least(size, room - ahead)) END AS BIGINT) AS taken
-FROM (SELECT *, sum(size) OVER (PARTITION BY place, block ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead FROM dealt) JOIN passes USING (place, block)
+permuted AS (SELECT place, block, words, CASE WHEN ss > 0 THEN floor(t / ss) ELSE 0 END AS whole, count(*) OVER (PARTITION BY place) AS n, row_number() OVER o AS k,
+  CAST(floor(t) AS BIGINT) - CASE WHEN ss > 0 THEN floor(t / ss) ELSE 0 END * ss - (sum(words) OVER o - words) AS rest FROM sums WINDOW o AS (PARTITION BY place ORDER BY md5(concat_ws('|', 'mix', place, block)), block)),
+uses AS (SELECT *, CASE WHEN pass < whole THEN words WHEN pass = whole THEN least(rest, words) ELSE 0 END AS room FROM permuted, (VALUES (0), (1), (2)) v(pass)),
+quota AS (SELECT place, block, words, pass, room, row_number() OVER (PARTITION BY place ORDER BY pass * n + k) AS q FROM uses WHERE room > 0),
+level0 AS (SELECT place, q, 0 AS node FROM quota),
+{_LEVELS}
+runs AS (SELECT place, node AS shard, row_number() OVER (PARTITION BY place ORDER BY node, q) AS q FROM level{LEVELS}),
+drawn AS (SELECT place, block, list({{'pass': pass, 'shard': shard, 'room': room, 'words': words}} ORDER BY pass, shard) AS draws FROM quota JOIN runs USING (place, q) GROUP BY place, block),
+ahead AS (SELECT *, sum(size) OVER (PARTITION BY place, block ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS ahead FROM dealt),
+taking AS (SELECT doc_id, size, source_size, target, list_filter(list_transform(coalesce(draws, []), lambda d: {{'pass': d.pass, 'shard': d.shard, 'taken': CASE WHEN d.room = d.words THEN size ELSE greatest(0, least(size, d.room - ahead)) END}}), lambda d: d.taken > 0) AS takes
+  FROM ahead LEFT JOIN drawn USING (place, block))
+SELECT doc_id, size, source_size, target, CAST(coalesce(list_sum(list_transform(takes, lambda d: d.taken)), 0) AS BIGINT) AS taken, array_to_string(list_transform(takes, lambda d: CAST(d.shard AS VARCHAR)), ',') AS shards,
+  CASE WHEN len(takes) > 0 THEN md5(concat_ws('|', 'mix', doc_id, takes[1].pass, takes[1].shard)) END AS shuffle_key FROM taking
 """
 
 LINES = r"""
@@ -46,16 +60,23 @@ def _stands(words: list[str], at: str) -> str:
     return " AND ".join(f"w[{at} + {k}] = '{x}'" for k, x in enumerate(words))
 
 
-def licences() -> str:
-    """A template's label holds where its key phrase stands; the score is the largest share of its words at their places there."""
+def licences(most: int = 3, agree: int = 2) -> str:
+    """A template's label holds where its key phrase stands and `agree` of its `most` rarest words stand at their places; the score is the largest share of its words that do."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     base = [(f"list_filter(range(1, len(w) + 1), lambda i: {_stands(phrase.split(), 'i')})", label) for phrase, label, _ in licenses.BASE]
+    known = [(t, k, w, t_.key_at <= k < t_.key_at + len(t_.key.split())) for t, t_ in enumerate(licenses.TEMPLATES) for k, w in enumerate(t_.words) if w not in licenses.COMMON]
     found = []
-    for t in licenses.TEMPLATES:
-        share = " + ".join(f"CASE WHEN i - {t.key_at} + {k} > 0 AND w[i - {t.key_at} + {k}] = '{x}' THEN 1 ELSE 0 END" for k, x in enumerate(t.words))
-        found.append(f"SELECT r, '{t.label}' AS label, max(({share}) / {len(t.words)}.0) AS share FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM texts WHERE list_contains(w, '{t.key.split()[0]}')) WHERE {_stands(t.key.split(), 'i')} GROUP BY r")
+    for t, t_ in enumerate(licenses.TEMPLATES):
+        at = lambda k, t_=t_: f"i - {t_.key_at} + {k}"
+        share = " + ".join(f"CASE WHEN {at(k)} > 0 AND w[{at(k)}] = '{x}' THEN 1 ELSE 0 END" for k, x in enumerate(t_.words))
+        agreed = f"len(list_filter(ps, lambda p: i - {t_.key_at} + p.k > 0 AND w[CAST(i - {t_.key_at} + p.k AS BIGINT)] = p.w)) >= least(len(ps), {agree})"
+        found.append(f"SELECT r, '{t_.label}' AS label, max(({share}) / {len(t_.words)}.0) AS share FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM texts WHERE list_contains(w, '{t_.key.split()[0]}')), (SELECT ps FROM postings WHERE t = {t}) WHERE {_stands(t_.key.split(), 'i')} AND {agreed} GROUP BY r")
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+held AS (SELECT x, count(DISTINCT r) AS n FROM (SELECT r, unnest(w) AS x FROM texts) GROUP BY x),
+known AS (SELECT t, k, v.w, keyed, coalesce(n, 0) AS n FROM (VALUES {', '.join(f"({t}, {k}, '{w}', {keyed})" for t, k, w, keyed in known)}) v(t, k, w, keyed) LEFT JOIN held ON x = v.w),
+firsts AS (SELECT *, keyed AND row_number() OVER (PARTITION BY t, keyed ORDER BY n, k, w) = 1 AS first FROM known),
+postings AS (SELECT t, list({{'k': k, 'w': w}}) AS ps FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY first DESC, n, k, w) AS place FROM firsts) WHERE place <= {most} GROUP BY t),
 based AS (SELECT r, {', '.join(f'{p} AS s{k}' for k, (p, _) in enumerate(base))} FROM texts),
 more AS ({' UNION ALL '.join(found)}),
 labelled AS (SELECT r, list(DISTINCT label) AS more, max(share) AS share FROM more GROUP BY r),
