@@ -24,18 +24,34 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import written
 
-#: numpy draws hypergeometric counts exactly below this many rows.
-EXACT_BELOW = 10**9
+#: The library's own draw is limited to fewer rows than this.
+LIBRARY_BELOW = 10**9
+
+
+def _chances(good: int, bad: int, n: int) -> tuple[int, np.ndarray]:
+    """The hypergeometric law of how many of n rows are good: the least count and the chances from there on.
+
+    Chances follow from each other by their ratios, from the likeliest count out
+    to 40 standard deviations, where less than 1e-300 is left.
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(good, n)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    far = 50 + int(40 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    low, high = max(low, mode - far), min(high, mode + far)
+    up, down = np.arange(mode, high, dtype=np.float64), np.arange(mode, low, -1, dtype=np.float64)
+    rise = np.cumsum(np.log((good - up) * (n - up)) - np.log((up + 1) * (bad - n + up + 1)))
+    fall = np.cumsum(np.log(down * (bad - n + down)) - np.log((good - down + 1) * (n - down + 1)))
+    chances = np.exp(np.concatenate([fall[::-1], [0.0], rise]))
+    return low, chances / chances.sum()
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Of n rows taken from good + bad, how many are good; by the normal limit where numpy has no exact draw (error far below one row's share)."""
-    if good + bad < EXACT_BELOW:
+    """Of n rows taken from good + bad, how many are good."""
+    if good + bad < LIBRARY_BELOW:
         return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    mean = n * (good / total)
-    spread = (mean * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
-    return int(min(good, n, max(0, n - bad, round(rng.normal(mean, spread)))))
+    low, chances = _chances(good, bad, n)
+    return low + int(np.searchsorted(np.cumsum(chances), rng.random(), "right").clip(0, len(chances) - 1))
 
 
 def communication_matrix(sizes: list[int], shards: int, seed: int = 0) -> np.ndarray:
