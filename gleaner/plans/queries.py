@@ -338,7 +338,12 @@ def policy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # permissions, trust, hashes
 
-_USE = "used AS (" + " UNION ".join(f"SELECT DISTINCT doc_id, '{c}' AS category, concat('{p}', unnest(regexp_extract_all(content, {literal(rx)}, {g}))) AS permission FROM vet_inputs" for c, rx, g, p in manifest.EXTRACTORS) + ")"
+def _use_sql(c: str, rx: str, g: int | None, p: str) -> str:
+    what = f"concat('{p}', unnest(regexp_extract_all(content, {literal(rx)}, {g})))" if g is not None else f"'{p}'"
+    return f"SELECT DISTINCT doc_id, '{c}' AS category, {what} AS permission FROM vet_inputs" + (f" WHERE regexp_matches(content, {literal(rx)})" if g is None else "")
+
+
+_USE = "used AS (" + " UNION ".join(_use_sql(*x) for x in manifest.EXTRACTORS) + ")"
 DECLARED = (("exec", "git"), ("network", "*.example.com"), ("files", "read:data"), ("secrets", "API_TOKEN"), ("env", "PATH"), ("network", "unused.example.org"))
 
 
@@ -353,12 +358,49 @@ def permission_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALLOWED = """CASE category WHEN 'exec' THEN permission = 'git' WHEN 'network' THEN permission = 'example.com' OR ends_with(permission, '.example.com') OR permission = 'unused.example.org'
   WHEN 'files' THEN split_part(permission, ':', 1) = 'read' AND regexp_replace(split_part(permission, ':', 2), '^\\./', '') LIKE 'data%' WHEN 'secrets' THEN permission = 'API_TOKEN' ELSE permission = 'PATH' END"""
-_SEV = "CASE category WHEN 'exec' THEN 'high' WHEN 'network' THEN CASE WHEN " + " OR ".join(f"contains(permission, '{x}')" for x in manifest.SUSPICIOUS) + " THEN 'critical' ELSE 'medium' END WHEN 'files' THEN CASE WHEN contains(permission, '/etc') OR contains(permission, '..') THEN 'high' ELSE 'low' END ELSE 'medium' END"
+_HOSTS = "'webhook.site', 'requestbin', 'ngrok.io', 'pipedream.net', 'hookbin.com', 'pastebin.com', 'hastebin.com', 'transfer.sh', 'file.io'"
+_SEV = f"CASE category WHEN 'exec' THEN 'high' WHEN 'network' THEN CASE WHEN len(list_filter([{_HOSTS}], lambda h: contains(permission, h))) > 0 THEN 'critical' ELSE 'medium' END WHEN 'files' THEN CASE WHEN contains(permission, '/etc') OR contains(permission, '..') THEN 'high' ELSE 'low' END ELSE 'medium' END"
 
 
 @query(f"WITH {VIEW}, {_USE} SELECT doc_id, category, permission, {_SEV} AS severity FROM used WHERE NOT ({_ALLOWED})")
 def permission_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.undeclared(manifest.usage(vet_inputs(spark, sf_dir)), _declared(spark))
+    return manifest.undeclared(manifest.usage(vet_inputs(spark, sf_dir)), _declared(spark)).drop("message")
+
+
+@query(f"WITH {VIEW}, {_USE} SELECT doc_id, category, permission FROM used WHERE {_ALLOWED}")
+def permission_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.matching(manifest.usage(vet_inputs(spark, sf_dir)), _declared(spark))
+
+
+@query(f"""WITH {VIEW}, {_USE}, declared(category, declared) AS (VALUES {', '.join(f"('{c}', '{d}')" for c, d in DECLARED)}, ('files', '*')),
+  missing AS (SELECT DISTINCT category, permission FROM used WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.category = used.category AND (declared = '*' OR declared = permission OR (d.category = 'files' AND starts_with(permission, declared)) OR (d.category = 'network' AND ends_with(permission, '.' || declared)))))
+  SELECT 'undeclared' AS kind, category, permission AS value FROM missing
+  UNION ALL SELECT 'unused', category, declared FROM declared d WHERE declared <> '*' AND NOT EXISTS (SELECT 1 FROM used WHERE used.category = d.category AND permission = declared)
+  UNION ALL SELECT 'wildcard', category, declared FROM declared WHERE declared = '*'""")
+def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = spark.createDataFrame([*DECLARED, ("files", "*")], "category string, declared string")
+    return manifest.verify(manifest.usage(vet_inputs(spark, sf_dir)), declared)
+
+
+_BAD = "bad_commands AS (SELECT doc_id, max(CASE WHEN category = 'exec' AND split_part(permission, ' ', 1) IN ('rm', 'curl', 'wget', 'eval') THEN 2 ELSE 0 END) + max(CASE WHEN category = 'network' AND len(list_filter([" + _HOSTS + "], lambda h: contains(permission, h))) > 0 THEN 3 ELSE 0 END) + CASE WHEN count(CASE WHEN category = 'secrets' THEN 1 END) > 3 THEN 1 ELSE 0 END AS points FROM used GROUP BY doc_id)"
+
+
+@query(f"WITH {VIEW}, {_USE}, {_BAD} SELECT doc_id, CASE WHEN points >= 4 THEN 'critical' WHEN points >= 3 THEN 'high' WHEN points >= 1 THEN 'medium' ELSE 'low' END AS level, (SELECT count(*) FROM used u WHERE u.doc_id = b.doc_id AND category <> 'elevated') AS n FROM bad_commands b")
+def manifest_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = manifest.generated(manifest.usage(vet_inputs(spark, sf_dir)), "doc_id")
+    n = sum((F.size(f"permissions.{c}") for c in manifest.CATEGORIES), F.lit(0))
+    return made.select("doc_id", "risks.level", n.cast("long").alias("n"))
+
+
+MANIFEST = """CASE s_suppkey % 8 WHEN 0 THEN '{"version":"1.0","permissions":{"exec":["git"],"elevated":false},"risks":{"level":"low"}}' WHEN 1 THEN '{"permissions":{}}' WHEN 2 THEN 'no json'
+  WHEN 3 THEN '{"version":"2","permissions":{"exec":"git"}}' WHEN 4 THEN '{"version":"1.0"}' WHEN 5 THEN '{"version":"1.0","permissions":{"other":[]}}'
+  WHEN 6 THEN '{"version":"1.0","permissions":{"files":[1],"elevated":"yes"},"trust":{"verified":1}}' ELSE '{"version":"1.0","permissions":{"network":[]},"risks":{"level":"worst"}}' END"""
+
+
+@query("SELECT s_suppkey AS card_id, CASE s_suppkey % 8 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 3 ELSE 1 END AS n_errors FROM supplier")
+def manifest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS card_id", f"{MANIFEST} AS raw")
+    return manifest.invalid(made).select("card_id", F.size("errors").alias("n_errors"))
 
 
 @query(f"""WITH {VIEW}, {_USE} SELECT category, declared FROM (VALUES {', '.join(f"('{c}', '{d}')" for c, d in DECLARED)}) t(category, declared)
@@ -369,7 +411,7 @@ def permission_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEVEL = "CASE WHEN score < 20 THEN 'low' WHEN score < 50 THEN 'medium' WHEN score < 100 THEN 'high' ELSE 'critical' END"
-_WEIGHT = "CASE category " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in manifest.WEIGHTS.items()) + " END"
+_WEIGHT = "CASE category WHEN 'exec' THEN CASE permission WHEN '*' THEN 50 ELSE 20 END WHEN 'network' THEN 10 WHEN 'files' THEN CASE split_part(permission, ':', 1) WHEN 'delete' THEN 25 WHEN 'write' THEN 15 ELSE 5 END WHEN 'secrets' THEN 15 ELSE 2 END"
 
 
 @query(f"WITH {VIEW}, {_USE} SELECT doc_id, score, {_LEVEL} AS level FROM (SELECT doc_id, CAST(sum({_WEIGHT}) AS BIGINT) AS score FROM used GROUP BY doc_id)")
@@ -382,16 +424,31 @@ def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", manifest.host(F.col("url")).alias("host"))
 
 
-_AUDITOR = "CASE s_suppkey % 6 WHEN 0 THEN 'internal-review' WHEN 1 THEN 'partner-lab' WHEN 2 THEN 'org:acme' WHEN 3 THEN 'user:x' WHEN 4 THEN 'other:y' ELSE 'self' END"
+_AUDITOR = "CASE s_suppkey % 6 WHEN 0 THEN 'clawdhub:official' WHEN 1 THEN 'clawdhub:verified' WHEN 2 THEN 'org:acme' WHEN 3 THEN 'user:x' WHEN 4 THEN 'other:y' ELSE 'self' END"
 
 
-@query(f"""SELECT s_nationkey AS nation, CAST(max(l) AS BIGINT) AS level, CAST(sum(l) AS BIGINT) AS score, count(*) AS audits FROM (SELECT s_nationkey, CASE a WHEN 'internal-review' THEN 4 WHEN 'partner-lab' THEN 3 WHEN 'org:acme' THEN 2 WHEN 'user:x' THEN 1 WHEN 'self' THEN 1 ELSE 0 END AS l
+@query(f"""SELECT s_nationkey AS nation, CAST(max(l) AS BIGINT) AS level, CAST(sum(l) AS BIGINT) AS score, count(*) AS audits FROM (SELECT s_nationkey, CASE a WHEN 'clawdhub:official' THEN 4 WHEN 'clawdhub:verified' THEN 3 WHEN 'org:acme' THEN 2 WHEN 'user:x' THEN 1 ELSE 0 END AS l
   FROM (SELECT s_nationkey, {_AUDITOR} AS a FROM supplier)) GROUP BY 1""")
 def trust_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.trust(table(spark, sf_dir, "supplier").selectExpr("s_nationkey AS nation", f"{_AUDITOR} AS auditor"), "nation")
 
 
-@query(f"WITH {VIEW} SELECT top, sha256(string_agg(h, '' ORDER BY path, h)) AS integrity, count(*) AS files FROM (SELECT split_part(path, '/', 2) AS top, path, sha256(content) AS h FROM vet_inputs) GROUP BY top")
+_MADE = """CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '{"author":"github:ann","audits":[{"auditor":"clawdhub:verified","date":"2020-01-31","contentHash":"h1"}],"chain":["org:x"],"verified":true}'
+  WHEN 2 THEN '{"author":"org:acme-corp","audits":[{"auditor":"user:bob","date":"2026-01-05","contentHash":"h0"}],"verified":true}' WHEN 3 THEN '{"chain":["clawdhub:official"]}' ELSE '{"author":"me","audits":[]}' END"""
+
+
+@query("""SELECT s_suppkey AS card_id, CASE s_suppkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 4 ELSE 0 END AS level, CASE s_suppkey % 5 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 0 END AS score,
+  s_suppkey % 5 IN (1, 2) AS verified, CASE s_suppkey % 5 WHEN 0 THEN 'No trust information in manifest' WHEN 1 THEN 'Audit by clawdhub:verified is 73 months old'
+    WHEN 2 THEN 'Content has changed since audit by user:bob on 2026-01-05|Marked as verified but no registry audit found' ELSE '' END AS warnings FROM supplier""")
+def trust_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("card_id"), F.from_json(F.expr(_MADE), manifest.TRUST).alias("trust"))
+    out = manifest.trust_chains(made, F.lit("h1"), F.lit("2026-02-01").cast("date"))
+    return out.select("card_id", F.col("trust_level").alias("level"), F.col("trust_score").alias("score"), "verified", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query(f"""WITH {VIEW}, hashed AS (SELECT split_part(path, '/', 2) AS top, path, sha256(content) AS h FROM vet_inputs),
+  blocks AS (SELECT top, k, sha256(string_agg(h, '' ORDER BY path, h)) AS h, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY top ORDER BY path, h) - 1) // 10000 AS k FROM hashed) GROUP BY top, k)
+  SELECT top, sha256(string_agg(h, '' ORDER BY k)) AS integrity, CAST(sum(n) AS BIGINT) AS files FROM blocks GROUP BY top""")
 def content_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = vet_inputs(spark, sf_dir).withColumn("top", F.split_part("path", F.lit("/"), F.lit(2)))
     return manifest.integrity(docs, "top")
