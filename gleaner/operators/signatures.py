@@ -1,4 +1,4 @@
-"""Signature rules: named strings, grouped by prefix, and how many of a group must be present."""
+"""Signature rules: named strings, and a condition on which of them are present, how often and in which order."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,29 +27,89 @@ class Signature:
     name: str
     meta: dict[str, str]
     strings: tuple[Text, ...]
-    groups: tuple[tuple[str, int], ...] = (("", 1),)  # prefix ("" is all) and least count; all groups must hold
+    condition: Node
 
 
+#: ("of", prefix, least count), ("count", string, comparison, number), ("not", node), ("and" or "or", nodes...), ("order", string, prefix): the string first stands before one of the prefix.
+Node = tuple
+
 _RULE = re.compile(r"rule\s+(\w+)[^{]*\{(.*?)\n\}", re.S)
 _STRING = re.compile(r"(\$\w*)\s*=\s*(?:\"((?:[^\"\\]|\\.)*)\"|/((?:[^/\\\n]|\\.)+)/(i?))([^\n]*)")
-_GROUP = re.compile(r"(any|all|\d+)\s+of\s+(?:\(\s*(\$\w*)\*?\s*\)|them)")
+_WORDS = re.compile(r"for\s+any\s+of\s*\(\s*\$\w*\*?\s*\)\s*:\s*\(\s*@\w+\s*<\s*@\s*\)|(?:any|all|\d+)\s+of\s+(?:\([^()]*\)|them)|[$#]\w+\*?|[<>=!]=?|\d+|and|or|not|[()]")
+_OF = re.compile(r"(any|all|\d+)\s+of\s+(?:\(([^()]*)\)|them)")
+_ORDER = re.compile(r"for\s+any\s+of\s*\(\s*(\$\w*)\*?\s*\)\s*:\s*\(\s*@(\w+)\s*<\s*@\s*\)")
+
+
+def condition(text: str, strings: tuple[Text, ...]) -> Node:
+    """What a condition asks: counts of strings and of their occurrences, joined by and, or, not. Anything else is refused."""
+    words = _WORDS.findall(text)
+    if re.sub(r"\s", "", "".join(words)) != re.sub(r"\s", "", text):
+        raise ValueError(f"condition is not understood: {text.strip()}")
+    at = 0
+
+    def taken(*which: str) -> bool:
+        nonlocal at
+        if at < len(words) and words[at] in which:
+            at += 1
+            return True
+        return False
+
+    def joined(kind: str, part) -> Node:
+        nodes = [part()]
+        while taken(kind):
+            nodes.append(part())
+        return nodes[0] if len(nodes) == 1 else (kind, *nodes)
+
+    def one() -> Node:
+        nonlocal at
+        if taken("not"):
+            return ("not", one())
+        if taken("("):
+            inner = joined("or", lambda: joined("and", one))
+            if not taken(")"):
+                raise ValueError(f"bracket is open: {text.strip()}")
+            return inner
+        word = words[at]
+        at += 1
+        if m := _ORDER.fullmatch(word):
+            return ("order", "$" + m[2], m[1])
+        if m := _OF.fullmatch(word):
+            parts = tuple(p.strip().rstrip("*") for p in m[2].split(",")) if m[2] else ("$",)
+            n = sum(s.var.startswith(parts) for s in strings)
+            return ("of", parts, {"any": 1, "all": n}.get(m[1]) or int(m[1]))
+        if word.startswith("#"):
+            at += 2
+            return ("count", "$" + word[1:], words[at - 2], int(words[at - 1]))
+        return ("count", word, ">=", 1)
+
+    node = joined("or", lambda: joined("and", one))
+    if at != len(words):
+        raise ValueError(f"condition goes on: {text.strip()}")
+    return node
+
+
+def without_lookahead(regex: str) -> str:
+    """The same test without (?!text) where `text` is plain: what follows differs from it at some character, or ends within it."""
+
+    def spelled(m: re.Match) -> str:
+        plain = re.sub(r"\\(.)", r"\1", m[1])
+        quoted = [c if c.isalnum() else "\\" + c for c in plain]
+        return "(?:" + "|".join("".join(quoted[:k]) + f"(?:[^{'' if c.isalnum() else chr(92)}{c}]|$)" for k, c in enumerate(plain)) + ")"
+
+    return re.sub(r"\(\?!((?:[A-Za-z0-9_-]|\\[.\\/])+)\)", spelled, regex)
 
 
 def parse(source: str) -> list[Signature]:
-    """Rules of a signature file: meta, strings (text or regex, nocase) and the counting parts of the condition, which must all hold."""
+    """Rules of a signature file: meta, strings (text or regex, nocase) and the condition."""
     out = []
     for name, body in _RULE.findall(source):
-        head, _, condition = body.partition("condition:")
+        head, _, asked = body.partition("condition:")
         meta_part, _, strings_part = head.partition("strings:")
         meta = {k: v.strip('"') for k, v in re.findall(r"(\w+)\s*=\s*(\"[^\"]*\"|\w+)", meta_part)}
         strings = tuple(
-            Text(var, regex or text.encode().decode("unicode_escape"), "regex" if regex else "text", bool(flag) or "nocase" in rest) for var, text, regex, flag, rest in _STRING.findall(strings_part)
+            Text(var, without_lookahead(regex.replace(r"\/", "/")) if regex else text.encode().decode("unicode_escape"), "regex" if regex else "text", bool(flag) or "nocase" in rest) for var, text, regex, flag, rest in _STRING.findall(strings_part)
         )
-        groups = []
-        for count, prefix in _GROUP.findall(condition):
-            of = [s for s in strings if not prefix or s.var.startswith(prefix)]
-            groups.append((prefix, {"any": 1, "all": len(of)}.get(count) or int(count)))
-        out.append(Signature(name, meta, strings, tuple(groups) or (("", 1),)))
+        out.append(Signature(name, meta, strings, condition(asked, strings)))
     return out
 
 
@@ -60,11 +120,30 @@ def present(text: Text, content: Column, lower: Column) -> Column:
 
 
 def holds(signature: Signature, content: Column, lower: Column) -> Column:
-    def group(prefix: str, least: int) -> Column:
-        found = [present(s, content, lower).cast("int") for s in signature.strings if s.var.startswith(prefix)]
-        return reduce(lambda a, b: a + b, found, F.lit(0)) >= least
-
-    return reduce(lambda a, b: a & b, [group(*g) for g in signature.groups])
+    def first(s: Text) -> Column:
+        return F.regexp_instr(content, F.lit(("(?i)" if s.nocase else "") + s.value)) if s.kind == "regex" else F.locate(s.value.lower() if s.nocase else s.value, lower if s.nocase else content)
+
+    def counted(s: Text) -> Column:
+        quoted = s.value if s.kind == "regex" else "".join(c if c.isalnum() else "\\" + c for c in s.value)
+        return F.regexp_count(content, F.lit(("(?i)" if s.nocase else "") + quoted))
+
+    def test(node: Node) -> Column:
+        kind, *args = node
+        if kind in ("and", "or"):
+            return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), [test(n) for n in args])
+        if kind == "not":
+            return ~test(args[0])
+        if kind == "of":
+            return reduce(lambda a, b: a + b, [present(s, content, lower).cast("int") for s in signature.strings if s.var.startswith(args[0])], F.lit(0)) >= args[1]
+        (named,) = [s for s in signature.strings if s.var == args[0]]
+        if kind == "order":
+            return first(named).between(1, F.greatest(F.lit(0), *[first(s) for s in signature.strings if s.var.startswith(args[1])]) - 1)
+        if args[1:] == [">=", 1]:
+            return present(named, content, lower)
+        n = counted(named)
+        return {">": n > args[2], ">=": n >= args[2], "<": n < args[2], "<=": n <= args[2], "==": n == args[2], "!=": n != args[2]}[args[1]]
+
+    return test(signature.condition)
 
 
 def scan(docs: DataFrame, signatures: list[Signature], key: str = "doc_id") -> DataFrame:
@@ -77,54 +156,80 @@ def scan(docs: DataFrame, signatures: list[Signature], key: str = "doc_id") -> D
     return docs.select(key, F.explode(F.array_compact(F.array(*rows))).alias("r")).select(key, "r.*", F.lit(0).cast("long").alias("line"))
 
 
-#: Signatures of our own; names, severities and conditions as results are compared by.
-BUILT_IN = parse(r'''
-rule PromptInjection_SystemOverride {
-  meta:
-    severity = "critical"
-  strings:
-    $a = "ignore all previous instructions" nocase
-    $b = "disregard your instructions" nocase
-    $c = "you are now unrestricted" nocase
-  condition: any of them
-}
-rule CredentialExfiltration_EnvLeak {
-  meta:
-    severity = "critical"
-  strings:
-    $env_a = "process.env"
-    $env_b = "os.environ"
-    $send_a = "fetch("
-    $send_b = "requests.post"
-  condition: (any of ($env*)) and (any of ($send*))
-}
-rule AgentHijacking_InstructionOverride {
-  meta:
-    severity = "critical"
-  strings:
-    $a = "new instructions" nocase
-    $b = "override" nocase
-    $c = "from now on" nocase
-    $d = "do not tell" nocase
-  condition: 2 of them
-}
-rule Backdoor_ReverseShell {
-  meta:
-    severity = "critical"
-  strings:
-    $a = "/dev/tcp/"
-    $b = "nc -e"
-    $c = /socket\.connect\([^)]*\)/
-  condition: any of them
-}
-rule InfoLeak_SystemInfo {
-  meta:
-    severity = "warning"
-  strings:
-    $a = "os.platform"
-    $b = "hostname"
-    $c = "whoami"
-    $d = "ifconfig"
-  condition: 3 of them
-}
-''')
+def read(spark: SparkSession, *paths: str) -> list[Signature]:
+    """Rules of signature files, which are small."""
+    return [r for p in paths for row in spark.read.text(p, wholetext=True).collect() for r in parse(row.value)]
+
+
+def status(signatures: list[Signature], files: int = 0) -> dict[str, object]:
+    return {"mode": "expressions", "files": files, "signatures": len(signatures)}
+
+
+def _texts(var: str, *values: str, kind: str = "text", nocase: bool = True) -> tuple[Text, ...]:
+    """$var1, $var2 and so on."""
+    return tuple(Text(f"${var}{k}", without_lookahead(v) if kind == "regex" else v, kind, nocase) for k, v in enumerate(values, 1))
+
+
+def _exact(var: str, *values: str) -> tuple[Text, ...]:
+    return _texts(var, *values, nocase=False)
+
+
+def _regex(var: str, *values: str, nocase: bool = False) -> tuple[Text, ...]:
+    return _texts(var, *values, kind="regex", nocase=nocase)
+
+
+def _signature(name: str, severity: str, category: str, asked: str, *groups: tuple[Text, ...]) -> Signature:
+    strings = tuple(x for g in groups for x in g)
+    return Signature(name, {"severity": severity, "category": category}, strings, condition(asked, strings))
+
+
+#: Name, severity, category, condition and strings of each signature.
+BUILT_IN = [
+    _signature("PromptInjection_SystemOverride", "critical", "prompt_injection", "any of them",
+        _texts("s", "ignore previous instructions", "ignore all previous", "disregard your instructions", "forget your instructions", "new system prompt", "override system prompt")),
+    _signature("PromptInjection_SystemOverride_Context", "warning", "prompt_injection", "any of ($role*) and any of ($ctx*)",
+        _texts("role", "you are now", "act as if you", "pretend you are", "from now on you"),
+        _texts("ctx", "ignore", "bypass", "disable", "override", "restrictions", "limitations", "rules", "constraints")),
+    _signature("PromptInjection_JailbreakAttempt", "critical", "prompt_injection", "any of them",
+        _texts("j", "DAN mode", "developer mode", "jailbreak", "unlock your", "remove restrictions", "bypass safety", "ignore safety", "disable filters", "no ethical", "without restrictions")),
+    _signature("CredentialExfiltration_WebhookLeak", "critical", "exfiltration", "(any of ($webhook*)) and (any of ($cred*))",
+        _texts("webhook", "webhook.site", "requestbin", "pipedream.net", "hookbin.com"),
+        _regex("cred", "send.*(?:api[_-]?key|token|secret|password|credential)", "post.*(?:api[_-]?key|token|secret|password|credential)", "fetch.*(?:api[_-]?key|token|secret|password|credential)", nocase=True)),
+    _signature("CredentialExfiltration_EnvLeak", "critical", "exfiltration", "(any of ($env*)) and (any of ($send*))",
+        _texts("env", "process.env", "os.environ", "getenv(", "$ENV{"), _texts("send", "fetch(", "axios", "request(", "http.post", "urllib")),
+    _signature("AgentHijacking_InstructionOverride", "critical", "hijacking", "2 of them",
+        _texts("h", "when you see this", "secret instruction", "hidden command", "if the user asks", "always respond with", "never tell the user", "do not reveal", "keep this secret")),
+    _signature("Backdoor_ReverseShell", "critical", "backdoor", "any of them",
+        _texts("rs", "nc -e /bin", "/dev/tcp/", "bash -i", "python -c", "socket.connect", "msfvenom", "metasploit", "socat exec", "reverse shell", "TCPSocket")),
+    _signature("Backdoor_CryptoMiner", "critical", "malware", "any of them",
+        _texts("m", "stratum+tcp://", "xmrig", "minerd", "cryptonight", "coinhive"), _regex("pool", r"pool\.[a-z]+\.com.*:3333", nocase=True), _texts("mining", "mining pool")),
+    _signature("DataTheft_FileExfil", "critical", "exfiltration", "(any of ($read*)) and (any of ($sensitive*)) and (any of ($exfil*))",
+        _texts("read", "readFileSync", "readFile(", "open(", "cat "), _exact("sensitive", ".ssh/id_rsa", ".aws/credentials", ".env", "secrets.json", ".npmrc", ".pypirc"), _texts("exfil", "fetch(", "http", "request(", "axios")),
+    _signature("SuspiciousEncoding_Base64Payload", "warning", "obfuscation", "any of them",
+        _regex("b64_decode", r"(?:atob|Buffer\.from|base64\.b64decode)\s*\(\s*[\"'][A-Za-z0-9+/=]{100,}[\"']"), _regex("b64_eval", r"eval\s*\(\s*(?:atob|Buffer\.from)", nocase=True)),
+    _signature("SuspiciousEncoding_HexPayload", "warning", "obfuscation", "any of them", _regex("hex", r"\\x[0-9a-f]{2}(?:\\x[0-9a-f]{2}){20,}", r"fromCharCode\s*\(\s*0x[0-9a-f]+", nocase=True)),
+    _signature("AgentAbuse_MassMessage", "warning", "abuse", "any of them", _texts("spam", "send to all", "mass message", "bulk send", "for each contact", "iterate.*contacts", "broadcast to")),
+    _signature("AgentAbuse_RateLimitBypass", "warning", "abuse", "any of them", _texts("rl", "bypass rate", "avoid rate limit", "rate limit evasion", "rotate.*proxy", "rotating.*ip")),
+    _signature("PrivilegeEscalation_SudoAbuse", "critical", "privilege_escalation", "any of them", _texts("sudo", "sudo su", "sudo -i", "sudo bash", "chmod 777", "chmod +s", "setuid", "/etc/sudoers", "visudo")),
+    _signature("SupplyChain_PackageHijack", "critical", "supply_chain", "(any of ($pkg*)) and (any of ($mal*))",
+        _texts("pkg", "npm publish", "pip upload", "gem push", "postinstall", "preinstall"), _texts("mal", "curl", "wget", "exec(", "spawn(")),
+    _signature("InfoLeak_SystemInfo", "warning", "reconnaissance", "3 of them", _texts("sys", "os.platform", "os.hostname", "os.userInfo", "whoami", "uname -a", "cat /etc/passwd", "ipconfig", "ifconfig")),
+    _signature("injection_code_shells", "high", "injection", "$imp1 and any of ($mod*) and for any of ($mod*) : (@imp1 < @)", _exact("imp", "import"), _exact("from", "from"), _exact("mod", "os", "cmd", "subprocess", "shutil")),
+    _signature("injection_code_networking", "high", "injection", "$imp1 and any of ($mod*) and for any of ($mod*) : (@imp1 < @)", _exact("imp", "import"), _exact("from", "from"), _exact("mod", "socket", "http", "requests", "urllib", "asyncssh")),
+    _signature("injection_code_eval", "high", "injection", "any of them", _regex("call", r"eval\s*\(", r"exec\s*\(", r"compile\s*\([^)]*,\s*['\"]exec['\"]", r"getattr\s*\("), _exact("inner", "__globals__", "__builtins__")),
+    _signature("injection_sqli", "high", "injection", "any of ($method*) and any of ($re*)",
+        _texts("method", "SELECT", "ALTER", "CREATE", "DROP", "EXEC", "UNION", "INSERT", "DELETE", "TRUNCATE", "UPDATE"),
+        _regex("re", r"--[^\r\n]+", r"'\s*(OR|AND)\s+['0-9]", r";\s*(DROP|DELETE|UPDATE|INSERT|ALTER|EXEC)", r"(cha?r\(\d+\)([,+]|\|\|)?)+", r"(SELECT|FROM)\s+pg_\w+", r"SLEEP\s*\(\s*\d+\s*\)", r"BENCHMARK\s*\(", r"INTO\s+(OUT|DUMP)FILE", nocase=True)),
+    _signature("supply_chain_lockfile_manipulation", "high", "supply-chain", "any of ($lock*) and any of ($action*)",
+        _exact("lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Pipfile.lock", "poetry.lock", "Gemfile.lock"), _regex("action", r"(?:rm|delete|remove|unlink)\s+.*lock", r"sed\s+-i.*lock", r"echo\s+.*>\s*.*lock", nocase=True)),
+    _signature("supply_chain_registry_override", "high", "supply-chain", "any of them",
+        _regex("reg", r"registry\s*=\s*https?://(?!registry\.npmjs\.org)", r"--index-url\s+https?://(?!pypi\.org)", r"--extra-index-url\s+https?://", r"npm_config_registry\s*=", r"\[global\]\s*\n\s*index-url", nocase=True)),
+    _signature("supply_chain_postinstall_exfil", "critical", "supply-chain", "any of ($post*) and any of ($net*)",
+        _exact("post", "postinstall", "preinstall", "install"), _regex("net", r"curl\s+", r"wget\s+", r"fetch\s*\(", r"http\.get\s*\(", r"https\.get\s*\(", r"XMLHttpRequest", r"\.send\s*\(")),
+    _signature("supply_chain_git_hook_injection", "high", "supply-chain", "any of ($hook*) and any of ($write*)",
+        _exact("hook", ".git/hooks/pre-commit", ".git/hooks/post-commit", ".git/hooks/pre-push", ".git/hooks/post-checkout", ".git/hooks/pre-receive"), _regex("write", r"echo\s+.*>\s*\.git/hooks", r"cp\s+.*\.git/hooks", r"chmod\s+\+x\s+.*\.git/hooks")),
+    _signature("injection_template", "high", "injection", "($open1 and $close1 and any of ($payload*)) or ($block1 and $endblock1 and any of ($payload*))",
+        _exact("open", "{{"), _exact("close", "}}"), _exact("block", "{%"), _exact("endblock", "%}"), _exact("payload", "__class__", "__subclasses__", "__mro__", "__globals__", "__builtins__", "__import__", "config.items()")),
+    _signature("injection_xss", "high", "injection", "any of them",
+        _regex("re", r"<script[^>]*>[^\n]+?</script>", r"on(error|load|click|mouseover|focus|blur)\s*=", r"javascript\s*:", r"data\s*:\s*text/html", r"\[[^\n]+\]\(javascript[^\n]+\)", r"<svg[^>]*onload", r"<img[^>]*onerror", r"<iframe[^>]*src\s*=\s*[\"']?javascript", r"eval\s*\(\s*['\"`]", r"document\s*\.\s*write\s*\(", nocase=True)),
+]

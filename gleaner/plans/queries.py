@@ -215,16 +215,30 @@ def custom_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signature_sql() -> str:
+    def pattern(t: signatures.Text) -> str:
+        return literal(("(?i)" if t.nocase else "") + (t.value if t.kind == "regex" else "".join(c if c.isalnum() else "\\" + c for c in t.value)))
+
     def test(t: signatures.Text) -> str:
         if t.kind == "regex":
-            return f"regexp_matches(content, {literal(('(?i)' if t.nocase else '') + t.value)})"
+            return f"regexp_matches(content, {pattern(t)})"
         return f"contains(lower(content), {literal(t.value.lower())})" if t.nocase else f"contains(content, {literal(t.value)})"
 
+    def asked(s: signatures.Signature, node: tuple) -> str:
+        kind, *args = node
+        if kind in ("and", "or"):
+            return "(" + f" {kind} ".join(asked(s, n) for n in args) + ")"
+        if kind == "of":
+            return "(" + " + ".join(f"CAST({test(t)} AS INT)" for t in s.strings if t.var.startswith(args[0])) + f") >= {args[1]}"
+        if kind == "order":
+            first = lambda t: f"strpos(content, {literal(t.value)})"
+            (named,) = [t for t in s.strings if t.var == args[0]]
+            return f"{first(named)} BETWEEN 1 AND greatest({', '.join(first(t) for t in s.strings if t.var.startswith(args[1]))}) - 1"
+        return next(test(t) for t in s.strings if t.var == args[0])
+
     rows = []
     for s in signatures.BUILT_IN:
-        groups = " AND ".join("(" + " + ".join(f"CAST({test(t)} AS INT)" for t in s.strings if t.var.startswith(p)) + f") >= {n}" for p, n in s.groups)
         shown = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test(t)} THEN {literal(t.value)} END" for t in s.strings) + "], lambda x: x IS NOT NULL)[1:3], ', ')"
-        rows.append(f"SELECT doc_id, '{s.name}' AS rule_id, '{s.meta['severity']}' AS severity, {shown} AS snippet FROM vet_inputs WHERE {groups}")
+        rows.append(f"SELECT doc_id, '{s.name}' AS rule_id, '{s.meta['severity']}' AS severity, {shown} AS snippet FROM vet_inputs WHERE {asked(s, s.condition)}")
     return " UNION ALL ".join(rows)
 
 
