@@ -70,3 +70,23 @@ def evaluate(requests: DataFrame, policies: tuple[Policy, ...] = DEFAULT, defaul
 def stats(evaluated: DataFrame) -> DataFrame:
     """Counts by action of the requests that a rule decided."""
     return evaluated.where("rule_id is not null").groupBy("rule_id", "action").agg(F.count("*").alias("n"))
+
+
+def from_yaml(text: str) -> tuple[tuple[Policy, ...], str]:
+    """The rules of a policy file, in order of priority where they have one, and its default action."""
+    try:
+        import yaml
+
+        read = yaml.safe_load(text) or {}
+    except ImportError:
+        import json
+
+        read = json.loads(text)
+    rules = sorted(enumerate(read.get("rules", [])), key=lambda x: (-(x[1].get("priority") or 0), x[0]))
+    made = []
+    for k, r in rules:
+        match = r.get("match") or r
+        tool = match.get("tool") or ()
+        args = {name: m if isinstance(m, dict) else {"equals": str(m)} for name, m in (match.get("args") or {}).items()}
+        made.append(Policy(str(r.get("id") or f"rule-{k}"), r["action"], (tool,) if isinstance(tool, str) else tuple(tool), match.get("toolPattern"), args, r.get("reason") or ""))
+    return tuple(made), read.get("defaultAction") or read.get("default_action") or "allow"

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-URL = r"https?://[^\s\"'<>]+"
-IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
+#: An address, what ends it by mistake, a number between word ends, and numbers that are private.
+URL = r"(?i)https?://[^\s\"'<>]+"
+TRAILING = r"[.,;:!?)]+$"
+IP = r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
+PRIVATE = r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
 
 
 def urls(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", "")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, TRAILING, "")))
 
 
 def public_ip(ip: Column) -> Column:
     parts = F.split(ip, r"\.")
-    return F.forall(parts, lambda p: p.cast("int") <= 255) & ~ip.rlike(r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)")
+    return F.forall(parts, lambda p: p.cast("int") <= 255) & ~ip.rlike(PRIVATE)
 
 
 def ips(text: Column) -> Column:
@@ -45,3 +48,9 @@ def within_rate(requests: DataFrame, key: str, ts: str = "ts", every: str = "1 m
     window = F.window(ts, every)["start"]
     place = F.row_number().over(W.partitionBy(key, window).orderBy(ts, tie))
     return requests.withColumn("allowed", place <= most)
+
+
+def status(requests: DataFrame, table: DataFrame, most: int = 4) -> DataFrame:
+    """One row: requests in all, how many the rate allowed, the rate, and addresses in the table."""
+    allowed = F.coalesce(F.sum(F.col("allowed").cast("long")), F.lit(0))
+    return requests.agg(F.count("*").alias("requests"), allowed.alias("allowed"), F.lit(most).alias("rate"), F.lit(table.count()).alias("known"))

@@ -1,0 +1,129 @@
+"""One scan: documents to findings of all producers in one schema, suppressed, deduplicated and counted."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import text as T
+from gleaner.operators import catalog, manifest, reputation, scan, signatures
+from gleaner.operators.catalog import Rule
+from gleaner.operators.signatures import Signature
+from gleaner.sources import files
+
+#: The columns of findings, whoever makes them.
+FINDING = {
+    "rule_id": "string", "severity": "string", "description": "string", "path": "string", "line": "long", "column": "long", "snippet": "string", "line_content": "string",
+    "recommendation": "string", "category": "string", "source": "string", "tags": "array<string>", "url": "string", "score": "double", "fixable": "boolean", "current_mode": "string",
+}
+#: The order in which producers' findings are appended; the first of equal ones is kept.
+SOURCES = ("static", "custom", "permission", "signature", "dependency", "analysis", "reputation")
+
+
+def shaped(findings: DataFrame, source: str) -> DataFrame:
+    """findings with every column of FINDING, absent ones null, and the number of their source."""
+    held = {c: (F.col(c) if c in findings.columns else F.lit(None)).cast(kind).alias(c) for c, kind in FINDING.items() if c != "source"}
+    return findings.select(*held.values(), F.lit(source).alias("source"), F.lit(SOURCES.index(source)).alias("seq"))
+
+
+@dataclass(frozen=True)
+class Result:
+    findings: DataFrame
+    suppressed: DataFrame
+
+    def counts(self) -> DataFrame:
+        """One row: findings in all and by severity."""
+        return scan.severity_counts(self.findings)
+
+    def fixable(self) -> DataFrame:
+        return self.findings.where("fixable")
+
+
+def dependencies(advisories: DataFrame) -> DataFrame:
+    """advisories(path, name, level, title) as findings: high and critical are critical, moderate a warning, the rest info."""
+    level = F.col("level")
+    severity = F.when(level.isin("high", "critical"), "critical").when(level == "moderate", "warning").otherwise("info")
+    return advisories.select("path", F.concat(F.lit("deps-"), "name").alias("rule_id"), severity.alias("severity"), F.col("title").alias("description"), F.col("name").alias("snippet"), F.lit(0).cast("long").alias("line"))
+
+
+def analysed(found: DataFrame) -> DataFrame:
+    """found(path, type, severity, title, evidence, confidence) of analysis.findings as findings: high and critical are critical, medium a warning, the rest info."""
+    level = F.col("severity")
+    severity = F.when(level.isin("high", "critical"), "critical").when(level == "medium", "warning").otherwise("info")
+    return found.select("path", F.concat(F.lit("llm-"), "type").alias("rule_id"), severity.alias("severity"), F.col("title").alias("description"), F.col("evidence").alias("snippet"), F.col("confidence").alias("score"), F.lit(0).cast("long").alias("line"))
+
+
+def looked_up(docs: DataFrame, table: DataFrame, budget: int = 10) -> DataFrame:
+    """Addresses in docs(path, content) that a table(target, malicious, total) knows as bad: malicious ones are critical, suspicious ones a warning."""
+    known = reputation.verdicts(reputation.targets(docs, "path", "content", budget).where("checked"), table).where("verdict in ('malicious', 'suspicious')")
+    severity = F.when(F.col("verdict") == "malicious", "critical").otherwise("warning")
+    return known.select("path", F.concat_ws("-", F.lit("reputation"), "verdict").alias("rule_id"), severity.alias("severity"), F.lit("Address with a bad reputation").alias("description"), F.col("target").alias("snippet"), F.col("target").alias("url"), "score", F.lit(0).cast("long").alias("line"))
+
+
+def vet(
+    docs: DataFrame, severity: str = "info", builtin: bool = True, custom: Sequence[Rule] = (), with_signatures: bool = True, more_signatures: Sequence[Signature] = (),
+    listing: DataFrame | None = None, advisories: DataFrame | None = None, analysis: DataFrame | None = None, addresses: DataFrame | None = None, suppress: bool = True,
+) -> Result:
+    """Findings of docs(path, content), a row for each file.
+
+    Static and custom rules at or above `severity`, signatures, file modes of a
+    `listing`, `advisories` on packages, results of an `analysis` and a table of
+    known `addresses`: each producer takes part where its input is given.  Then
+    comments that suppress take effect and of each file, rule and line the first
+    finding stays.
+    """
+    made = []
+    rules = catalog.select(catalog.rules(), severity) if builtin else []
+    for source, found in (("static", rules), ("custom", catalog.select(list(custom), severity))):
+        if found:
+            made.append(shaped(scan.located(docs, found, "path").withColumn("category", F.lit(source)), source))
+    if listing is not None:
+        made.append(shaped(files.mode_findings(listing), "permission"))
+    every = [*(signatures.BUILT_IN if with_signatures else []), *more_signatures]
+    if every:
+        found = signatures.scan(docs, every, "path")
+        made.append(shaped(found.where(T.severity_passes(F.col("severity"), severity)), "signature"))
+    if advisories is not None:
+        made.append(shaped(dependencies(advisories), "dependency"))
+    if analysis is not None:
+        made.append(shaped(analysed(analysis), "analysis"))
+    if addresses is not None:
+        made.append(shaped(looked_up(docs, addresses), "reputation"))
+    findings = made[0] if made else docs.sparkSession.createDataFrame([], ", ".join(f"`{k}` {v}" for k, v in FINDING.items()) + ", seq int")
+    for f in made[1:]:
+        findings = findings.unionByName(f)
+    gone = findings.limit(0)
+    if suppress:
+        findings, gone = scan.split_suppressed(findings, scan.suppressions(docs, "path"), "path")
+    return Result(scan.deduplicated(findings, ["seq", "column", "snippet"]).drop("seq"), gone.drop("seq"))
+
+
+def vet_path(spark: SparkSession, root: str, max_bytes: int = files.MAX_BYTES, ignore: tuple[str, ...] = (), nested: bool = True, modes: bool = True, **options: object) -> Result:
+    """Findings of the files under a folder, or of one file, with its ignore files and file modes; paths are relative."""
+    docs = files.scan_files(spark, root, max_bytes, ignore, nested).withColumn("path", files.relative(F.col("path"), root))
+    listing = files.listed(spark, root).withColumn("path", files.relative(F.col("path"), root)) if modes else None
+    return vet(docs, listing=listing, **options)
+
+
+def merged(*counts: DataFrame) -> DataFrame:
+    """One row: the sums of counters of several scans."""
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.agg(*[F.sum(c).alias(c) for c in counts[0].columns])
+
+
+def discovered(findings: DataFrame) -> DataFrame:
+    """One row: how many files hold tool servers, configurations and agent frameworks, and the frameworks' names, from findings of the discovery rules."""
+    r = F.col("rule_id")
+    has = lambda part: F.when(r.contains(part), F.col("path"))
+    frameworks = F.array_sort(F.collect_set(F.when(r.startswith("mcp-agent-"), F.regexp_replace(r, "^mcp-agent-", ""))))  # names of rules: as many as there are rules
+    return findings.agg(F.count_distinct(has("mcp-server")).alias("servers"), F.count_distinct(has("mcp-config")).alias("configurations"), F.count_distinct(has("mcp-agent")).alias("agents"), frameworks.alias("frameworks"))
+
+
+def usage(docs: DataFrame) -> DataFrame:
+    """(path, category, permission) that files of code show."""
+    return manifest.usage(docs.where(manifest.is_code(F.col("path"))), "path")

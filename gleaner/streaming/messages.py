@@ -42,3 +42,13 @@ def sliding(events: DataFrame, late: str = "10 minutes", size: str = "2 hours",
 
 def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def running_counts(judged: DataFrame) -> DataFrame:
+    """Messages and points by direction and action so far; for output mode update or complete."""
+    return firewall.stats(judged)
+
+
+def fresh_targets(found: DataFrame, target: str = "target", ts: str = "ts", ttl: str = "1 hour") -> DataFrame:
+    """Of a stream of addresses those to be looked up: an address that was seen within the time to live is known already."""
+    return found.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([target])
