@@ -63,11 +63,12 @@ def located(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> Data
             for r in rules[at : at + CHUNK]
         ]
         parts.append(F.array_compact(F.array(*found)))
-    keep = [key, *(["path"] if "path" in docs.columns else [])]
-    rows = d.select(*keep, "content", F.explode(F.concat(*parts)).alias("r")).select(*keep, "content", *[f"r.{n}" for n in names], F.explode(T.places(F.col("r.marked"))).alias("m"))
-    return rows.select(
-        *keep, *names, F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"),
-        T.masked(F.col("rule_id"), F.col("m.match")).alias("snippet"), T.line_text(F.col("content"), F.col("m.line")).alias("line_content"),
+    keep = [*dict.fromkeys([key, *(["path"] if "path" in docs.columns else [])])]
+    rows = d.select(*keep, "content", F.explode(F.concat(*parts)).alias("r")).select(*keep, F.split("content", "\n", -1).alias("lines"), *[f"r.{n}" for n in names], "r.marked")
+    # lines are split once for each rule that matches, and each place takes its own along
+    shown = F.transform(T.places(F.col("marked")), lambda m: F.struct(m["line"].alias("line"), m["column"].alias("column"), m["match"].alias("match"), F.substring(F.trim(F.element_at("lines", m["line"])), 1, 100).alias("line_content")))
+    return rows.select(*keep, *names, F.explode(shown).alias("m")).select(
+        *keep, *names, F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"), T.masked(F.col("rule_id"), F.col("m.match")).alias("snippet"), "m.line_content",
     )
 
 

@@ -39,9 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Small files load as few partitions: as many rows to each core, since each row is costly; tables of many files stay as they are."""
+    """Small tables load as few partitions: as many rows to each core, since each row is costly; tables that are read in a partition for each core or more stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def vet_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,11 +33,14 @@ def audit_log(judged: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def tumbling(events: DataFrame, late: str = "10 minutes", every: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every)["start"].alias("start"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    # the window itself is the key: its start alone carries no watermark
+    counted = events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, late: str = "10 minutes", size: str = "2 hours", step: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size, step)["start"].alias("start"), "event_type").agg(F.count("*").alias("n"))
+    counted = events.withWatermark("ts", late).groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
