@@ -143,7 +143,7 @@ def starts_of(postings: list[tuple[int, int, str]], agree: int) -> tuple[Column,
     return F.array_sort(starts), need
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, most: int = 3, agree: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, most: int = 64, agree: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels and score of each text."""
     found = written(base(occurrences(docs, licence_words(templates), id_col, text_col)), "licences")
     some = found.where(F.size("hits") > 0)

@@ -60,7 +60,7 @@ def _stands(words: list[str], at: str) -> str:
     return " AND ".join(f"w[{at} + {k}] = '{x}'" for k, x in enumerate(words))
 
 
-def licences(most: int = 3, agree: int = 2) -> str:
+def licences(most: int = 64, agree: int = 2) -> str:
     """A template's label holds where its key phrase stands and `agree` of its `most` rarest words stand at their places; the score is the largest share of its words that do."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     base = [(f"list_filter(range(1, len(w) + 1), lambda i: {_stands(phrase.split(), 'i')})", label) for phrase, label, _ in licenses.BASE]

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -15,7 +16,7 @@ from gleaner.llm import fingerprints, licenses, line_dedup, mixing, near_duplica
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {i: chr(i + 32) for i in range(65, 91)}
-CLASHING = ("carry", "size", "path", "token", "id", "row", "line", "text_left", "rules", "takes", "_size", "words")
+CLASHING = ("_", "gone_lines", "gone_id", "own", "whole", "carry", "size", "path", "token", "id", "row", "line", "text_left", "rules", "takes", "_size", "words")
 
 
 def vocabulary(n=400, seed=1):
@@ -180,12 +181,29 @@ def test_mixing_meets_its_targets(spark, texts, odd, which):
     assert sorted((str(r.id), r.size, r.taken) for r in again) == sorted((str(r.id), r.size, r.taken) for r in rows)
 
 
-def test_mixing_quotas_are_split_evenly(spark, texts):
+def test_mixing_tree(spark, texts):
+    """Every place of the quota goes to one shard, shards are of equal size, and over seeds each source's share of a shard spreads as draws without replacement do."""
     from collections import Counter
 
-    rows = mixing.mix(table(spark, texts), levels=3).selectExpr("explode(takes) t").selectExpr("t.shard", "t.pass", "t.shuffle_key").collect()
-    assert set(r.shard for r in rows) <= set(range(8)) and len({r.shuffle_key for r in rows}) == len(rows)
-    assert max(Counter(r.shard for r in rows).values()) <= 2 * len(rows) / 8
+    d = table(spark, texts, source=lambda k: f"s{k % 2}")
+    rows = mixing.mix(d, levels=3).selectExpr("id", "explode(takes) t").selectExpr("id", "t.shard", "t.pass", "t.shuffle_key", "t.taken").collect()
+    assert set(r.shard for r in rows) <= set(range(8)) and len({r.shuffle_key for r in rows}) == len(rows) == len({(r.id, r["pass"]) for r in rows})
+    places = spark.createDataFrame([(s, k) for s, n in ((1, 90), (2, 54)) for k in range(n)], "source_place int, k int").cache()
+    counts = []
+    for seed in range(12):
+        split = mixing.split_quotas(places, 3, f"seed{seed}").collect()
+        assert len({(r.source_place, r.k) for r in split}) == len(split) == 144 and set(Counter(r.shard for r in split).values()) == {18}
+        by = Counter((r.shard, r.source_place) for r in split)
+        counts += [by[s, 2] for s in range(8)]
+    mean, spread = 18 * 54 / 144, 18 * (54 / 144) * (90 / 144) * (144 - 18) / 143
+    assert abs(sum(counts) / len(counts) - mean) < 1e-9 and 0.6 * spread < sum((c - mean) ** 2 for c in counts) / len(counts) < 1.5 * spread
+    assert sum(r.taken for r in rows) == sum(r.taken for r in mixing.mix(d, levels=0).select(mixing.taken_words().alias("taken")).collect())
+
+
+def test_mixing_carries_any_column(spark, texts):
+    d = table(spark, texts[:30])
+    rows = mixing.mix(d, d.columns).select("carry.*").collect()
+    assert sorted(tuple(r[c] for c in d.columns) for r in rows) == sorted(map(tuple, d.collect()))
 
 
 def counted(t):
@@ -239,6 +257,17 @@ def test_licences(spark):
     assert rows[4].score == 0 and rows[2].score == 1 and 0 < rows[5].score <= 1
 
 
+def test_licence_postings_agree_on_a_start(spark):
+    """A label needs two of the template's rarest words at their places and its key phrase; words elsewhere don't count, long templates do."""
+    t = licenses.Template("own", "alpha beta " + " ".join(f"w{k}" for k in range(60)) + " gamma delta", "gamma delta")
+    base = " ".join(f"w{k}" for k in range(60))
+    plain = [f"x alpha beta {base} gamma delta y", f"alpha beta {base} gamma", "gamma delta", f"alpha alpha beta {base} gamma delta", "delta gamma", f"{base} gamma delta", f"alpha beta {base} q gamma delta"]
+    scan = lambda most, agree: {r.doc_id: r for r in licenses.scan(table(spark, plain), (t,), most=most, agree=agree).collect()}
+    rows = scan(64, 40)
+    assert {k for k in rows if rows[k].labels == "own"} == {0, 3, 5} and rows[0].score == 1 == rows[3].score and rows[5].score == 62 / 64
+    assert {k for k, r in scan(64, 2).items() if r.labels == "own"} == {0, 2, 3, 5, 6} and not any(r.labels for r in scan(64, 65).values() if r.doc_id in (1, 4))
+
+
 @pytest.mark.parametrize("rows", [0, 1, 5, 120])
 def test_shards_are_exact_and_uniform(spark, texts, rows):
     got = sharding.shard(table(spark, texts[:rows]), shards=7, block_rows=16).collect()
@@ -250,6 +279,31 @@ def test_shards_are_exact_and_uniform(spark, texts, rows):
     assert sum(sizes) == rows and max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
 
 
+def test_draws_follow_the_hypergeometric_law():
+    from math import comb
+
+    for good, bad, n in ((50, 70, 30), (5, 5, 5), (1, 100, 50), (1000, 20, 1015)):
+        low, chances = sharding._chances(good, bad, n)
+        for k in range(max(0, n - bad), min(good, n) + 1):
+            assert abs(chances[k - low] - comb(good, k) * comb(bad, n - k) / comb(good + bad, n)) < 1e-12
+    rng = __import__("numpy").random.default_rng(1)
+    got = [sharding._draw(rng, 10**10, 15 * 10**10, 4 * 10**6) for _ in range(300)]
+    mean, spread = 250_000, 250_000 * 15 / 16
+    assert abs(sum(got) / 300 - mean) < 4 * (spread / 300) ** 0.5 and 0.75 < sum((x - mean) ** 2 for x in got) / 300 / spread < 1.3
+
+
+def test_rows_spread_uniformly_over_shards_and_slots(spark, texts):
+    """Over seeds each row is in each shard, and in the front half of its shard, about equally often."""
+    shard, front = defaultdict(int), 0
+    d = table(spark, texts[:48]).cache()
+    for seed in range(16):
+        for r in sharding.shard(d, shards=4, seed=seed, block_rows=8).collect():
+            shard[r.doc_id % 4, r.shard] += 1
+            front += r.slot < 6
+    assert len(shard) == 16 and all(24 <= n <= 72 for n in shard.values()) and front == 16 * 24
+    assert sum((n - 48) ** 2 / 48 for n in shard.values()) < 40
+
+
 def test_matrix_has_exact_margins():
     m = sharding.communication_matrix([10, 0, 3, 999], 16)
     assert m.sum(axis=1).tolist() == [10, 0, 3, 999] and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and m.min() >= 0
@@ -296,6 +350,31 @@ def test_nodes_beyond_a_leaf_are_whole(spark, monkeypatch):
     test_components_equal_brute_force(spark, 3, 4)
 
 
+@pytest.mark.parametrize(("leaf", "tile", "depth"), [(100, 256, 8), (8, 4, 3)])
+def test_graded_copies_of_one_text(spark, monkeypatch, leaf, tile, depth):
+    """A large group in which many sets are near the threshold, some below it: components as by brute force, and no more rows of tiles than parts need."""
+    for k, v in {"LEAF": leaf, "TILE": tile, "DEPTH": depth}.items():
+        monkeypatch.setattr(near_duplicates, k, v)
+    rng, words = random.Random(4), vocabulary(2000, 5)
+    text = [rng.choice(words) for _ in range(120)]
+    plain = []
+    for k in range(160):
+        w = list(text)
+        for at in rng.sample(range(120), rng.choice([0, 1, 2, 3, 5, 8, 12])):
+            w[at] = f"new{k}x{at}"
+        plain.append(" ".join(w))
+    sets, root = [shingle_set(t, 5) for t in plain], list(range(160))
+    top = lambda x: x if root[x] == x else top(root[x])
+    for a in range(160):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r.doc_id: r for r in near_duplicates.near_duplicates(table(spark, plain)).collect()}
+    assert {k: r.component_id for k, r in got.items()} == {k: top(k) for k in range(160)}
+    assert all(r.kept == (k == r.component_id) and r.n_shingles == len(sets[k]) for k, r in got.items()) and len({r.component_id for r in got.values()}) > 10
+
+
 def test_passages_are_found_whole(spark, texts):
     found = defaultdict(list)
     for r in passages.repeated_passages(table(spark, texts)).collect():
@@ -332,6 +411,41 @@ def test_passages_of_common_lines_are_found(spark):
     assert got == {(doc, at, 60) for doc, at in want}
 
 
+def test_recall_of_variants(spark):
+    """Passages of 52 to 200 words in which words are put in, left out or changed, at a five-word similarity of 0.8 or more: nine of ten are found, and nothing else is."""
+    rng, words = random.Random(12), [f"v{k}" for k in range(4000)]
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    shset = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    stock, plain, held = [prose(20) for _ in range(2)], [], defaultdict(int)
+    kinds = ("put in", "left out", "changed")
+    for k in range(240):
+        kind, n = kinds[k % 3], rng.choice([52, 60, 75, 90, 120, 200])
+        p = stock[0] + prose(n - 40) + stock[1] if k % 4 == 0 else prose(n)
+        v = list(p)
+        while True:
+            w, at = list(v), rng.randrange(2, len(v) - 2)
+            w[at : at + (kind != "put in")] = [] if kind == "left out" else [f"own{rng.random()}"]
+            if len(shset(p) & shset(w)) < 0.8 * len(shset(p) | shset(w)) or len(w) < 50:
+                break
+            v = w
+            if rng.random() < 0.4:
+                break
+        plain += [" ".join(prose(rng.randrange(20, 80)) + x + prose(rng.randrange(20, 80))) for x in (p, v)]
+    plain += [" ".join(prose(150)) for _ in range(100)]
+    found = {r.doc_id: r.cluster_id for r in passages.repeated_passages(table(spark, plain)).collect()}
+    for k in range(240):
+        held[kinds[k % 3]] += found.get(2 * k) == found.get(2 * k + 1) is not None
+    assert all(n >= 0.9 * 80 for n in held.values()), dict(held)
+    assert not [k for k in found if k >= 480]
+
+
+def test_copies_of_a_whole_text_are_passages(spark):
+    words = [f"z{k}" for k in range(200)]
+    plain = [" ".join(words[:80]), " ".join(words[:80]), " ".join(words[80:140]), " ".join(words[:40]), " ".join(words[:40]), None]
+    rows = sorted((r.doc_id, r.start_word, r.n_words, r.cluster_id, r.kept) for r in passages.repeated_passages(table(spark, plain)).collect())
+    assert rows == [(0, 0, 80, 0, True), (1, 0, 80, 0, False)]
+
+
 def one_edit(a, b):
     if len(a) > len(b):
         a, b = b, a
@@ -351,7 +465,11 @@ def test_lines_equal_brute_force(spark, texts):
             if WORD.search(x):
                 first.setdefault(x, (k, i))
                 places.append((k, i, x))
-    near = {x: min((first[y] for y in first if y != x and min(len(x), len(y)) >= line_dedup.LEAST and first[y] < first[x] and one_edit(x, y)), default=None) for x in first}
+    near, stay = {}, []
+    for x in sorted(first, key=first.get):  # a line is dropped for a line that stays, never for a dropped one
+        near[x] = min((first[y] for y in stay if min(len(x), len(y)) >= line_dedup.LEAST and one_edit(x, y)), default=None)
+        if near[x] is None:
+            stay.append(x)
     want = {(k, i): ((near[x] or first[x]), int(near[x] is not None)) for k, i, x in places if (near[x] or first[x]) != (k, i)}
     got = {(r.doc_id, r.line_no): ((r.kept_doc_id, r.kept_line_no), r.edits) for r in line_dedup.dropped(table(spark, plain)).collect()}
     assert got == want and any(v[1] for v in want.values())
@@ -361,6 +479,15 @@ def test_lines_equal_brute_force(spark, texts):
         assert (left[k].text == kept and left[k].n_chars == len(kept)) if WORD.search(kept) else k not in left
 
 
+def test_no_line_is_dropped_for_a_dropped_line(spark):
+    x = "the quick brown fox jumps over it"
+    chain = [x, x + "1", x + "12", x + "123", "the quikc brown fox", x + "12"]
+    got = {r.doc_id: (r.kept_doc_id, r.edits) for r in line_dedup.dropped(table(spark, chain)).collect()}
+    assert got == {1: (0, 1), 3: (2, 1), 5: (2, 0)}
+    rows = {r.doc_id: r for r in line_dedup.without_repeats(table(spark, chain)).collect()}
+    assert set(rows) == {0, 2, 4} and all(rows[k].text == chain[k] and all(rows[k][c] == f"x{k}" for c in CLASHING) for k in rows)
+
+
 def test_rows_of_one_id_lose_their_own_lines(spark):
     texts = ["aa\nbb", "cc\naa", "dd\nee", "dd\nee", "ff\ngg", "hh\nff", "ii\njj", "ii\njj", "", "", "kk\nll", "kk\nll\nmm"]
     ids = [None, None, None, None, 7, 7, 8, 8, None, None, None, 9]
@@ -372,21 +499,95 @@ def test_rows_of_one_id_lose_their_own_lines(spark):
     assert sorted(r.text for r in line_dedup.without_repeats(same).collect()) == [" ", " ", "x y\nz"]
 
 
-def test_fingerprints(spark, texts, odd):
-    rows = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, texts).repartition(5)).collect()}
-    for k, t in enumerate(texts):
-        after, cut = texts[(k + 1) % len(texts)], len(t) // 4
+def piecewise(raw, least=32, most=128):
+    """Context-triggered piecewise hashing, byte by byte."""
+    letters, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (1 << 32) - 1
+    rolling = []
+    for i in range(len(raw)):
+        x = sum(raw[i - k] * pow(0x01000193, k + 1, 1 << 32) for k in range(min(7, i + 1))) & low
+        x ^= x >> 15
+        x = x * 0x2C1B3C6D & low
+        rolling.append(x ^ (x >> 13))
+    ends = lambda b: [i + 1 for i, x in enumerate(rolling) if x % b == b - 1]
+    block = 3
+    while raw and len(ends(2 * block)) >= least:
+        block *= 2
+
+    def signature(b):
+        cuts = ends(b)[: most - 1]
+        cuts += [len(raw)] if not cuts or cuts[-1] != len(raw) else []
+        return "".join(letters[zlib.crc32(raw[a:z]) >> 26] for a, z in zip([0, *cuts], cuts)) if raw else ""
+
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    (k, *x), (m, *y) = a.split(":"), b.split(":")
+    if a == "3::" or b == "3::":
+        return 0.0
+    like = lambda p, q: 1 - edits(p, q) / max(len(p), len(q)) if p or q else 1.0
+    if k == m:
+        return max(like(x[0], y[0]), like(x[1], y[1]))
+    return like(x[0], y[1]) if int(k) == 2 * int(m) else like(x[1], y[0]) if int(m) == 2 * int(k) else 0.0
+
+
+PERIODIC = ["ab" * 20_000, "the " * 9_000, "abc" * 9_000, "a" * 5_000, "", "x"]
+
+
+def test_fingerprints(spark, texts):
+    plain = [*texts[:60], *PERIODIC]
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(table(spark, plain).repartition(5)).collect()}
+    for k, t in enumerate(plain):
+        after, cut = plain[(k + 1) % len(plain)], len(t) // 4
         changed = (t[: len(t) - cut] + after[:cut]).encode()
-        assert (rows[k].n_chars, rows[k].edited_sha256, rows[k].fingerprint, rows[k].edited_fingerprint) == (len(t), hashlib.sha256(changed).hexdigest(), fingerprints.fingerprint(t.encode()), fingerprints.fingerprint(changed))
-        assert 0 <= rows[k].near_next <= 1 and 0 <= rows[k].near_edited <= 1
-    long = [k for k, t in enumerate(texts) if len(t) > 400]
+        mine, other, following = piecewise(t.encode()), piecewise(changed), piecewise(after.encode())
+        assert (rows[k].n_chars, rows[k].edited_sha256, rows[k].fingerprint, rows[k].edited_fingerprint) == (len(t), hashlib.sha256(changed).hexdigest(), mine, other)
+        assert abs(rows[k].near_edited - alike(mine, other)) < 1e-9 and abs(rows[k].near_next - alike(mine, following)) < 1e-9
+        assert len(mine) < 300
+    long = [k for k, t in enumerate(plain[:60]) if len(t) > 400]
     mean = lambda c: sum(rows[k][c] for k in long) / len(long)
     assert mean("near_edited") > 0.6 and mean("near_next") < 0.2
-    assert len({r.fingerprint for r in fingerprints.fingerprints(odd).collect()}) < len(ODD)
     only = fingerprints.fingerprints(table(spark, ["only one text"])).first()
     assert only.near_next == 1.0
 
 
+def test_fingerprints_of_rows_without_ids(spark, odd, texts):
+    assert len({r.fingerprint for r in fingerprints.fingerprints(odd).collect()}) < len(ODD)
+    many = table(spark, [*texts[:40], *["same"] * 20], [None] * 60)
+    rows = fingerprints.fingerprints(many.repartition(6)).collect()
+    assert sorted(r.fingerprint for r in rows) == sorted(fingerprints.fingerprint(t.encode()) for t in [*texts[:40], *["same"] * 20]) and sum(r.near_next == 1 for r in rows) >= 19
+
+
+@pytest.mark.parametrize("which", ["odd", "empty", "repeated"])
+def test_pipeline_on_odd_tables(spark, odd, labels, texts, tmp_path, which):
+    """Every stage runs on what the one before left, whatever the rows, and keeps the columns with their values."""
+    d = str(tmp_path)
+    one = {"odd": lambda: odd, "empty": lambda: odd.limit(0), "repeated": lambda: table(spark, [*texts[:20], *texts[:20]], [*range(20), *[None] * 10, *range(10, 20)])}[which]()
+    one.write.parquet(f"{d}/documents.parquet")
+    labels.write.parquet(f"{d}/labels.parquet")
+    now = spark.read.parquet(f"{d}/documents.parquet")
+    given = {r.x for r in now.select(F.col("row").alias("x")).collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, now, d).write.parquet(f"{d}/{k}")
+        after = spark.read.parquet(f"{d}/{k}")
+        assert after.columns == now.columns and {r.x for r in after.select(F.col("row").alias("x")).collect()} <= given
+        assert all(len({r[c] for c in CLASHING}) == 1 for r in after.collect())
+        now = after
+    last = corpus_pipeline.STAGES[-1][1](spark, now, d).collect()
+    assert len(last) >= now.count()
+
+
 def test_pipeline_stages(spark, texts, tmp_path):
     d = str(tmp_path)
     table(spark, texts).write.parquet(f"{d}/documents.parquet")
