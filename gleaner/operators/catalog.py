@@ -2,8 +2,8 @@
 
 Patterns are our own, written from what each rule is meant to detect, in the
 part of the regex language that both java.util.regex and RE2 read alike: no
-lookaround, no backreference, ASCII classes.  More packs can be loaded from a
-file; see custom_rules.
+lookaround, no backreference, ASCII classes.  Built in are about 200; larger
+catalogues are loaded from rule files: see `load`, and custom_rules.
 """
 
 from __future__ import annotations
@@ -42,6 +42,23 @@ def rules(*modules: str) -> list[Rule]:
     return [Rule(*r[:4], module=m, needs=r[4] if len(r) > 4 else None) for m in (modules or PACKS) for r in PACKS[m]]
 
 
+def load(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of a rule file (or a folder of them) in JSON lines: id, severity, pattern, module, description and, where given, recommendation, needs, flags (of i, m, s) and filePatterns.
+
+    A catalogue is a parameter: however many rules it has, they are literals of the plan as the built-in ones are.  Patterns are
+    Java's, so lookaround is allowed; those that don't compile are told by `checked`.
+    """
+    fields = "id string, severity string, pattern string, module string, description string, recommendation string, needs string, flags string, filePatterns array<string>"
+    rows = spark.read.schema(fields).json(path).where("id is not null and pattern is not null").orderBy("module", "id").collect()  # a rule file is small
+    return [
+        Rule(
+            r.id, r.severity or "warning", (f"(?{r.flags})" if r.flags else "") + r.pattern, r.description or r.id, r.module or "loaded", r.recommendation or Rule.recommendation,
+            r.needs.lower() if r.needs else None, tuple(r.filePatterns or ()),
+        )
+        for r in rows
+    ]
+
+
 def select(found: list[Rule], severity: str = "info") -> list[Rule]:
     """Rules at or above a severity; any unknown severity means all."""
     place = {"critical": 0, "warning": 1}

@@ -8,13 +8,23 @@ from __future__ import annotations
 #: A key and its value in JSON, YAML, an option or code.
 SET = r"[\"']?\s*[:=]\s*[\"']?"
 
+#: A number of an address, the same but 0, and addresses beyond 10.*, 127.*, 172.16.* to 172.31.*, 192.168.* and 0.0.0.0.
+_OCTET, _OVER_0 = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])", r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)"
+PUBLIC_IP = r"\b(?:" + "|".join((
+    r"(?:25[0-5]|2[0-4][0-9]|1[013-68][0-9]|12[0-689]|17[013-9]|19[013-9]|[2-9][0-9]|1[1-9]|[1-9])(?:\." + _OCTET + "){3}",
+    r"172\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|1[0-5]|3[2-9]|[4-9][0-9]|[0-9])(?:\." + _OCTET + "){2}",
+    r"192\.(?:25[0-5]|2[0-4][0-9]|1[0-57-9][0-9]|16[0-79]|[1-9]?[0-9])(?:\." + _OCTET + "){2}",
+    r"0\." + _OVER_0 + r"(?:\." + _OCTET + "){2}", r"0\.0\." + _OVER_0 + r"\." + _OCTET, r"0\.0\.0\." + _OVER_0,
+)) + r")\b"
+
 PACKS: dict[str, list[tuple]] = {
+    # fixed values, without lookaround
     "pii": [
-        ("pii-email", "medium", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "E-mail address", "@"),
-        ("pii-phone", "medium", r"(?:\+?1[-. ]?)?\(?[2-9][0-9]{2}\)?[-. ][0-9]{3}[-. ][0-9]{4}", "Phone number"),
-        ("pii-ssn", "critical", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "Social security number", "-"),
-        ("pii-credit-card", "critical", r"(?:4[0-9]{3}|5[1-5][0-9]{2}|6011)[- ]?[0-9]{4}[- ]?[0-9]{4}[- ]?[0-9]{4}", "Card number"),
-        ("pii-public-ip", "low", r"(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}", "IP address", "."),
+        ("pii-email", "medium", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "E-mail address", "@"),
+        ("pii-phone", "medium", r"(?:\+?1[-.\s]?)?\(?[2-9][0-9]{2}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}|\+[0-9]{1,3}[-.\s]?[0-9]{1,4}[-.\s]?[0-9]{2,4}[-.\s]?[0-9]{3,4}", "Phone number"),
+        ("pii-ssn", "critical", r"\b(?:00[1-9]|0[1-9][0-9]|[1-57-8][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])-(?:0[1-9]|[1-9][0-9])-(?:000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})\b", "Social security number", "-"),
+        ("pii-credit-card", "critical", r"\b(?:4[0-9]{3}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|5[1-5][0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}|3[47][0-9]{2}[-\s]?[0-9]{6}[-\s]?[0-9]{5}|6(?:011|5[0-9]{2})[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4})\b", "Card number"),
+        ("pii-public-ip", "low", PUBLIC_IP, "IP address", "."),
     ],
     "credentials": [
         ("credential-aws-key", "critical", r"AKIA[0-9A-Z]{16}", "Cloud access key", "akia"),
@@ -148,7 +158,7 @@ PACKS: dict[str, list[tuple]] = {
         ("supply-chain-npm-config-registry", "high", r"(?m)^\s*registry\s*=\s*https?://", "Registry replaced", "registry"),
     ],
     "rag-poisoning": [
-        ("rag-bulk-delete-vectors", "high", r"(?i)(?:delete_?all|delete_collection|drop_collection)\s*\(", "Bulk deletion", "delete"),
+        ("rag-bulk-delete-vectors", "high", r"(?i)(?:delete_?all|delete_collection|drop_collection)\s*\(", "Bulk deletion"),
         ("rag-hidden-instruction-injection", "critical", r"(?i)<!--[^>]*(?:ignore|system|instruction)[^>]*-->", "Instruction in a comment", "<!--"),
         ("rag-eval-in-retrieval", "critical", r"(?i)eval\s*\([^)\n]*(?:chunk|document|retriev|context)", "Retrieved text is run", "eval"),
         ("rag-vectordb-exposed", "medium", r"(?i)(?:chroma|qdrant|weaviate|milvus)[^\n]{0,60}0\.0\.0\.0", "Store open to all", "0.0.0.0"),
@@ -254,4 +264,19 @@ PACKS |= {
         ("agent-memory-no-ttl", "medium", r"(?i)(?:memory_?)?ttl" + SET + r"(?:-1|0|none|null)\b", "Memory without an end", "ttl"),
         ("agent-memory-shared", "high", r"(?i)(?:shared|global)_?memory" + SET + r"true", "Memory for all", "memory"),
     ],
+    # fixed values, one or two of modules that are loaded from a rule file otherwise
+    "agents": [
+        ("agent-prompt-injection-ignore", "critical", r"(?i)ignore\s+(?:all\s+)?(?:previous|above|prior|earlier)\s+(?:instructions?|prompts?|rules?|guidelines?)", "Order to ignore instructions", "ignore"),
+        ("agent-prompt-injection-forget", "critical", r"(?i)(?:forget|disregard|dismiss)\s+(?:everything|all|what)\s+(?:above|before|previously)", "Order to forget what was said"),
+    ],
+    "pickle": [("pickle-unsafe-load", "critical", r"(?i)pickle\.loads?\s*\(", "Objects loaded from untyped bytes", "pickle"), ("numpy-allow-pickle", "warning", r"(?i)np\.load\s*\([^)]*allow_pickle\s*=\s*True", "Arrays loaded with objects", "allow_pickle")],
+    "mcp-discovery": [("mcp-server-python-import", "info", r"(?i)from\s+mcp\.server\s+import\s+", "Tool server in code", "mcp.server"), ("mcp-public-binding", "critical", r"(?i)(?:host|bind)\s*[=:]\s*[\"']?(?:0\.0\.0\.0|::)[\"']?", "Server open to any address")],
+    "mcp-auth": [("mcp-auth-hardcoded-bearer-token", "critical", r"(?i)\"Authorization\"\s*:\s*\"Bearer\s+[A-Za-z0-9\-_.~+/]{20,}\"", "Token in a configuration", "bearer")],
+    "mcp-oauth": [("mcp-oauth-token-in-url", "high", r"(?i)[?&](?:access_token|token|bearer|auth_token|mcp_token)=[^&\s\"']+", "Token in an address", "=")],
+    "mcp-schema": [("mcp-schema-dangerous-default-path", "high", r"(?i)\"default\"\s*:\s*\"(?:/etc/|/var/|/root/|/home/|~/|\.\./|\$HOME|%USERPROFILE%)", "Default path outside the project", "default")],
+    "mcp-shadowing": [("mcp-env-override-attack", "critical", r"(?i)\"env\"\s*:\s*\{[^}]*\"(?:PATH|LD_PRELOAD|LD_LIBRARY_PATH|DYLD_INSERT_LIBRARIES|NODE_OPTIONS|PYTHONPATH|RUBYLIB|PERL5LIB|HOME|XDG_CONFIG_HOME|SSL_CERT_FILE|CURL_CA_BUNDLE|GIT_SSH_COMMAND|EDITOR|VISUAL|SHELL)\"\s*:", "Environment that changes what runs", "env")],
+    "mcp-ratelimit": [("mcp-ratelimit-unlimited-tool-calls", "high", r"(?i)\"max_tool_calls\"\s*:\s*(?:-1|0)\b", "Tool calls without a limit", "max_tool_calls")],
+    "insecure-llm-endpoint": [("insecure-llm-endpoint-default-port", "medium", r"(?i)(?:base_url|api_base|endpoint|url)\s*[:=]\s*[\"']https?://[\w.-]+:(?:11434|8080|7869|5000|1234|3000|8000|8888)(?:/[^\"']*)?[\"']", "Model server at a usual port", "http")],
+    "context-window-poisoning": [("cwp-role-confusion", "critical", r"(?i)\{\s*role\s*:\s*['\"`](?:system|assistant)['\"`]\s*,\s*content\s*:\s*(?:req\.|body\.|params\.|query\.|userInput\.?|input\.|data\.)[a-zA-Z_$][a-zA-Z0-9_$.]*\s*\}", "User text in a system message", "role")],
+    "guardrails": [("config-no-guardrails", "medium", r"(?i)(?:system_prompt|system_message|instructions|agent_config|llm_config|model_config)\s*[=:]", "Model configuration to be checked for guards")],
 }

@@ -116,12 +116,15 @@ def merged(*counts: DataFrame) -> DataFrame:
     return out.agg(*[F.sum(c).alias(c) for c in counts[0].columns])
 
 
+#: Parts of the ids of rules that find agent frameworks.
+FRAMEWORKS = r"langchain|autogen|crewai|openai-assistant|anthropic|semantic-kernel|vercel-ai"
+
+
 def discovered(findings: DataFrame) -> DataFrame:
-    """One row: how many files hold tool servers, configurations and agent frameworks, and the frameworks' names, from findings of the discovery rules."""
+    """One row: how many files hold tool servers and agents, and the names of the frameworks that findings of the discovery rules tell."""
     r = F.col("rule_id")
-    has = lambda part: F.when(r.contains(part), F.col("path"))
-    frameworks = F.array_sort(F.collect_set(F.when(r.startswith("mcp-agent-"), F.regexp_replace(r, "^mcp-agent-", ""))))  # names of rules: as many as there are rules
-    return findings.agg(F.count_distinct(has("mcp-server")).alias("servers"), F.count_distinct(has("mcp-config")).alias("configurations"), F.count_distinct(has("mcp-agent")).alias("agents"), frameworks.alias("frameworks"))
+    frameworks = F.array_sort(F.collect_set(F.when(r.rlike(FRAMEWORKS), F.replace(r, F.lit("-"), F.lit(" ")))))  # at most as many as there are rules
+    return findings.agg(F.count_distinct(F.when(r.contains("mcp-server"), F.col("path"))).alias("servers"), F.count_distinct(F.when(r.contains("agent") | r.contains("bot"), F.col("path"))).alias("agents"), frameworks.alias("frameworks"))
 
 
 def usage(docs: DataFrame) -> DataFrame:
