@@ -545,10 +545,10 @@ def analysis_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAMPLE = "SELECT *, concat(repeat('x', CAST(card_id % 4 AS INT) * 6000), 'tail') AS content FROM (SELECT s_suppkey AS card_id FROM supplier)"
 
 
-@query(f"SELECT card_id, CASE WHEN card_id % 4 = 0 THEN NULL WHEN card_id % 4 < 3 THEN length(content) ELSE 13500 + length(concat(chr(10), chr(10), '[... content truncated for analysis ...]', chr(10), chr(10))) END AS n FROM ({_SAMPLE})")
+@query(f"SELECT card_id, CASE WHEN card_id % 4 = 0 THEN -1 WHEN card_id % 4 < 3 THEN length(content) ELSE 13500 + length(concat(chr(10), chr(10), '[... content truncated for analysis ...]', chr(10), chr(10))) END AS n FROM ({_SAMPLE})")
 def analysis_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("card_id"), F.concat(F.repeat(F.lit("x"), (F.col("s_suppkey") % 4 * 6000).cast("int")), F.lit("tail")).alias("content"))
-    return sample.select("card_id", F.length(analysis.asked(F.col("content"))).cast("long").alias("n"))
+    return sample.select("card_id", F.coalesce(F.length(analysis.asked(F.col("content"))), F.lit(-1)).cast("long").alias("n"))
 
 
 _MODES = "SELECT concat('d/', CASE s_suppkey % 4 WHEN 0 THEN '.env' WHEN 1 THEN 'x.pem' WHEN 2 THEN 'id_rsa' ELSE 'a.txt' END, s_suppkey) AS path, CASE s_suppkey % 5 WHEN 0 THEN 420 WHEN 1 THEN 384 WHEN 2 THEN 416 WHEN 3 THEN 256 ELSE 33188 END AS mode FROM supplier"
