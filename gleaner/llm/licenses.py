@@ -85,24 +85,37 @@ def licence_words(templates: tuple[Template, ...]) -> list[str]:
 
 
 def occurrences(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """row, id, n_words, hits (each licence word w with its place p) and, where there are hits, the words."""
+    """row, id, words, and hits: each licence word w with its place p, in order."""
     d = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("words"))
     words = F.col("words")
     # F.lower is quick but also lowers letters beyond A to Z; lowered() settles the few words found
     places = F.filter(F.transform(words, lambda w, i: F.when(F.lower(w).isin(vocabulary), i)), lambda i: i.isNotNull())
     d = d.select("id", "words", places.alias("places"))
     hit = lambda i: F.struct(lowered(F.get(F.col("words"), i)).alias("w"), i.alias("p"))
-    d = d.select(F.monotonically_increasing_id().alias("row"), "id", "words", F.filter(F.transform("places", hit), lambda h: h["w"].isin(vocabulary)).alias("hits"))
-    return d.select("row", "id", F.size("words").cast("long").alias("n_words"), "hits", F.when(F.size("hits") > 0, F.transform("words", lowered)).alias("words"))
+    return d.select(F.monotonically_increasing_id().alias("row"), "id", "words", F.filter(F.transform("places", hit), lambda h: h["w"].isin(vocabulary)).alias("hits"))
 
 
 def stands(at: Column, phrase: list[str]) -> Column:
     """The phrase's words are those of `words` from place `at` (from 0) on."""
-    return (at >= 0) & (F.slice("words", F.greatest(at, F.lit(0)) + 1, F.lit(len(phrase))) == F.array(*[F.lit(w) for w in phrase]))
+    here = F.transform(F.slice("words", F.greatest(at, F.lit(0)) + 1, F.lit(len(phrase))), lowered)
+    return (at >= 0) & (here == F.array(*[F.lit(w) for w in phrase]))
 
 
-def base(found: DataFrame) -> DataFrame:
-    """found with n_base, first_word, last_word and base_labels (an array)."""
+def may_hold_a_key(templates: tuple[Template, ...]) -> Column:
+    """Of a row with hits: two licence words that follow each other in a key phrase do so here, or there is the only one of a phrase. No text with a key phrase is without."""
+    pairs, alone = set(), set()
+    for t in templates:
+        at = [(k, w) for k, w in enumerate(t.key.split()) if w not in COMMON]
+        pairs |= {f"{v} {j - i} {w}" for (i, v), (j, w) in zip(at, at[1:], strict=False)}
+        alone |= {at[0][1]} if len(at) == 1 else set()
+    after = lambda i: F.get("hits", i + 1)
+    key = lambda h, i: F.concat_ws(" ", h["w"], (after(i)["p"] - h["p"]).cast("string"), after(i)["w"])
+    follows = F.exists(F.transform("hits", key), lambda x: x.isin(sorted(pairs)))
+    return follows | F.exists("hits", lambda h: h["w"].isin(sorted(alone))) if alone else follows
+
+
+def base(found: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """found with n_words, n_base, first_word, last_word and base_labels (an array); the words stay where a key phrase may be."""
     def places(phrase: str, anchor: str) -> Column:
         words = phrase.split()
         k = words.index(anchor)
@@ -111,8 +124,8 @@ def base(found: DataFrame) -> DataFrame:
     starts = [(places(phrase, anchor), label) for phrase, label, anchor in BASE]
     found = found.withColumn("starts", F.concat(*[s for s, _ in starts])).withColumn("labels", F.filter(F.array(*[F.when(F.size(s) > 0, F.lit(x)) for s, x in starts]), lambda x: x.isNotNull()))
     return found.select(
-        "row", "id", "n_words", "hits", "words", F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"),
-        F.array_max("starts").cast("long").alias("last_word"), F.col("labels").alias("base_labels"),
+        "row", "id", F.size("words").cast("long").alias("n_words"), "hits", F.when(may_hold_a_key(templates), F.transform("words", lowered)).alias("words"),
+        F.size("starts").cast("long").alias("n_base"), F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"), F.col("labels").alias("base_labels"),
     )
 
 
@@ -145,9 +158,9 @@ def starts_of(postings: list[tuple[int, int, str]], agree: int) -> tuple[Column,
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, most: int = 64, agree: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels and score of each text."""
-    found = written(base(occurrences(docs, licence_words(templates), id_col, text_col)), "licences")
-    some = found.where(F.size("hits") > 0)
-    starts, need = starts_of(rare_words(some, templates, most), agree)
+    found = written(base(occurrences(docs, licence_words(templates), id_col, text_col), templates), "licences")
+    some = found.where("words is not null")
+    starts, need = starts_of(rare_words(found.where(F.size("hits") > 0), templates, most), agree)
     held = some.withColumn("starts", starts)
     same = lambda x, i: (F.get("starts", i) == x)
     agreed = F.filter("starts", lambda x, i: same(x, i + F.get(need, x["t"]) - 1) & ~F.coalesce(same(x, i - 1), F.lit(False)))
@@ -160,7 +173,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, most: int
     met = held.select("row", "words", F.explode("starts").alias("x")).where(checked).select("row", F.get(labels, F.col("x.t")).alias("label"), share.alias("share"))
     by_row = met.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     none = F.array().cast("array<string>")
-    with_more = some.join(by_row, "row", "left").unionByName(found.where(F.size("hits") == 0), allowMissingColumns=True)
+    with_more = some.join(by_row, "row", "left").unionByName(found.where("words is null"), allowMissingColumns=True)
     return with_more.select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base_labels"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base_labels", F.coalesce("more", none))), ",").alias("labels"),

@@ -8,7 +8,9 @@ only: labelled rows by feature and quantile bin, added up by Spark.  What comes
 out is an ordered list of conditions, and so one Spark conditional expression.
 
 Cases: a null or empty text has no words, all its counts are 0 and it fails the
-base rule; null ids stay and match no label; null labels are not used; without
+base rule; null ids stay and match no label; null labels are not used; of a
+document with several labels each counts as a labelled row, conflicting ones on
+both sides; without
 labelled rows of both kinds there are no rules and the base rule decides;
 repeated rows are judged each; an empty table gives no rows; columns of any
 name may be carried, as the statistics stand in one struct of a name of their own.

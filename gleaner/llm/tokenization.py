@@ -9,19 +9,42 @@ For other tokenizers the whole text is one piece.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import regex
 
-#: Tokenizers whose normaliser and splitter drop white space.
-DROP_WHITE_SPACE = frozenset({"word_bpe_49k.json"})
+WHITE_SPACE = "\t\n\x0b\x0c\r "
+#: Marks that a word may lose at its end, to be encoded apart.
+MARKS = ".,;:!?|"
 #: Pieces remembered by a Python worker at most, and the longest that is remembered, in bytes.
 REMEMBERED, LONGEST = 1_000_000, 48
 #: Stands between words that are encoded in one go: a character that is one token by itself between spaces. Words that hold it are encoded alone.
 SEPARATOR = " ~ "
 
+def words_alone(rules: dict) -> bool:
+    """Whether a tokenizer file's rules let each word be encoded by itself, in lower case and without its last marks.
+
+    Its normaliser lowers letters and otherwise only composes characters and
+    replaces white space; its splitter keeps what one expression matches, which
+    is never white space nor a letter or digit with a mark after it; and no
+    special string holds white space.
+    """
+    normal, pre = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    steps, splits = normal.get("normalizers", [normal]), pre.get("pretokenizers", [pre])
+    kinds = {x.get("type") for x in steps}
+    pattern = splits[0].get("pattern", {}).get("Regex")
+    if not pattern or "Lowercase" not in kinds or not kinds <= {"NFC", "Lowercase", "Replace"} or any(x["type"] == "Replace" and x["pattern"] != {"Regex": r"\s+"} for x in steps):
+        return False
+    kept = splits[0].get("behavior") == "Removed" and splits[0].get("invert") and all(x.get("type") == "ByteLevel" and not x.get("use_regex") and not x.get("add_prefix_space") for x in splits[1:])
+    blank = any(c in pattern for c in WHITE_SPACE) or any(regex.search(pattern, c) for c in WHITE_SPACE) or any(c in x["content"] for x in rules.get("added_tokens", []) for c in WHITE_SPACE)
+    return bool(kept and not blank and all(regex.findall(pattern, c + m) == [c, m] for c in "a0" for m in MARKS))
+
+
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -31,8 +54,8 @@ class Encoder:
     def __init__(self, name: str, want_ids: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.want_ids, self.known = want_ids, {}
-        self.by_word = os.path.basename(name) in DROP_WHITE_SPACE
         path = name if os.path.isabs(name) else public_tokenizers.path(name)
+        self.by_word = name.endswith(".json") and words_alone(json.loads(Path(path).read_text()))
         if name.endswith(".model"):
             import sentencepiece
 
@@ -84,7 +107,7 @@ class Encoder:
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, ...]:
         """A word without its last punctuation, and that: letters and digits never share a token with it.  ASCII words in lower case."""
-        core = word.rstrip(b".,;:!?|")
+        core = word.rstrip(MARKS.encode())
         if not core or b"<" in word or not core[-1:].isalnum():
             return (word,)
         low = core.lower() if core.isascii() else core

@@ -1,10 +1,12 @@
 """The training-data operators against brute force, and on odd inputs."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gleaner.llm import fingerprints, licenses, line_dedup, mixing, near_duplicates, packing, passages, quality_rules, sharding, token_counts
+from gleaner.llm import fingerprints, licenses, line_dedup, mixing, near_duplicates, packing, passages, quality_rules, sharding, token_counts, tokenization
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = {i: chr(i + 32) for i in range(65, 91)}
@@ -114,6 +116,16 @@ def test_other_tokenizers_take_whole_texts(docs, texts, name):
     assert [got[k] for k in range(len(texts))] == want
 
 
+def test_which_tokenizers_encode_words_alone():
+    rules = lambda name: json.loads(Path(public_tokenizers.path(name)).read_text())
+    word = rules("word_bpe_49k.json")
+    assert tokenization.words_alone(word) and not tokenization.words_alone(rules("byte_bpe_50k.json"))
+    blank = {**word, "added_tokens": [{"content": "a b"}]}
+    cased = {**word, "normalizer": {"type": "NFC"}}
+    spaced = json.loads(json.dumps(word).replace("[^\\\\s", "[^"))
+    assert spaced != word and not any(map(tokenization.words_alone, (blank, cased, spaced, {})))
+
+
 @pytest.mark.parametrize(("window", "most_open"), [(64, 1 << 22), (64, 500), (2048, 1 << 22)])
 def test_packing_is_an_exact_cut(docs, texts, tokenizer, window, most_open):
     rows = packing.pack(docs, window=window, most_open=most_open).collect()
@@ -241,6 +253,32 @@ def test_rules_are_learned_and_hold_out(spark):
     assert sum(held) >= 0.95 * len(held) and sum(k not in kept for k, _, good in rows if good) <= 0.02 * len(rows)
 
 
+def test_first_literal_has_the_largest_gain(spark):
+    """The literal that a rule begins with, against all thresholds at quantiles of all features, counted plainly."""
+    from math import ceil, log2
+
+    rng = random.Random(9)
+    rows = [(rng.random() < 0.4, rng.randrange(3), rng.random(), rng.random()) for _ in range(300)]
+    rows = [(bad, fold, round(x + bad * (0.6 if rng.random() < 0.9 else 0), 3), y) for bad, fold, x, y in rows]
+    train = spark.createDataFrame(rows, "bad boolean, fold int, x double, y double")
+    (first, *_), *_ = quality_rules.learn(train, ["x", "y"], bins=16, least_precision=0.8)
+    grown, gains = [r for r in rows if r[1] != 0], {}
+    share = sum(r[0] for r in grown) / len(grown)
+    for at, name in ((2, "x"), (3, "y")):
+        values = sorted(r[at] for r in rows)
+        for t in {values[ceil(k / 16 * len(rows)) - 1] for k in range(1, 16)}:
+            for above in (False, True):
+                held = [r[0] for r in grown if (r[at] > t) == above]
+                if sum(held) >= 5:
+                    gains[name, above, t] = sum(held) * (log2(sum(held) / len(held)) - log2(share))
+    assert gains[first.feature, first.above, first.threshold] == max(gains.values())
+
+
+def test_labels_that_repeat_or_conflict(spark, texts):
+    labels = spark.createDataFrame([(k % 20, k % 2, 0) for k in range(60)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality_rules.judged(table(spark, texts), labels, ["doc_id"], "q").count() == len(texts)
+
+
 def test_licences(spark):
     plain = [
         "All rights reserved. all RIGHTS reserved", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "GNU General Public License, version 3", "nothing here",
