@@ -96,9 +96,8 @@ def occurrences(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: s
 
 
 def stands(at: Column, phrase: list[str]) -> Column:
-    """The phrase's words are those of `words` from place `at` (from 0) on."""
-    here = F.transform(F.slice("words", F.greatest(at, F.lit(0)) + 1, F.lit(len(phrase))), lowered)
-    return (at >= 0) & (here == F.array(*[F.lit(w) for w in phrase]))
+    """The phrase's words are those of `words` from place `at` (from 0) on; asked word by word, so that no other word is touched."""
+    return reduce(lambda a, b: a & b, [F.coalesce(lowered(F.get("words", at + k)) == w, F.lit(False)) for k, w in enumerate(phrase)])
 
 
 def may_hold_a_key(templates: tuple[Template, ...]) -> Column:
