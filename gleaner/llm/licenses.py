@@ -160,10 +160,11 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, most: int
     found = written(base(occurrences(docs, licence_words(templates), id_col, text_col), templates), "licences")
     some = found.where("words is not null")
     starts, need = starts_of(rare_words(found.where(F.size("hits") > 0), templates, most), agree)
-    held = some.withColumn("starts", starts)
+    # a table, so that the starts of a text are made once and not again in each expression that asks for them
+    held = written(some.select("row", "words", starts.alias("starts")), "starts")
     same = lambda x, i: (F.get("starts", i) == x)
     agreed = F.filter("starts", lambda x, i: same(x, i + F.get(need, x["t"]) - 1) & ~F.coalesce(same(x, i - 1), F.lit(False)))
-    held = held.withColumn("starts", agreed)
+    held = held.select("row", "words", agreed.alias("starts"))
     words = F.array(*[F.array(*[F.lit(w) for w in t.words]) for t in templates])
     checked = reduce(lambda c, t: c.when(F.col("x.t") == t[0], stands(F.col("x.start") + t[1].key_at, t[1].key.split())), enumerate(templates), F.when(F.lit(False), F.lit(False)))
     at = F.col("x.start")
