@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import licenses
+from gleaner.llm import licenses, secrets
 
 WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -85,3 +85,68 @@ joined AS (SELECT doc_id, len(w) AS n_words, list_concat({', '.join(f's{k}' for
 SELECT doc_id, n_words, len(s) AS n_base, list_min(s) - 1 AS first_word, list_max(s) - 1 AS last_word, array_to_string(list_sort(b), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(b, coalesce(more, [])))), ',') AS labels, CASE WHEN len(s) > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score FROM joined
 """
+
+
+MIDDLES = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS d FROM texts),
+formed AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+pieces AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM pieces
+"""
+
+CONVERSATIONS = r"""
+WITH RECURSIVE crcs AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hashed AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM keyed, crcs),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM damaged),
+faulty AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM placed),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id),
+inserts(state, q, audit, said) AS (VALUES (0, 0, '', []), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']), (2, 2, '', []), (2, 3, 'I', ['assistant:']), (3, 3, '', []), (3, 2, 'I', ['user:'])),
+walk(conv_id, k, state, best) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), 0, {'cost': 0, 'audit': '', 'said': CAST([] AS VARCHAR[])} FROM conversations
+  UNION ALL
+  SELECT conv_id, k, e.to, min({'cost': cost + e.cost, 'audit': audit || e.edit, 'said': list_concat(said, e.said)}) FROM (
+    SELECT f.conv_id, f.k, w.best.cost + 2 * length(i.audit) AS cost, w.best.audit || i.audit AS audit, list_concat(w.best.said, i.said) AS said, unnest([
+      {'edit': 'D', 'cost': 3, 'to': i.q, 'said': CAST([] AS VARCHAR[]), 'may': true},
+      {'edit': 'R', 'cost': 2 + CAST(fault = 'truncated' AS INT), 'to': CASE i.q WHEN 2 THEN 3 ELSE 2 END, 'said': [CASE i.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text], 'may': fault NOT IN ('blank', 'duplicate')},
+      {'edit': 'K', 'cost': CAST(fault = 'truncated' AS INT), 'to': CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'said': [role || ':' || text], 'may': fault NOT IN ('blank', 'duplicate') AND (i.q || left(role, 1)) IN ('0s', '0u', '1u', '2a', '3u')}]) AS e
+    FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k + 1 JOIN inserts i ON i.state = w.state)
+  WHERE e.may GROUP BY conv_id, k, e.to),
+ended AS (SELECT w.conv_id, min({'cost': best.cost + 2 * length(i.audit), 'audit': best.audit || i.audit, 'said': list_concat(best.said, i.said)}) AS best FROM walk w LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN inserts i ON i.state = w.state WHERE w.k = coalesce(n, 0) AND i.q IN (0, 3) GROUP BY w.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(array_to_string(best.said, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+def secret_spans(wide: int = 3) -> str:
+    """A pattern's matches are set apart by a character that no text has; what stands before each gives its place."""
+    bar = "chr(57344)"
+
+    def found(kind: int, pattern: str, test: str, value: str = "m") -> str:
+        quoted = pattern.replace("'", "''")
+        pieces = f"SELECT r, string_split(regexp_replace(t, '{quoted}', {bar} || '\\0' || {bar}, 'g'), {bar}) AS p FROM texts"
+        return f"""SELECT r, {kind} AS kind, a, a + length(m) AS b, {value.replace("PATTERN", f"'{quoted}'")} AS v FROM (SELECT r, p[k] AS m, list_sum(list_transform(p[1:k - 1], lambda x: length(x))) AS a FROM (SELECT r, p, unnest(range(2, len(p) + 1, 2)) AS k FROM ({pieces}))) WHERE {test}"""
+
+    value = "regexp_extract(m, PATTERN, 2)"
+    assign = secrets.ASSIGN
+    tests = " AND ".join(f"regexp_matches(m, '{c}')" for c in ("[a-z]", "[A-Z]", "[0-9]"))
+    live = f"len(list_distinct(string_split(v, ''))) >= {secrets.LEAST_DIFFERENT} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(lower(v), '{'|'.join(secrets.PLACEHOLDERS)}')"
+    written = "coalesce(string_agg(kind_name || ':' || a || ':' || b, ',' ORDER BY a, kind){}, '')"
+    kinds = f"[{', '.join(repr(k) for k in secrets.KINDS)}]"
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+base AS ({found(0, assign, f"length(v) >= {secrets.LEAST_VALUE}", value)} UNION ALL {found(1, secrets.ACCESS, "true")} UNION ALL {found(2, secrets.HEX, "true")}),
+tokens AS ({found(3, secrets.TOKEN, tests)}),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = t.r AND b.a < t.b AND t.a < b.b)),
+owned AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners FROM every JOIN texts USING (r) GROUP BY v),
+spans AS (SELECT r, kind, a, b, owners FROM every JOIN owned USING (v) WHERE kind <> 3
+  UNION ALL SELECT r, 4, CASE kind WHEN 0 THEN b - length(v) ELSE a END, b, owners FROM every JOIN owned USING (v) WHERE owners = 1 AND {live})
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 4) AS n_live, count(*) FILTER (kind < 3 AND owners >= {wide}) AS n_example,
+  sha256({written.format(" FILTER (kind < 3)")}) AS base_sha256, {written.format("")} AS spans
+FROM texts LEFT JOIN (SELECT *, {kinds}[kind + 1] AS kind_name FROM spans) USING (r) GROUP BY r, doc_id
+"""
