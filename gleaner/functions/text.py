@@ -34,13 +34,20 @@ def marked(clean: Column, pattern: str) -> Column:
     return F.regexp_replace(clean, F.lit(f"({pattern})"), F.lit(f"{OPEN}$1{CLOSE}"))
 
 
+#: Pieces of a text that are gone through together, so that gathering many matches doesn't copy all of them for each.
+TOGETHER = 64
+
+
 def places(text: Column) -> Column:
     """Of marked() text every match: array of (line, column, match), lines and columns from 1, in code points.
 
     The text is split at the marks; the place of a match follows from the lines
     and characters of the pieces before it.  Matches of nothing are left out.
     """
-    start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("column"), F.array().cast("array<struct<line:int,column:int,match:string>>").alias("found"))
+    kind = "array<struct<line:int,column:int,match:string>>"
+
+    def start(line: Column, column: Column, kind: str) -> Column:
+        return F.struct(line.alias("line"), column.alias("column"), F.array().cast(kind).alias("found"))
 
     def step(acc: Column, piece: Column) -> Column:
         # piece: a match up to CLOSE, then text; acc: line, and characters since the last newline
@@ -52,7 +59,13 @@ def places(text: Column) -> Column:
         here = F.when(F.contains(piece, F.lit(CLOSE)) & (F.length(match) > 0), F.concat(acc["found"], F.array(this))).otherwise(acc["found"])
         return F.struct((acc["line"] + breaks).alias("line"), column.alias("column"), here.alias("found"))
 
-    return F.aggregate(F.split(text, OPEN, -1), start, step)["found"]
+    def many(acc: Column, pieces: Column) -> Column:
+        part = F.aggregate(pieces, start(acc["line"], acc["column"], kind), step)
+        return F.aggregate(F.array(part), acc, lambda a, x: F.struct(x["line"].alias("line"), x["column"].alias("column"), F.concat(a["found"], F.array(x["found"])).alias("found")))
+
+    pieces = F.split(text, OPEN, -1)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / TOGETHER).cast("int")), lambda b: F.slice(pieces, b * TOGETHER + 1, F.lit(TOGETHER)))
+    return F.flatten(F.aggregate(blocks, start(F.lit(1), F.lit(0), f"array<{kind}>"), many)["found"])
 
 
 def matches(content: Column, pattern: str) -> Column:

@@ -1,9 +1,9 @@
 """The catalogue of detectors: rules as data, in packs.
 
-Patterns are our own, written from what each rule is meant to detect, in the
-part of the regex language that both java.util.regex and RE2 read alike: no
-lookaround, no backreference, ASCII classes.  Built in are about 200; larger
-catalogues are loaded from rule files: see `load`, and custom_rules.
+Patterns are in JavaScript's dialect, which `dialect` writes out for Spark (and
+for RE2); literals that matches need are taken from the patterns.  Built in are
+about 200; larger catalogues are loaded from rule files: see `load`, and
+custom_rules.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.functions import dialect
 from gleaner.operators.packs import PACKS
 
 #: Rules whose ids begin so look at code; they skip documentation files.
@@ -26,8 +27,19 @@ class Rule:
     description: str
     module: str
     recommendation: str = "Review this finding and remove what it shows if it isn't meant."
-    needs: str | None = None  # a lower-case literal that every match holds: a cheap test before the regex
     file_patterns: tuple[str, ...] = ()
+    flags: str = ""
+    language: str = "js"  # or java: the pattern goes to Spark as it stands
+    literal: str | None = None  # in lower case, where a rule file tells one that every match holds
+
+    @property
+    def java(self) -> str:
+        return dialect.java(self.pattern, self.flags) if self.language == "js" else f"(?{self.flags})" * bool(self.flags) + self.pattern
+
+    @property
+    def needs(self) -> tuple[dialect.Clause, ...]:
+        """Sets of literals in lower case, of each of which every match holds one: a cheap test before the regex."""
+        return ((self.literal,),) if self.literal else dialect.needs(self.pattern, self.flags) if self.language == "js" else ()
 
     @property
     def code_only(self) -> bool:
@@ -39,21 +51,21 @@ def rules(*modules: str) -> list[Rule]:
     unknown = set(modules) - set(PACKS)
     if unknown:
         raise ValueError(f"no such packs: {sorted(unknown)}")
-    return [Rule(*r[:4], module=m, needs=r[4] if len(r) > 4 else None) for m in (modules or PACKS) for r in PACKS[m]]
+    return [Rule(*r, module=m) for m in (modules or PACKS) for r in PACKS[m]]
 
 
 def load(spark: SparkSession, path: str) -> list[Rule]:
-    """Rules of a rule file (or a folder of them) in JSON lines: id, severity, pattern, module, description and, where given, recommendation, needs, flags (of i, m, s) and filePatterns.
+    """Rules of a rule file (or a folder of them) in JSON lines: id, severity, pattern, module, description and, where given, recommendation, needs (a literal), flags, language (js, or java, the default) and filePatterns.
 
-    A catalogue is a parameter: however many rules it has, they are literals of the plan as the built-in ones are.  Patterns are
-    Java's, so lookaround is allowed; those that don't compile are told by `checked`.
+    A catalogue is a parameter: however many rules it has, one automaton over their literals tells which to ask.  Patterns that
+    don't compile are told by `checked`.
     """
-    fields = "id string, severity string, pattern string, module string, description string, recommendation string, needs string, flags string, filePatterns array<string>"
+    fields = "id string, severity string, pattern string, module string, description string, recommendation string, needs string, flags string, language string, filePatterns array<string>"
     rows = spark.read.schema(fields).json(path).where("id is not null and pattern is not null").orderBy("module", "id").collect()  # a rule file is small
     return [
         Rule(
-            r.id, r.severity or "warning", (f"(?{r.flags})" if r.flags else "") + r.pattern, r.description or r.id, r.module or "loaded", r.recommendation or Rule.recommendation,
-            r.needs.lower() if r.needs else None, tuple(r.filePatterns or ()),
+            r.id, r.severity or "warning", r.pattern, r.description or r.id, r.module or "loaded", r.recommendation or Rule.recommendation, tuple(r.filePatterns or ()),
+            "".join(f for f in r.flags or "" if f in "ims"), r.language or "java", r.needs.lower() if r.needs else None,
         )
         for r in rows
     ]
@@ -70,9 +82,9 @@ def checked(spark: SparkSession, found: list[Rule]) -> tuple[list[Rule], list[st
     good, bad = [], []
     for r in found:
         try:
-            spark._jvm.java.util.regex.Pattern.compile(r.pattern)
+            spark._jvm.java.util.regex.Pattern.compile(r.java)
             good.append(r)
-        except Exception:  # py4j wraps the JVM's syntax error
+        except Exception:  # py4j wraps the JVM's syntax error, and a pattern may be none in its own language
             bad.append(r.id)
     return good, bad
 

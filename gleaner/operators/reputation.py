@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.functions import dialect
+
 #: An address, what ends it by mistake, a number between word ends, and numbers that are private.
 URL = r"(?i)https?://[^\s\"'<>]+"
 TRAILING = r"[.,;:!?)]+$"
@@ -14,7 +16,7 @@ PRIVATE = r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)"
 
 
 def urls(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, TRAILING, "")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(dialect.java(URL)), F.lit(0)), lambda u: F.regexp_replace(u, TRAILING, "")))
 
 
 def public_ip(ip: Column) -> Column:
@@ -23,7 +25,7 @@ def public_ip(ip: Column) -> Column:
 
 
 def ips(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(IP), F.lit(0)), public_ip))
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(dialect.java(IP)), F.lit(0)), public_ip))
 
 
 def targets(docs: DataFrame, key: str = "doc_id", text: str = "content", budget: int = 10) -> DataFrame:

@@ -1,51 +1,34 @@
 """Documents to findings: gate, match, suppress, locate.
 
-Two phases: a boolean for each rule first, behind a literal that every match
-must hold, and only for documents that match is the place of each match found.
-Rules are literals in the plan, in chunks of a struct array, so there is no
-join of documents with rules and each regex is compiled once a task.
+Which rules match a document comes first (matcher), and only for those is the
+place of each match found.  Rules are literals in the plan, so there is no join
+of documents with rules and each regex is compiled once a task.
 """
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators.catalog import DOC_EXTENSIONS, Rule
-
-CHUNK = 40
-
-
-def hit(rule: Rule, path: Column | None = None) -> Column:
-    """Whether the rule matches; of a row with content, lower and ext."""
-    content, lower, ext = F.col("content"), F.col("lower"), F.col("ext")
-    found = content.rlike(rule.pattern)
-    if rule.needs:
-        found = F.contains(lower, F.lit(rule.needs)) & found
-    if rule.code_only:
-        found = ~ext.isin(*DOC_EXTENSIONS) & found
-    if rule.file_patterns and path is not None:
-        found = path.rlike("|".join(T.glob_regex(p) for p in rule.file_patterns)) & found
-    return found
+from gleaner.operators import matcher
+from gleaner.operators.catalog import Rule
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    ext = T.extension(F.col("path")) if "path" in docs.columns else F.lit("")
-    return docs.withColumn("lower", F.lower("content")).withColumn("ext", ext)
+def _told(rules: Sequence[Rule], *names: str) -> Column:
+    """What is known of each rule, by its number: a constant."""
+    known = [{"rule_id": r.id} | {n: getattr(r, n) for n in names} for r in rules]
+    return F.from_json(F.lit(json.dumps(known)), f"array<struct<rule_id: string{''.join(f', {n}: string' for n in names)}>>")
 
 
 def flagged(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> DataFrame:
     """(key, rule_id, severity, module) of each rule that matches a row of docs(key, content, path?)."""
-    d = _prepared(docs)
-    path = F.col("path") if "path" in docs.columns else None
-    parts = []
-    for at in range(0, len(rules), CHUNK):
-        structs = [F.when(hit(r, path=path), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.module).alias("module"))) for r in rules[at : at + CHUNK]]
-        parts.append(F.array_compact(F.array(*structs)))
-    return d.select(key, F.explode(F.concat(*parts)).alias("r")).select(key, "r.*")
+    rows = matcher.prepared(docs, rules).select(key, F.explode(matcher.hits(rules, "path" in docs.columns)).alias("k"))
+    return rows.select(key, F.get(_told(rules, "severity", "module"), F.col("k")).alias("r")).select(key, "r.*")
 
 
 def located(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> DataFrame:
@@ -53,22 +36,16 @@ def located(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> Data
 
     Rules that match mark the text; marks are turned into places once, after rows are made.
     """
-    d = _prepared(docs).withColumn("clean", T.unmarked(F.col("content")))
-    path = F.col("path") if "path" in docs.columns else None
+    d = matcher.prepared(docs, rules).withColumn("clean", T.unmarked(F.col("content"))).withColumn("hits", matcher.hits(rules, "path" in docs.columns))
+    marks = [f"regexp_replace(clean, {matcher.quoted('(' + r.java + ')')}, '{T.OPEN}$1{T.CLOSE}')" for r in rules]
+    found = F.expr(f"transform(hits, k -> named_struct('k', k, 'marked', {matcher.by_number(marks, range(len(rules)))}))") if rules else F.expr("array(named_struct('k', 0, 'marked', ''))")
     names = ["rule_id", "severity", "description", "recommendation"]
-    parts = []
-    for at in range(0, len(rules), CHUNK):
-        found = [
-            F.when(hit(r, path=path), F.struct(*[F.lit(v).alias(k) for k, v in zip(names, (r.id, r.severity, r.description, r.recommendation), strict=True)], T.marked(F.col("clean"), r.pattern).alias("marked")))
-            for r in rules[at : at + CHUNK]
-        ]
-        parts.append(F.array_compact(F.array(*found)))
     keep = [*dict.fromkeys([key, *(["path"] if "path" in docs.columns else [])])]
-    rows = d.select(*keep, "content", F.explode(F.concat(*parts)).alias("r")).select(*keep, F.split("content", "\n", -1).alias("lines"), *[f"r.{n}" for n in names], "r.marked")
-    # lines are split once for each rule that matches, and each place takes its own along
-    shown = F.transform(T.places(F.col("marked")), lambda m: F.struct(m["line"].alias("line"), m["column"].alias("column"), m["match"].alias("match"), F.substring(F.trim(F.element_at("lines", m["line"])), 1, 100).alias("line_content")))
-    return rows.select(*keep, *names, F.explode(shown).alias("m")).select(
-        *keep, *names, F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"), T.masked(F.col("rule_id"), F.col("m.match")).alias("snippet"), "m.line_content",
+    rows = d.select(*keep, "content", F.explode(found).alias("f")).select(*keep, F.split("content", "\n", -1).alias("lines"), "f.marked", F.get(_told(rules, *names[1:]), F.col("f.k")).alias("r"))
+    placed = rows.select(*keep, "lines", *[f"r.{n}" for n in names], F.explode(T.places(F.col("marked"))).alias("m"))
+    return placed.select(
+        *keep, *names, F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"), T.masked(F.col("rule_id"), F.col("m.match")).alias("snippet"),
+        F.substring(F.trim(F.element_at("lines", F.col("m.line"))), 1, 100).alias("line_content"),
     )
 
 

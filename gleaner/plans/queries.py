@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import dialect
 from gleaner.functions import text as T
 from gleaner.operators import analysis, cards, catalog, custom_rules, firewall, manifest, policy, report, reputation, scan, signatures, vet
 from gleaner.operators.packs import PACKS
-from gleaner.plans.inputs import VIEW, dealt, literal, table, vet_inputs
+from gleaner.plans.inputs import VIEW, dealt, literal, spelled, table, vet_inputs
 from gleaner.sources import files
 from gleaner.sources.files import ignored
 
@@ -47,7 +48,7 @@ def _flag_sql(rules: list[catalog.Rule], source: str, ext: bool) -> str:
     """(doc_id, rule_id, severity) of each rule that matches."""
     code = " AND ext NOT IN ('md', 'mdx', 'txt', 'rst')"
     return " UNION ALL ".join(
-        f"SELECT doc_id, '{r.id}' AS rule_id, '{r.severity}' AS severity FROM {source} WHERE regexp_matches(content, {literal(r.pattern)})" + code * (ext and r.code_only) for r in rules
+        f"SELECT doc_id, '{r.id}' AS rule_id, '{r.severity}' AS severity FROM {source} WHERE regexp_matches(content, {literal(dialect.re2(r.pattern, r.flags, exact=False))})" + code * (ext and r.code_only) for r in rules
     )
 
 
@@ -55,7 +56,7 @@ def _places_sql(rules: list[catalog.Rule], source: str, key: str = "doc_id", ext
     """(key, rule_id, line, column, match) of each match."""
     code = " AND ext NOT IN ('md', 'mdx', 'txt', 'rst')"
     marked = " UNION ALL ".join(
-        f"SELECT {key}, '{r.id}' AS rule_id, string_split(regexp_replace(content, {literal('(' + r.pattern + ')')}, concat(chr(1), '\\1', chr(2)), 'g'), chr(1)) AS segs FROM {source} WHERE regexp_matches(content, {literal(r.pattern)})" + code * (ext and r.code_only)
+        f"SELECT {key}, '{r.id}' AS rule_id, string_split(regexp_replace(content, {literal('(' + dialect.re2(r.pattern, r.flags) + ')')}, concat(chr(1), '\\1', chr(2)), 'g'), chr(1)) AS segs FROM {source} WHERE regexp_matches(content, {literal(dialect.re2(r.pattern, r.flags))})" + code * (ext and r.code_only)
         for r in rules
     )
     return f"""SELECT {key}, rule_id, CAST(1 + length(before) - length(replace(before, chr(10), '')) AS BIGINT) AS line,
@@ -81,7 +82,7 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _matched(docs: DataFrame, rules: list[catalog.Rule], key: str) -> DataFrame:
     """Every match with its whole text."""
-    rows = [F.struct(F.lit(r.id).alias("rule_id"), F.when(F.col("content").rlike(r.pattern), T.matches(F.col("content"), r.pattern)).alias("m")) for r in rules]
+    rows = [F.struct(F.lit(r.id).alias("rule_id"), F.when(F.col("content").rlike(r.java), T.matches(F.col("content"), r.java)).alias("m")) for r in rules]
     found = docs.select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.rule_id", F.explode("r.m").alias("m"))
     return found.select(key, "rule_id", F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"), F.col("m.match").alias("match"))
 
@@ -96,14 +97,21 @@ def pii_positions_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(dealt(table(spark, sf_dir, "pages")).select("page_id", F.col("html").alias("content")), PII, "page_id")
 
 
+def _sampled(rules: list[catalog.Rule]) -> str:
+    """SQL of what is put at the end of a text, by its number: each rule's sample, and the same between letters of other alphabets."""
+    texts = [x for r in rules for x in (f"\n {t} \n" if k == 0 else f"\né{t}中\n" for t in [dialect.sample(r.pattern, r.flags)] for k in (0, 1))]
+    return f"CASE doc_id % {len(texts) + 3} " + " ".join(f"WHEN {k} THEN {spelled(x)}" for k, x in enumerate(texts)) + " ELSE '' END"
+
+
 def _hits(module: str) -> None:
     rules = catalog.rules(module)
+    more = _sampled(rules)
 
     def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = scan.flagged(vet_inputs(spark, sf_dir), rules)
-        return found.groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+        docs = vet_inputs(spark, sf_dir).withColumn("content", F.concat("content", F.expr(more)))
+        return scan.flagged(docs, rules).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
-    query(f"WITH {VIEW} SELECT rule_id, severity, count(*) AS n FROM ({_flag_sql(rules, 'vet_inputs', True)}) GROUP BY ALL", "rule_hits_" + module.replace("-", "_"))(hits)
+    query(f"WITH {VIEW}, sampled AS (SELECT doc_id, path, ext, content || {more} AS content FROM vet_inputs) SELECT rule_id, severity, count(*) AS n FROM ({_flag_sql(rules, 'sampled', True)}) GROUP BY ALL", "rule_hits_" + module.replace("-", "_"))(hits)
 
 
 for _module in PACKS:
@@ -121,7 +129,7 @@ def masked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # the whole catalogue: severities, suppression, deduplication
 
-MIXED = catalog.rules("pii", "container", "jailbreak", "commands")
+MIXED = catalog.rules()
 _MIXED = f"WITH {VIEW}, findings AS ({_places_sql(MIXED, 'vet_inputs', ext=True)}), rules(rule_id, severity) AS (VALUES {', '.join(f'({literal(r.id)}, {literal(r.severity)})' for r in MIXED)})"
 
 
@@ -202,7 +210,7 @@ CUSTOM = custom_rules.from_records([
     {"id": "own-off", "type": "string", "pattern": "the", "enabled": False},
 ])
 _CUSTOM = " UNION ALL ".join(
-    f"SELECT '{r.id}' AS rule_id, '{r.severity}' AS severity, doc_id FROM vet_inputs, (SELECT unnest(regexp_extract_all(content, {literal(r.pattern)})) AS m, doc_id AS d FROM vet_inputs) WHERE d = doc_id" + (f" AND regexp_matches(path, {literal('|'.join(T.glob_regex(p) for p in r.file_patterns))})" if r.file_patterns else "")
+    f"SELECT '{r.id}' AS rule_id, '{r.severity}' AS severity, doc_id FROM vet_inputs, (SELECT unnest(regexp_extract_all(content, {literal(dialect.re2(r.pattern, r.flags))})) AS m, doc_id AS d FROM vet_inputs) WHERE d = doc_id" + (f" AND regexp_matches(path, {literal('|'.join(T.glob_regex(p) for p in r.file_patterns))})" if r.file_patterns else "")
     for r in CUSTOM
 )
 
@@ -268,7 +276,7 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _score_sql(direction: str) -> str:
-    return " + ".join(f"CASE WHEN regexp_matches(text, {literal(p.regex)}) THEN {p.score} ELSE 0 END" for p in firewall.applying(direction))
+    return " + ".join(f"CASE WHEN regexp_matches(text, {literal(p.re2)}) THEN {p.score} ELSE 0 END" for p in firewall.applying(direction))
 
 
 _ACT = "CASE WHEN score >= 30 THEN 'block' WHEN score >= 15 THEN 'warn' ELSE 'allow' END"
@@ -276,7 +284,7 @@ _ACT = "CASE WHEN score >= 30 THEN 'block' WHEN score >= 15 THEN 'warn' ELSE 'al
 
 def _judged_sql(direction: str, role: str) -> str:
     return f"SELECT conv_id, turn, score, {_ACT} AS action, about FROM (SELECT conv_id, turn, CAST({_score_sql(direction)} AS BIGINT) AS score, CASE WHEN " + " OR ".join(
-        f"regexp_matches(text, {literal(p.regex)})" for p in firewall.applying(direction) if "context" in p.category or "extraction" in p.category
+        f"regexp_matches(text, {literal(p.re2)})" for p in firewall.applying(direction) if "context" in p.category or "extraction" in p.category
     ) + f" THEN 'context' ELSE '{direction}' END AS about FROM talk WHERE role = '{role}')" if any("context" in p.category or "extraction" in p.category for p in firewall.applying(direction)) else f"SELECT conv_id, turn, score, {_ACT} AS action, about FROM (SELECT conv_id, turn, CAST({_score_sql(direction)} AS BIGINT) AS score, '{direction}' AS about FROM talk WHERE role = '{role}')"
 
 
@@ -295,7 +303,7 @@ def firewall_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firewall.stats(firewall.judge(_talk(spark, sf_dir).where("role = 'user'"), "inbound"))
 
 
-_TOP = " UNION ALL ".join(f"SELECT '{p.id}' AS pattern FROM talk WHERE role = 'user' AND regexp_matches(text, {literal(p.regex)})" for p in firewall.applying("inbound"))
+_TOP = " UNION ALL ".join(f"SELECT '{p.id}' AS pattern FROM talk WHERE role = 'user' AND regexp_matches(text, {literal(p.re2)})" for p in firewall.applying("inbound"))
 
 
 @query(f"WITH {_TALK} SELECT pattern, count(*) AS n FROM ({_TOP}) GROUP BY pattern ORDER BY n DESC, pattern LIMIT 5")
@@ -303,8 +311,8 @@ def firewall_top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firewall.top_patterns(firewall.judge(_talk(spark, sf_dir).where("role = 'user'"), "inbound"), 5)
 
 
-_INJ = " + ".join(f"CASE WHEN regexp_matches(content, {literal(p.regex)}) THEN {p.score} ELSE 0 END" for p in firewall.RESPONSE)
-_DENSE = f"len(regexp_extract_all(content, {literal(firewall.IMPERATIVES)})) > 5 AND length(content) < 500"
+_INJ = " + ".join(f"CASE WHEN regexp_matches(content, {literal(p.re2)}) THEN {p.score} ELSE 0 END" for p in firewall.RESPONSE)
+_DENSE = f"len(regexp_extract_all(content, {literal(dialect.re2(firewall.IMPERATIVES))})) > 5 AND length(content) < 500"
 # in DuckDB a blob as text is its ASCII characters and the codes of its other bytes
 _RUNS = (
     f"len(list_filter(regexp_extract_all(content, {literal(firewall.ENCODED)}), lambda x: regexp_matches(CAST(from_base64(left(x, length(x) // 4 * 4)) AS VARCHAR), {literal(firewall.HIDDEN)})))"
@@ -314,7 +322,7 @@ _RUNS = (
 @query(f"WITH {VIEW} SELECT doc_id, CAST({_INJ} AS BIGINT) AS points, {_DENSE} AS dense FROM vet_inputs")
 def injection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
-    points = sum((F.when(c.rlike(p.regex), p.score).otherwise(0) for p in firewall.RESPONSE), F.lit(0))
+    points = sum((F.when(c.rlike(p.java), p.score).otherwise(0) for p in firewall.RESPONSE), F.lit(0))
     return vet_inputs(spark, sf_dir).select("doc_id", points.cast("long").alias("points"), firewall.dense(c).alias("dense"))
 
 
@@ -323,7 +331,7 @@ def injection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vet_inputs(spark, sf_dir).select("doc_id", firewall.injection_score(F.col("content")).alias("score"), firewall.base64_runs(F.col("content")).alias("encoded"))
 
 
-_FIRST = " UNION ALL ".join(f"SELECT doc_id, '{p.id}' AS id, CAST(strpos(content, regexp_extract(content, {literal(p.regex)})) - 1 AS BIGINT) AS \"offset\" FROM vet_inputs WHERE regexp_matches(content, {literal(p.regex)})" for p in firewall.RESPONSE)
+_FIRST = " UNION ALL ".join(f"SELECT doc_id, '{p.id}' AS id, CAST(strpos(content, regexp_extract(content, {literal(p.re2)})) - 1 AS BIGINT) AS \"offset\" FROM vet_inputs WHERE regexp_matches(content, {literal(p.re2)})" for p in firewall.RESPONSE)
 
 
 @query(f"WITH {VIEW} {_FIRST}")
@@ -571,12 +579,12 @@ def mode_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # reputation, rates, windows
 
-@query(f"WITH {VIEW} SELECT DISTINCT doc_id, 'url' AS kind, regexp_replace(unnest(regexp_extract_all(content, {literal(reputation.URL)})), '[.,;:!?)]+$', '') AS target FROM vet_inputs UNION ALL SELECT doc_id, 'ip' AS kind, ip AS target FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(content, {literal(reputation.IP)})) AS ip FROM vet_inputs) WHERE list_max(list_transform(string_split(ip, '.'), lambda x: CAST(x AS INT))) <= 255 AND NOT regexp_matches(ip, '^(?:10\\.|127\\.|192\\.168\\.|172\\.(?:1[6-9]|2[0-9]|3[01])\\.)')")
+@query(f"WITH {VIEW} SELECT DISTINCT doc_id, 'url' AS kind, regexp_replace(unnest(regexp_extract_all(content, {literal(dialect.re2(reputation.URL))})), '[.,;:!?)]+$', '') AS target FROM vet_inputs UNION ALL SELECT doc_id, 'ip' AS kind, ip AS target FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(content, {literal(dialect.re2(reputation.IP))})) AS ip FROM vet_inputs) WHERE list_max(list_transform(string_split(ip, '.'), lambda x: CAST(x AS INT))) <= 255 AND NOT regexp_matches(ip, '^(?:10\\.|127\\.|192\\.168\\.|172\\.(?:1[6-9]|2[0-9]|3[01])\\.)')")
 def reputation_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.targets(vet_inputs(spark, sf_dir)).select("doc_id", "kind", "target")
 
 
-@query(f"WITH {VIEW} SELECT count(*) AS n, CAST(sum(CASE WHEN i <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS checked FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, target) AS i FROM (SELECT DISTINCT doc_id, 0 AS k, regexp_replace(unnest(regexp_extract_all(content, {literal(reputation.URL)})), '[.,;:!?)]+$', '') AS target FROM vet_inputs))")
+@query(f"WITH {VIEW} SELECT count(*) AS n, CAST(sum(CASE WHEN i <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS checked FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, target) AS i FROM (SELECT DISTINCT doc_id, 0 AS k, regexp_replace(unnest(regexp_extract_all(content, {literal(dialect.re2(reputation.URL))})), '[.,;:!?)]+$', '') AS target FROM vet_inputs))")
 def reputation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reputation.targets(vet_inputs(spark, sf_dir), budget=1).where("kind = 'url'")
     return found.agg(F.count("*").alias("n"), F.sum(F.col("checked").cast("long")).alias("checked"))
