@@ -39,15 +39,18 @@ TOGETHER = 64
 
 
 def places(text: Column) -> Column:
-    """Of marked() text every match: array of (line, column, match), lines and columns from 1, in code points.
+    """Of marked() text every match: array of (line, column, offset, match), lines and columns from 1, offsets from 0, in code points.
 
     The text is split at the marks; the place of a match follows from the lines
     and characters of the pieces before it.  Matches of nothing are left out.
     """
-    kind = "array<struct<line:int,column:int,match:string>>"
+    kind = "array<struct<line:int,column:int,offset:int,match:string>>"
 
-    def start(line: Column, column: Column, kind: str) -> Column:
-        return F.struct(line.alias("line"), column.alias("column"), F.array().cast(kind).alias("found"))
+    def state(line: Column, column: Column, offset: Column, found: Column) -> Column:
+        return F.struct(line.alias("line"), column.alias("column"), offset.alias("offset"), found.alias("found"))
+
+    def none(kind: str) -> Column:
+        return F.array().cast(kind)
 
     def step(acc: Column, piece: Column) -> Column:
         # piece: a match up to CLOSE, then text; acc: line, and characters since the last newline
@@ -55,17 +58,17 @@ def places(text: Column) -> Column:
         plain = F.replace(piece, F.lit(CLOSE), F.lit(""))
         breaks = F.length(plain) - F.length(F.replace(plain, F.lit("\n"), F.lit("")))
         column = F.when(breaks > 0, F.length(F.substring_index(plain, "\n", -1))).otherwise(acc["column"] + F.length(plain))
-        this = F.struct(acc["line"].alias("line"), (acc["column"] + 1).alias("column"), match.alias("match"))
+        this = F.struct(acc["line"].alias("line"), (acc["column"] + 1).alias("column"), acc["offset"].alias("offset"), match.alias("match"))
         here = F.when(F.contains(piece, F.lit(CLOSE)) & (F.length(match) > 0), F.concat(acc["found"], F.array(this))).otherwise(acc["found"])
-        return F.struct((acc["line"] + breaks).alias("line"), column.alias("column"), here.alias("found"))
+        return state(acc["line"] + breaks, column, acc["offset"] + F.length(plain), here)
 
     def many(acc: Column, pieces: Column) -> Column:
-        part = F.aggregate(pieces, start(acc["line"], acc["column"], kind), step)
-        return F.aggregate(F.array(part), acc, lambda a, x: F.struct(x["line"].alias("line"), x["column"].alias("column"), F.concat(a["found"], F.array(x["found"])).alias("found")))
+        part = F.aggregate(pieces, state(acc["line"], acc["column"], acc["offset"], none(kind)), step)
+        return F.aggregate(F.array(part), acc, lambda a, x: state(x["line"], x["column"], x["offset"], F.concat(a["found"], F.array(x["found"]))))
 
     pieces = F.split(text, OPEN, -1)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / TOGETHER).cast("int")), lambda b: F.slice(pieces, b * TOGETHER + 1, F.lit(TOGETHER)))
-    return F.flatten(F.aggregate(blocks, start(F.lit(1), F.lit(0), f"array<{kind}>"), many)["found"])
+    return F.flatten(F.aggregate(blocks, state(F.lit(1), F.lit(0), F.lit(0), none(f"array<{kind}>")), many)["found"])
 
 
 def matches(content: Column, pattern: str) -> Column:

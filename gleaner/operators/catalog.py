@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.functions import dialect
-from gleaner.operators.packs import PACKS
+from gleaner.operators.packs import FIXED, PACKS
 
 #: Rules whose ids begin so look at code; they skip documentation files.
 CODE_PREFIXES, DOC_EXTENSIONS = ("mcp-", "command-"), ("md", "mdx", "txt", "rst")
@@ -46,12 +46,19 @@ class Rule:
         return self.id.startswith(CODE_PREFIXES)
 
 
+MODULES = sorted({*PACKS, *FIXED})
+
+
 def rules(*modules: str) -> list[Rule]:
     """The rules of the named packs, or of all."""
-    unknown = set(modules) - set(PACKS)
+    unknown = set(modules) - set(MODULES)
     if unknown:
         raise ValueError(f"no such packs: {sorted(unknown)}")
-    return [Rule(*r, module=m) for m in (modules or PACKS) for r in PACKS[m]]
+    out = []
+    for m in modules or MODULES:
+        out += [Rule(*r, module=m) for r in PACKS.get(m, ())]
+        out += [Rule(id, severity, pattern, id.replace("-", " ").capitalize(), m, flags=flags) for id, severity, pattern, flags in FIXED.get(m, ())]
+    return out
 
 
 def load(spark: SparkSession, path: str) -> list[Rule]:

@@ -31,20 +31,26 @@ def flagged(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> Data
     return rows.select(key, F.get(_told(rules, "severity", "module"), F.col("k")).alias("r")).select(key, "r.*")
 
 
-def located(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> DataFrame:
-    """A row for each match: key, rule, line, column, snippet (masked), line_content.
+def matched(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", *names: str) -> DataFrame:
+    """A row for each rule that matches a document: key, path, content, rule_id, severity and what else is asked for, and found, its matches (line, column, offset, match).
 
     Rules that match mark the text; marks are turned into places once, after rows are made.
     """
     d = matcher.prepared(docs, rules).withColumn("clean", T.unmarked(F.col("content"))).withColumn("hits", matcher.hits(rules, "path" in docs.columns))
     marks = [f"regexp_replace(clean, {matcher.quoted('(' + r.java + ')')}, '{T.OPEN}$1{T.CLOSE}')" for r in rules]
     found = F.expr(f"transform(hits, k -> named_struct('k', k, 'marked', {matcher.by_number(marks, range(len(rules)))}))") if rules else F.expr("array(named_struct('k', 0, 'marked', ''))")
-    names = ["rule_id", "severity", "description", "recommendation"]
     keep = [*dict.fromkeys([key, *(["path"] if "path" in docs.columns else [])])]
-    rows = d.select(*keep, "content", F.explode(found).alias("f")).select(*keep, F.split("content", "\n", -1).alias("lines"), "f.marked", F.get(_told(rules, *names[1:]), F.col("f.k")).alias("r"))
-    placed = rows.select(*keep, "lines", *[f"r.{n}" for n in names], F.explode(T.places(F.col("marked"))).alias("m"))
+    rows = d.select(*keep, "content", F.explode(found).alias("f")).select(*keep, "content", "f.marked", F.get(_told(rules, "severity", *names), F.col("f.k")).alias("r"))
+    return rows.select(*keep, "content", "r.*", T.places(F.col("marked")).alias("found"))
+
+
+def located(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> DataFrame:
+    """A row for each match: key, rule, line, column, snippet (masked), line_content."""
+    rows = matched(docs, rules, key, "description", "recommendation").withColumn("lines", F.split("content", "\n", -1)).drop("content")
+    told = [c for c in rows.columns if c not in ("lines", "found")]
+    placed = rows.select(*told, "lines", F.explode("found").alias("m"))
     return placed.select(
-        *keep, *names, F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"), T.masked(F.col("rule_id"), F.col("m.match")).alias("snippet"),
+        *told, F.col("m.line").cast("long").alias("line"), F.col("m.column").cast("long").alias("column"), T.masked(F.col("rule_id"), F.col("m.match")).alias("snippet"),
         F.substring(F.trim(F.element_at("lines", F.col("m.line"))), 1, 100).alias("line_content"),
     )
 
