@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators import digests
 
 #: Fixed values: (category, expression, group, prefix), what code shows that it uses; without a group the value itself.
 EXTRACTORS = (
@@ -132,9 +133,8 @@ def _covered(declared: DataFrame) -> Column:
 
 def undeclared(detected: DataFrame, declared: DataFrame) -> DataFrame:
     """Of detected(key.., category, permission) what no row of declared(category, declared) allows, with its severity and message."""
-    what = F.create_map(*[F.lit(x) for kv in {"exec": "command execution", "network": "network access", "files": "file access", "secrets": "secret usage", "env": "environment variable"}.items() for x in kv])
     out = detected.where(~_covered(declared)).withColumn("severity", severity())
-    return out.withColumn("message", F.concat(F.lit("Undeclared "), what[F.col("category")], F.lit(": "), F.col("permission")))
+    return out.withColumn("message", F.concat(F.lit("not declared: "), F.col("category"), F.lit(" "), F.col("permission")))
 
 
 def matching(detected: DataFrame, declared: DataFrame) -> DataFrame:
@@ -241,7 +241,8 @@ def trust_chains(manifests: DataFrame, current_hash: Column | None = None, today
     """manifests with trust_level, trust_score, verified, chain and warnings from their column `trust` (of type TRUST).
 
     The level is the highest of auditors and chain, the score the sum of author and auditors.
-    Warnings: no trust at all, content that changed since an audit, audits older than FRESH_MONTHS, and a mark of verification without a registry's level.
+    Warnings are codes, with auditor and value: none (no trust at all), changed (content since an audit), old (audits beyond FRESH_MONTHS, in months) and
+    unproven (a mark of verification without a registry's level).
     """
     t, today = F.col(trust_col), today if today is not None else F.current_date()
     audits, links = F.coalesce(t["audits"], F.array().cast("array<struct<auditor:string,date:string,contentHash:string,scope:string,notes:string>>")), F.coalesce(t["chain"], F.array().cast("array<string>"))
@@ -252,12 +253,12 @@ def trust_chains(manifests: DataFrame, current_hash: Column | None = None, today
     undated = F.lit(None).cast("string")
     chain = F.concat(F.when(author.isNotNull(), F.array(entry(author, "author", undated))).otherwise(F.array().cast("array<struct<entity:string,role:string,level:int,name:string,date:string>>")), F.transform(audits, lambda a: entry(a["auditor"], "auditor", a["date"])), F.transform(links, lambda x: entry(x, "chain", undated)))
     months = lambda a: F.datediff(today, F.try_to_date(a["date"])) / MONTH_DAYS
-    changed = (lambda a: F.when(a["contentHash"] != current_hash, F.concat(F.lit("Content has changed since audit by "), a["auditor"], F.lit(" on "), a["date"]))) if current_hash is not None else (lambda a: F.lit(None).cast("string"))
-    old = lambda a: F.when(months(a) > FRESH_MONTHS, F.concat(F.lit("Audit by "), a["auditor"], F.lit(" is "), F.floor(months(a)).cast("string"), F.lit(" months old")))
+    changed = (lambda a: F.when(a["contentHash"] != current_hash, F.concat(F.lit("changed: "), a["auditor"], F.lit(", "), a["date"]))) if current_hash is not None else (lambda a: F.lit(None).cast("string"))
+    old = lambda a: F.when(months(a) > FRESH_MONTHS, F.concat(F.lit("old: "), a["auditor"], F.lit(", "), F.floor(months(a)).cast("string")))
     by_audit = F.flatten(F.transform(audits, lambda a: F.array_compact(F.array(changed(a), old(a)))))
     verified = F.coalesce(t["verified"], F.lit(False))
-    unproven = F.when(verified & (top < 3), F.array(F.lit("Marked as verified but no registry audit found"))).otherwise(F.array().cast("array<string>"))
-    warnings = F.when(t.isNull(), F.array(F.lit("No trust information in manifest"))).otherwise(F.concat(by_audit, unproven))
+    unproven = F.when(verified & (top < 3), F.array(F.lit("unproven"))).otherwise(F.array().cast("array<string>"))
+    warnings = F.when(t.isNull(), F.array(F.lit("none"))).otherwise(F.concat(by_audit, unproven))
     return manifests.withColumns({
         "trust_level": F.when(t.isNull(), 0).otherwise(top), "trust_score": F.when(t.isNull(), 0).otherwise(score), "verified": verified,
         "chain": F.when(t.isNotNull(), chain), "warnings": warnings,
@@ -311,6 +312,30 @@ def generated(detected: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, F.lit(VERSION).alias("version"), F.struct(*CATEGORIES, raised.alias("elevated")).alias("permissions"), F.struct(risk_level(commands, F.col("network"), F.col("secrets"), raised).alias("level"), notes.alias("notes")).alias("risks"))
 
 
+def initialised(files: DataFrame, by: str, path: str = "path", content: str = "content") -> DataFrame:
+    """A manifest for each group of files(by, path relative to the group, content): name, description and author, permissions, risks and integrity.
+
+    Name and description come from the block at the top of SKILL.md or else from
+    package.json, which also tells the author (a text, or an object with a name).
+    Of a group that holds either file twice the first content in order counts.
+    """
+    first = files.where(F.col(path).isin("SKILL.md", "package.json")).groupBy(by).agg(
+        F.min(F.when(F.col(path) == "SKILL.md", F.col(content))).alias("_skill"), F.min(F.when(F.col(path) == "package.json", F.col(content))).alias("_package"),
+    )
+    package = F.from_json("_package", "name string, description string, author string")
+    author = F.coalesce(F.get_json_object(package["author"], "$.name"), package["author"])
+    told = first.select(
+        F.col(by).cast("string").alias("_by"), F.coalesce(front_matter(F.col("_skill"), "name"), package["name"]).alias("name"),
+        F.coalesce(front_matter(F.col("_skill"), "description"), package["description"]).alias("description"), author.alias("author"),
+    )
+    code = files.where(is_code(F.col(path)))
+    made = generated(usage(code.withColumn("_key", F.col(by).cast("string")).select("_key", F.col(content).alias("content")), "_key"), "_key")
+    hashes = digests.integrity(files, by, path, content).select(F.col(by).alias("_hashed"), F.struct(F.lit("sha256").alias("algorithm"), F.col("digest").alias("hash"), "files").alias("integrity"))
+    groups = files.select(F.col(by).cast("string").alias(by)).distinct()
+    out = groups.join(told, F.col(by).eqNullSafe(F.col("_by")), "left").join(made, F.col(by).eqNullSafe(F.col("_key")), "left").join(hashes, F.col(by).eqNullSafe(F.col("_hashed")), "left")
+    return out.select(by, F.lit(VERSION).alias("version"), "name", "description", "author", "permissions", "risks", "integrity")
+
+
 def integrity(files: DataFrame, *by: str, path: str = "path", content: str = "content", block: int = 10_000) -> DataFrame:
     """SHA-256 over the files' hashes in order of path, in two levels, so that no group of any size is gathered in one row.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dialect
 from gleaner.functions import text as T
-from gleaner.operators import analysis, cards, catalog, custom_rules, firewall, guards, manifest, policy, report, reputation, scan, signatures, vet
+from gleaner.operators import analysis, cards, catalog, custom_rules, digests, firewall, guards, manifest, policy, report, reputation, scan, signatures, vet
 from gleaner.plans.inputs import VIEW, dealt, literal, spelled, table, vet_inputs
 from gleaner.sources import files
 from gleaner.sources.files import ignored
@@ -510,8 +510,8 @@ _MADE = """CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '{"author":"github:an
 
 
 @query("""SELECT s_suppkey AS card_id, CASE s_suppkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 4 ELSE 0 END AS level, CASE s_suppkey % 5 WHEN 1 THEN 4 WHEN 2 THEN 3 ELSE 0 END AS score,
-  s_suppkey % 5 IN (1, 2) AS verified, CASE s_suppkey % 5 WHEN 0 THEN 'No trust information in manifest' WHEN 1 THEN 'Audit by clawdhub:verified is 73 months old'
-    WHEN 2 THEN 'Content has changed since audit by user:bob on 2026-01-05|Marked as verified but no registry audit found' ELSE '' END AS warnings FROM supplier""")
+  s_suppkey % 5 IN (1, 2) AS verified, CASE s_suppkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'old: clawdhub:verified, 73'
+    WHEN 2 THEN 'changed: user:bob, 2026-01-05|unproven' ELSE '' END AS warnings FROM supplier""")
 def trust_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("card_id"), F.from_json(F.expr(_MADE), manifest.TRUST).alias("trust"))
     out = manifest.trust_chains(made, F.lit("h1"), F.lit("2026-02-01").cast("date"))
@@ -526,6 +526,42 @@ def content_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.integrity(docs, "top")
 
 
+_TOP = "split_part(path, '/', 2)"
+
+
+def _topped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vet_inputs(spark, sf_dir).withColumn("top", F.expr(_TOP))
+
+
+@query(f"""WITH {VIEW} SELECT {_TOP} AS top, sha256(string_agg(sha256(content), '' ORDER BY string_split(path, '/'), sha256(content))) AS digest, count(*) AS files
+  FROM vet_inputs WHERE NOT regexp_matches(path, 'node_modules|\\.git') GROUP BY 1""")
+def integrity_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.integrity(_topped(spark, sf_dir), "top")
+
+
+@query(f"""WITH {VIEW} SELECT {_TOP} AS top, 'sha256:' || sha256(string_agg('/' || path || ':' || content, '' ORDER BY path, content)) AS digest, count(*) AS files
+  FROM vet_inputs WHERE NOT regexp_matches(path, '(^|/)(\\.|node_modules(/|$)|package-lock.json$)') GROUP BY 1""")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.content_hash(_topped(spark, sf_dir), "top")
+
+
+_SKILL = """concat('---', chr(10), CASE WHEN doc_id % 3 = 0 THEN 'title' ELSE 'name' END, ': skill of ', top, chr(10), '---', chr(10), 'text')"""
+_PACKAGE = """CASE doc_id % 2 WHEN 0 THEN concat('{"name": "package of ', top, '", "description": "', doc_id, '", "author": {"name": "Ann"}}') ELSE '{"author": "Bob", "description": "of Bob"}' END"""
+_SKILLS = f"""files AS (SELECT top, path, content FROM topped UNION ALL SELECT top, 'SKILL.md', {_SKILL} FROM topped WHERE doc_id % 41 = 1 UNION ALL SELECT top, 'package.json', {_PACKAGE} FROM topped WHERE doc_id % 37 < 2)"""
+
+
+@query(f"""WITH {VIEW}, topped AS (SELECT doc_id, {_TOP} AS top, path, content FROM vet_inputs), {_SKILLS},
+  told AS (SELECT top, min(content) FILTER (path = 'SKILL.md') AS skill, min(content) FILTER (path = 'package.json') AS package FROM files GROUP BY top),
+  hashed AS (SELECT top, sha256(string_agg(sha256(content), '' ORDER BY string_split(path, '/'), sha256(content))) AS hash, count(*) AS files FROM files WHERE NOT regexp_matches(path, 'node_modules|\\.git') GROUP BY top)
+  SELECT top, coalesce(nullif(trim(regexp_extract(skill, 'name:\\s*(.+)', 1)), ''), json_extract_string(package, '$.name')) AS name, json_extract_string(package, '$.description') AS description,
+    CASE WHEN json_type(package, '$.author') = 'OBJECT' THEN json_extract_string(package, '$.author.name') ELSE json_extract_string(package, '$.author') END AS author, hash, files FROM told LEFT JOIN hashed USING (top)""")
+def manifest_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topped = _topped(spark, sf_dir)
+    more = [topped.where(where).select("top", F.lit(name).alias("path"), F.expr(made).alias("content")) for where, name, made in (("doc_id % 41 = 1", "SKILL.md", _SKILL), ("doc_id % 37 < 2", "package.json", _PACKAGE))]
+    files = topped.select("top", "path", "content").unionByName(more[0]).unionByName(more[1])
+    return manifest.initialised(files, "top").select("top", "name", "description", "author", "integrity.hash", "integrity.files")
+
+
 # agent cards
 
 
@@ -602,7 +638,7 @@ def analysis_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAMPLE = "SELECT *, concat(repeat('x', CAST(card_id % 4 AS INT) * 6000), 'tail') AS content FROM (SELECT s_suppkey AS card_id FROM supplier)"
 
 
-@query(f"SELECT card_id, CASE WHEN card_id % 4 = 0 THEN -1 WHEN card_id % 4 < 3 THEN length(content) ELSE 13500 + length(concat(chr(10), chr(10), '[... content truncated for analysis ...]', chr(10), chr(10))) END AS n FROM ({_SAMPLE})")
+@query(f"SELECT card_id, CASE WHEN card_id % 4 = 0 THEN -1 WHEN card_id % 4 < 3 THEN length(content) ELSE 13500 + length(concat(chr(10), '[the middle of this text is left out]', chr(10))) END AS n FROM ({_SAMPLE})")
 def analysis_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("card_id"), F.concat(F.repeat(F.lit("x"), (F.col("s_suppkey") % 4 * 6000).cast("int")), F.lit("tail")).alias("content"))
     return sample.select("card_id", F.coalesce(F.length(analysis.asked(F.col("content"))), F.lit(-1)).cast("long").alias("n"))

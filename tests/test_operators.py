@@ -1,5 +1,6 @@
 """Operators on small cases."""
 
+import hashlib
 import json
 import os
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import cards, catalog, custom_rules, firewall, guards, manifest, policy, report, reputation, scan, signatures, vet
+from gleaner.operators import cards, catalog, custom_rules, digests, firewall, guards, manifest, policy, report, reputation, scan, signatures, vet
 from gleaner.sources import files
 from gleaner.streaming import messages
 
@@ -386,3 +387,27 @@ def test_guards_judge_each_match_by_its_own_place(spark):
     rule = [r for r in catalog.rules() if r.id == "mcp-oauth-hardcoded-secret"]
     assert [r.dropped for r in guards.guarded(docs(spark, text), rule).orderBy("column").collect()] == [True, False]
     assert {g.rule_id for g in guards.GUARDS} == set(GUARDED) and guards.guarded(docs(spark, text), []).count() == 0
+
+
+def test_flat_hashes(spark):
+    """The values that a plain walk gives: folders in order of names, hidden files and packages left out."""
+    held = {"b.txt": "two", "a/z.txt": None, "a.txt": "one", "a/b/c.md": "é", ".env": "x", "node_modules/m.js": "y", "a/package-lock.json": "z", "a/.git/h": "g"}
+    rows = spark.createDataFrame([(g, p, c) for g in ("s", None) for p, c in held.items()] + [("only", ".x", "")], "skill string, path string, content string").repartition(5)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    order = [".env", "a/b/c.md", "a/package-lock.json", "a/z.txt", "a.txt", "b.txt"]
+    want = sha("".join(sha((held[p] or "").encode()) for p in order).encode())
+    got = {r.skill: (r.digest, r.files) for r in digests.integrity(rows, "skill").collect()}
+    assert got == {"s": (want, 6), None: (want, 6), "only": (sha(sha(b"").encode()), 1)}
+    audited = sorted(p for p in held if p in ("b.txt", "a/z.txt", "a.txt", "a/b/c.md"))
+    flat = "sha256:" + sha(b"".join(f"/{p}:".encode() + (held[p] or "").encode() for p in audited))
+    assert {r.skill: (r.digest, r.files) for r in digests.content_hash(rows, "skill").collect()} == {"s": (flat, 4), None: (flat, 4)}
+    assert digests.integrity(rows.limit(0), "skill").count() == 0
+
+
+def test_manifest_is_initialised(spark):
+    skill = "---\nname: My skill\ndescription: Does it\n---\nbody"
+    rows = [("a", "SKILL.md", skill), ("a", "package.json", '{"name": "p", "author": {"name": "Ann"}}'), ("a", "x.js", "fetch('https://h.example.com/') ; execSync('curl x')"), ("b", "package.json", '{"name": "p", "description": "d", "author": "Bob"}'), ("c", "package.json", "{"), ("c", "SKILL.md", "no block")]
+    got = {r.skill: r for r in manifest.initialised(spark.createDataFrame(rows, "skill string, path string, content string"), "skill").collect()}
+    assert (got["a"].name, got["a"].description, got["a"].author, got["a"].permissions.network) == ("My skill", "Does it", "Ann", ["h.example.com"]) and got["a"].risks.level in ("medium", "high")
+    assert (got["b"].name, got["b"].description, got["b"].author, got["b"].permissions) == ("p", "d", "Bob", None) and (got["c"].name, got["c"].author) == (None, None)
+    assert got["a"].integrity.files == 3 and got["c"].integrity.algorithm == "sha256"
