@@ -17,7 +17,9 @@ meets another one's segment with a character left out has one more.  In each
 such group only the earliest matters, so groups are reduced by minimum and no
 pairs of a group are made.  A line that isn't kept drops no other: in rounds, a
 line is kept once all earlier ones within the bound are dropped, and dropped once
-one of them is kept.  The pair that decides, of a line and the earliest kept one
+one of them is kept; after a few rounds, small components of lines that are
+still open (such as rulers, each a character longer than the last) are gone
+through in order of place, each within one row.  The pair that decides, of a line and the earliest kept one
 that it meets, is verified by edit distance.
 
 Cases: lines without a word are never dropped and match nothing; a null or empty
@@ -34,8 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import WORD, free_name, small, written
+from gleaner.llm.components import components
 
 LEAST, SEGMENT = 20, 32
+#: Rounds after which components of lines that are few are decided at once, and how many rows those have.
+ROUNDS, MOST_MEETINGS = 3, 200_000
 
 
 def _bound(m: Column, parts: Column, j: Column) -> Column:
@@ -126,8 +131,14 @@ def _nearest_kept(met: DataFrame) -> DataFrame:
         other = F.when(F.col("role") == "more", F.col("less")).when(F.col("role") == "less", F.col("more")).otherwise(F.col("changed"))
         return rows.join(groups, "variant").select("cid", "at", other.alias(name)).where(F.col(name) < F.col("at")).groupBy("cid", "at").agg(F.min(name).alias(name))
 
-    open_rows, kept, gone = met, None, None
+    open_rows, kept, gone, rounds = met, None, None, 0
     while not open_rows.isEmpty():
+        rounds += 1
+        if rounds == ROUNDS + 1:
+            # what is left are chains, each link of which would take a round
+            open_rows, now, hit = _settled(open_rows)
+            kept, gone = written(kept.unionByName(now), "kept-meetings"), gone.unionByName(hit)
+            continue
         waits = before(open_rows, open_rows, "waits").select("cid", "waits")
         lines = open_rows.select("cid").distinct()
         ready = written(lines.join(waits, "cid", "left_anti"), "kept-lines")
@@ -141,6 +152,31 @@ def _nearest_kept(met: DataFrame) -> DataFrame:
     return before(met.join(gone, "cid", "left_semi"), kept, "earlier")
 
 
+def _settled(met: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """met without the lines of components of MOST_MEETINGS rows or fewer, which are decided in order of place within one row: the rows of those kept, and (cid) of those dropped."""
+    heads = met.groupBy("variant").agg(F.min("cid").alias("head"))
+    roots = components(met.join(heads, "variant").where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")))
+    rooted = written(met.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node"), "rooted")
+    few = written(rooted.groupBy("root").count().where(F.col("count") <= MOST_MEETINGS).select("root"), "small-components")
+    mine = rooted.join(few, "root", "left_semi")
+    other = F.when(F.col("role") == "more", "less").when(F.col("role") == "less", "more").otherwise(F.col("role"))
+    lines = mine.groupBy("root", "cid", "at").agg(F.collect_list(F.xxhash64("variant", "role")).alias("shows"), F.collect_list(F.xxhash64("variant", other)).alias("looks"))
+    whole = lines.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("at", "cid", "shows", "looks"))).alias("lines"))
+    none = F.array().cast("array<long>")
+
+    def step(acc: Column, line: Column) -> Column:
+        # a line is kept if it meets no line that is
+        hit = F.arrays_overlap(acc["shows"], line["looks"])
+        shows, kept = F.concat(acc["shows"], line["shows"]), F.concat(acc["kept"], F.array(line["cid"]))
+        return F.struct(F.when(hit, acc["shows"]).otherwise(shows).alias("shows"), F.when(hit, acc["kept"]).otherwise(kept).alias("kept"))
+
+    kept = whole.select(F.explode(F.aggregate("lines", F.struct(none.alias("shows"), none.alias("kept")), step)["kept"]).alias("cid"))
+    kept = written(kept, "settled-lines")
+    now = mine.join(kept, "cid", "left_semi").drop("root")
+    hit = written(mine.select("cid").distinct().join(kept, "cid", "left_anti"), "dropped-lines")
+    return written(rooted.join(few, "root", "left_anti").drop("root"), "open-lines"), now, hit
+
+
 def _own(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """What tells a row of docs from the others, ordered by id."""
     rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)], F.lit(0).alias(free_name(docs.columns, "own"))))

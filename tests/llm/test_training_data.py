@@ -642,3 +642,27 @@ def test_pipeline_stages(spark, texts, tmp_path):
             now = after
     tokens = {r.sequence_id: 0 for r in after.collect()}
     assert tokens and corpus_pipeline.run(spark, d).count() == after.count()
+
+
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_rulers_of_growing_length_are_settled_at_once(spark, rounds, monkeypatch):
+    """A chain of 120 lines, each within one edit of the next only: every second one stays, in a few rounds."""
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds or 1)
+    rulers = ["-" * n + "=x" for n in range(20, 140)]
+    random.Random(4).shuffle(rulers)
+    order = sorted(range(len(rulers)), key=lambda k: len(rulers[k]))
+    kept: set[int] = set()
+    near = {order[k]: [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order)] for k in range(len(order))}
+    for k in range(len(rulers)):
+        if not kept & set(near[k]):
+            kept.add(k)
+    rows = line_dedup.dropped(table(spark, ["\n".join(rulers), "one other line of some length"])).collect()
+    assert {r.line_no for r in rows} == set(range(len(rulers))) - kept
+    assert all(r.kept_line_no == min(j for j in near[r.line_no] if j in kept and j < r.line_no) for r in rows)
+
+
+def test_large_components_go_on_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_MEETINGS", 10)
+    monkeypatch.setattr(line_dedup, "ROUNDS", 1)
+    lines = ["-" * n + "=x" for n in range(20, 26)]
+    assert sorted(r.line_no for r in line_dedup.dropped(table(spark, ["\n".join(lines)])).collect()) == [1, 3, 5]
