@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -666,3 +667,42 @@ def test_large_components_go_on_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "ROUNDS", 1)
     lines = ["-" * n + "=x" for n in range(20, 26)]
     assert sorted(r.line_no for r in line_dedup.dropped(table(spark, ["\n".join(lines)])).collect()) == [1, 3, 5]
+
+
+@pytest.mark.parametrize("size", [10, 30, 120])
+def test_groups_of_variants_are_one_cluster(spark, size):
+    """A passage of 60 words and variants with one word changed (0.84 like it, mostly under 0.8 like each other), each in prose of its own."""
+    rng = random.Random(size)
+    words = lambda k: ["".join(rng.choice("abdeilnorstuv") for _ in range(rng.randint(3, 9))) for _ in range(k)]
+    base, texts = words(60), []
+    for v in range(size + 1):
+        p = list(base)
+        if v:
+            p[rng.randrange(5, 55)] = words(1)[0]
+        texts.append(" ".join([*words(rng.randint(20, 80)), *p, *words(rng.randint(20, 80))]))
+    rng.shuffle(texts)
+    rows = passages.repeated_passages(table(spark, texts)).collect()
+    clusters = defaultdict(set)
+    for r in rows:
+        clusters[r.cluster_id].add(r.doc_id)
+    assert max(map(len, clusters.values())) >= 0.9 * len(texts)
+
+
+def test_spanning_trees_link_what_any_pairs_link():
+    """At every threshold the tree's edges make the components that all pairs make."""
+    rng = random.Random(3)
+    for _ in range(20):
+        members = [np.unique([rng.randrange(60) for _ in range(rng.randint(10, 60))]).astype(np.uint64) for _ in range(rng.randint(2, 25))]
+        shared = lambda a, b, m=members: len(set(m[a].tolist()) & set(m[b].tolist()))
+        edges = passages.spanning(members)
+        for least in range(passages.PARAGRAPH, 60, 3):
+
+            def parts(pairs, n=len(members), least=least, shared=shared):
+                of = list(range(n))
+                for a, b in pairs:
+                    if shared(a, b) >= least:
+                        x, y = of[a], of[b]
+                        of = [x if o == y else o for o in of]
+                return {frozenset(k for k in range(n) if of[k] == o) for o in of}
+
+            assert parts(edges) == parts([(a, b) for a in range(len(members)) for b in range(a)])
