@@ -65,13 +65,15 @@ def looked_up(docs: DataFrame, table: DataFrame, budget: int = 10) -> DataFrame:
 
 def vet(
     docs: DataFrame, severity: str = "info", builtin: bool = True, custom: Sequence[Rule] = (), with_signatures: bool = True, more_signatures: Sequence[Signature] = (),
-    listing: DataFrame | None = None, advisories: DataFrame | None = None, analysis: DataFrame | None = None, addresses: DataFrame | None = None, suppress: bool = True,
+    signed: DataFrame | None = None, listing: DataFrame | None = None, advisories: DataFrame | None = None, analysis: DataFrame | None = None, addresses: DataFrame | None = None, suppress: bool = True,
 ) -> Result:
     """Findings of docs(path, content), a row for each file.
 
     Static and custom rules at or above `severity`, signatures, file modes of a
     `listing`, `advisories` on packages, results of an `analysis` and a table of
-    known `addresses`: each producer takes part where its input is given.  Then
+    known `addresses`: each producer takes part where its input is given.
+    Signatures are matched against `signed` where that is given, since their gate
+    takes other files.  Then
     comments that suppress take effect and of each file, rule and line the first
     finding stays.
     """
@@ -84,7 +86,7 @@ def vet(
         made.append(shaped(files.mode_findings(listing), "permission"))
     every = [*(signatures.BUILT_IN if with_signatures else []), *more_signatures]
     if every:
-        found = signatures.scan(docs, every, "path")
+        found = signatures.scan(docs if signed is None else signed, every, "path")
         made.append(shaped(found.where(T.severity_passes(F.col("severity"), severity)), "signature"))
     if advisories is not None:
         made.append(shaped(dependencies(advisories), "dependency"))
@@ -103,9 +105,9 @@ def vet(
 
 def vet_path(spark: SparkSession, root: str, max_bytes: int = files.MAX_BYTES, ignore: tuple[str, ...] = (), nested: bool = True, modes: bool = True, **options: object) -> Result:
     """Findings of the files under a folder, or of one file, with its ignore files and file modes; paths are relative."""
-    docs = files.scan_files(spark, root, max_bytes, ignore, nested).withColumn("path", files.relative(F.col("path"), root))
+    docs, signed = (d.withColumn("path", files.relative(F.col("path"), root)) for d in (files.scan_files(spark, root, max_bytes, ignore, nested), files.signature_files(spark, root)))
     listing = files.listed(spark, root).withColumn("path", files.relative(F.col("path"), root)) if modes else None
-    return vet(docs, listing=listing, **options)
+    return vet(docs, signed=signed, listing=listing, **options)
 
 
 def merged(*counts: DataFrame) -> DataFrame:
@@ -116,6 +118,19 @@ def merged(*counts: DataFrame) -> DataFrame:
     return out.agg(*[F.sum(c).alias(c) for c in counts[0].columns])
 
 
+def by_target(findings: DataFrame, target: str = "target") -> DataFrame:
+    """Counts by severity of each target and, with null as target and `every` true, of all: one pass over findings(target, path, rule_id, line, severity) of many roots.
+
+    A finding that several targets show (one file, rule and line) counts once for each of them and once in all.
+    """
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("path", "rule_id", "line")]
+    once = findings.select(F.col(target).alias("_target"), *keys, "severity").groupBy("_target", "path", "rule_id", "line").agg(F.min("severity").alias("severity"))
+    # a pair of a row for its target and one for all, of which the latter is counted once however many targets have it
+    sets = once.select(F.explode(F.array(F.struct(F.col("_target").alias("target"), F.lit(False).alias("every")), F.struct(F.lit(None).cast(once.schema["_target"].dataType).alias("target"), F.lit(True).alias("every")))).alias("s"), "path", "rule_id", "line", "severity")
+    distinct = sets.groupBy("s.target", "s.every", "path", "rule_id", "line").agg(F.min("severity").alias("severity"))
+    return scan.severity_counts(distinct, "target", "every").withColumnRenamed("target", target)
+
+
 #: Parts of the ids of rules that find agent frameworks.
 FRAMEWORKS = r"langchain|autogen|crewai|openai-assistant|anthropic|semantic-kernel|vercel-ai"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,9 @@ from gleaner.functions import dialect
 from gleaner.functions import text as T
 from gleaner.operators import analysis, cards, catalog, custom_rules, digests, firewall, guards, manifest, policy, report, reputation, scan, signatures, vet
 from gleaner.plans.inputs import VIEW, dealt, literal, spelled, table, vet_inputs
-from gleaner.sources import files
+from gleaner.sources import files, ignores
 from gleaner.sources.files import ignored
-from gleaner.streaming import state
+from gleaner.streaming import increment, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -729,3 +730,51 @@ def request_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = policy.evaluate(asked.withColumn("method", F.lit("tools/call")).withColumn("args", F.create_map(F.lit("k"), F.lit("v"))))
     out = state.answered(judged, firewall.checked_responses(told, configured="block"))
     return out.select("id", "action", F.col("code").cast("int").alias("code"), F.when(F.col("action") == "allow", F.length("answer")).cast("long").alias("passed"))
+
+
+# ignore rules as data, targets, scans of what changed
+
+#: Ignore files of folders, in the order in which their rules count.
+_IGNORES = {
+    "": (".vetignore", "# all\n*.json\n\nnode_modules/\n/docs/**/f1*.md\n!f12?.json\n"), "src": (".gitignore", "build\nsrc1/*.js\n!node_modules/\n"), "src/src1": (".gitignore", "!f1*.js\nf?.py\n"),
+    "docs": (".gitignore", "!*5.json\n/src2/"),
+}
+
+
+def _ignored_sql() -> str:
+    """The last rule that matches decides: so the last is asked first."""
+    cases = []
+    for place, (_, text) in _IGNORES.items():
+        rest = f"CASE WHEN starts_with(path, '{place}/') THEN substr(path, {len(place) + 2}) END" if place else "path"
+        cases += [(place.count("/") + bool(place), f"WHEN regexp_matches({rest}, {literal(T.glob_regex(x.lstrip('!')))}) THEN {'false' if x[0] == '!' else 'true'}") for x in text.split("\n") if x and x[0] != "#"]
+    return f"CASE {' '.join(c for _, c in sorted(enumerate(cases), key=lambda x: (-x[1][0], -x[0])) for c in [c[1]])} ELSE false END"
+
+
+@query(f"WITH {VIEW} SELECT doc_id, path FROM vet_inputs WHERE NOT ({_ignored_sql()})")
+def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = vet_inputs(spark, sf_dir)
+    # the ignore files stand among the documents: those of the smallest number carry their text
+    texts = F.from_json(F.lit(json.dumps([{"path": f"{k}/{n}".lstrip("/"), "content": t} for k, (n, t) in _IGNORES.items()])), "array<struct<path: string, content: string>>")
+    found = docs.agg(F.min("doc_id").alias("first")).select(F.explode(texts).alias("f")).select("f.*")
+    return ignores.kept(docs, ignores.rules(found)).select("doc_id", "path")
+
+
+_COUNTED = "count(*) AS total, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in T.SEVERITIES)
+
+
+@query(_MIXED + f""", shown AS (SELECT split_part(path, '/', 2) AS target, concat('f', doc_id % 50) AS path, rule_id, line, severity FROM findings JOIN rules USING (rule_id) JOIN vet_inputs USING (doc_id)),
+  once AS (SELECT target, path, rule_id, line, min(severity) AS severity FROM shown GROUP BY ALL), alls AS (SELECT path, rule_id, line, min(severity) AS severity FROM shown GROUP BY ALL)
+  SELECT target, false AS every, {_COUNTED} FROM once GROUP BY target UNION ALL SELECT NULL, true, {_COUNTED} FROM alls""")
+def counts_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan.located(vet_inputs(spark, sf_dir), MIXED).withColumn("target", F.split_part("path", F.lit("/"), F.lit(2)))
+    return vet.by_target(found.withColumn("path", F.concat(F.lit("f"), (F.col("doc_id") % 50).cast("string"))))
+
+
+@query(f"WITH {VIEW} SELECT path, rule_id, line, \"column\" FROM ({_places_sql(PII, 'vet_inputs')}) f JOIN vet_inputs USING (doc_id)")
+def incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of a former state, in which some documents were others, absent or still there, brought up to date: it equals a full scan."""
+    docs = vet_inputs(spark, sf_dir).select("path", "content", "doc_id")
+    former = docs.where("doc_id % 11 <> 3").withColumn("content", F.when(F.col("doc_id") % 7 == 2, F.concat(F.lit("a@b.example.com 123-45-6789\n"), "content")).otherwise(F.col("content")))
+    former = former.unionByName(docs.where("doc_id % 13 = 4").withColumn("path", F.concat(F.lit("gone/"), "path")))
+    run = lambda d: scan.located(d, PII, "path").select("path", "rule_id", "line", "column")
+    return increment.rescanned(docs.drop("doc_id"), increment.snapshot(former), run(former), run)

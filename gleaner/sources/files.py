@@ -103,16 +103,24 @@ def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ignor
     """(path, content, length) of the text files under a folder, or of one file; the size test reaches the listing, so larger files aren't read.
 
     Paths are gated as they stand below the root. `ignore` are patterns on those
-    paths; with `nested` the folder's ignore files are read too, and those of the
-    folders below. Names that begin with a dot or an underscore are not listed.
+    paths; with `nested` the folder's ignore files count too, and those of the
+    folders below, the last rule that matches deciding (ignores). Names that begin with a dot or an underscore are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
     files = files.withColumn("rel", relative(F.col("path"), root)).where(gate(F.col("rel"), F.col("length"), max_bytes))
-    top, below = ignore_tree(spark, root) if nested else ((), [])
-    out = ignored(F.col("rel"), tuple(dict.fromkeys((*ignore, *top))))
-    for folder, patterns in below:
-        out = out | (F.col("rel").startswith(folder + "/") & ignored(F.substring(F.col("rel"), F.lit(len(folder) + 2), F.length("rel")), patterns))
-    return files.where(~out).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "length")
+    files = files.where(~ignored(F.col("rel"), ignore))
+    if nested:
+        from gleaner.sources import ignores  # which reads names and depths from here
+
+        files = ignores.kept(files.withColumnsRenamed({"path": "full", "rel": "path"}), ignores.rules(ignore_files(spark, root))).withColumnsRenamed({"path": "rel", "full": "path"})
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "length")
+
+
+def signature_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content, length) of the files that signatures are matched against: by their own gate, whatever ignore files say."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") < MAX_BYTES)
+    kept = files.where(signature_gate(relative(F.col("path"), root), F.col("length")))
+    return kept.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "length")
 
 
 def relative(path: Column, root: str) -> Column:
@@ -140,13 +148,11 @@ def ignore_patterns(spark: SparkSession, path: str) -> tuple[str, ...]:
     return _lines(_text(spark, path))
 
 
-def ignore_tree(spark: SparkSession, root: str) -> tuple[tuple[str, ...], list[tuple[str, tuple[str, ...]]]]:
-    """Patterns of the ignore files at the root, and of those in the folders below: (folder, patterns)."""
-    every = listed(spark, root).where(name(F.col("path")).isin(*IGNORE_FILES)).select(relative(F.col("path"), root).alias("rel")).collect()  # as many rows as there are ignore files
-    found = sorted((r.rel for r in every if not any(d in r.rel.split("/") for d in EXCLUDED_DIRS)), key=lambda p: (p.count("/"), IGNORE_FILES.index(p.rpartition("/")[2])))
-    top = [x for p in found if "/" not in p for x in ignore_patterns(spark, f"{root}/{p}")]
-    below = [(p.rpartition("/")[0], ignore_patterns(spark, f"{root}/{p}")) for p in found if "/" in p and p.endswith(IGNORE_FILES[1])]
-    return tuple(dict.fromkeys(top)), below
+def ignore_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the ignore files under a folder: all kinds at the root, the second kind below; as many rows as there are such files."""
+    every = listed(spark, root).where(name(F.col("path")).isin(*IGNORE_FILES)).select(relative(F.col("path"), root).alias("rel")).collect()
+    found = [r.rel for r in every if not any(d in r.rel.split("/") for d in EXCLUDED_DIRS) and ("/" not in r.rel or r.rel.endswith(IGNORE_FILES[1]))]
+    return spark.createDataFrame([(p, _text(spark, f"{root}/{p}")) for p in found], "path string, content string")
 
 
 def ignored(path: Column, patterns: tuple[str, ...]) -> Column:
