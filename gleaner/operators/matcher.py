@@ -71,8 +71,8 @@ def candidates(content: Column, rules: Sequence[Rule]) -> Column:
 
 
 def quoted(text: str) -> str:
-    """A text as a literal of Spark's SQL."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """A text as a literal of Spark's SQL, in which nothing is taken for a variable."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{") + "'"
 
 
 def by_number(leaves: Sequence[str], numbers: Sequence[int]) -> str:

@@ -59,7 +59,7 @@ def spelled(text: str) -> str:
     """A text as SQL that both engines read alike: what isn't a plain character by its number."""
     out, plain = [], ""
     for c in text:
-        if c.isalnum() and c < "\x7f" or c in " .,:;=<>()[]{}/-_+*!?@#$&|~^`":
+        if c.isalnum() and c < "\x7f" or c in " .,:;=<>()[]{}/-_+*!?@#&|~^`":
             plain += c
         else:
             out += [f"'{plain}'"] * bool(plain) + [f"decode(unhex('{c.encode().hex()}'), 'utf-8')" if c > "\x7f" else f"chr({ord(c)})"]

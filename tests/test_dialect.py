@@ -105,3 +105,13 @@ def test_places_of_very_many_matches(spark):
     rule = catalog.Rule("own", "info", "ab", "Two letters", "own")
     got = sorted((r.line, r.column) for r in scan.located(rows, [rule]).collect())
     assert got == [(1, 3 * k + 1) for k in range(3000)] + [(k + 2, 2) for k in range(500)]
+
+
+def test_patterns_of_java_come_through_as_they_stand(spark):
+    """Quotes, backslashes and what Spark's SQL would take for a variable."""
+    rule = catalog.Rule("own", "info", r"""it's "\$\{x}"|\p{Lu}\Qa.b\E|${0}nothing""", "Odd", "own", language="java")
+    rows = spark.createDataFrame([(0, 'it\'s "${x}" '), (1, "Éa.b"), (2, "éa.b"), (3, "Éaxb")], "doc_id long, content string")
+    assert sorted(r.doc_id for r in scan.flagged(rows, [rule]).collect()) == [0, 1]
+    many = [catalog.Rule(f"own-{k}", "info", rf"\$\{{v{k}}}'", "Odd", "own", language="java", literal="${v") for k in range(matcher.MANY)]
+    odd = spark.createDataFrame([(0, "say ${v7}'")], "doc_id long, content string")
+    assert [r.rule_id for r in scan.flagged(odd, many).collect()] == ["own-7"] == [r.rule_id for r in scan.located(odd, many).collect()]

@@ -1,6 +1,7 @@
 """Each query against its SQL in DuckDB, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gleaner.plans import queries
@@ -19,7 +20,7 @@ def con():
 
 def rows(df):
     def plain(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return "NULL"
         return str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
 
