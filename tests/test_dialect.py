@@ -53,7 +53,7 @@ def test_what_re2_has_no_form_of():
 
 def test_every_rule_says_the_same_in_both_engines(spark):
     """A text of each rule, alone, between letters of other alphabets, in other cases and with other white space."""
-    rules = catalog.rules()
+    rules = [r for r in catalog.rules() if dialect.in_re2(r.pattern, r.flags, exact=False)]
     made = []
     for r in rules:
         t = dialect.sample(r.pattern, r.flags)
