@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 from gleaner.operators.catalog import Rule
 
 #: Severities that users may write, and what they count as; unknown ones are warnings.
@@ -50,3 +53,9 @@ def from_yaml(text: str) -> list[Rule]:
 
         return from_records(yaml.loads(text).get("rules", []))
     return from_records((yaml.safe_load(text) or {}).get("rules", []))
+
+
+def from_path(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of the files under a path, each a list of records, in order of path; a rule file is small."""
+    texts = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("path")).orderBy("path").collect()
+    return [rule for t in texts for rule in from_yaml(t.value)]

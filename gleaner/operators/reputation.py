@@ -54,5 +54,7 @@ def within_rate(requests: DataFrame, key: str, ts: str = "ts", every: str = "1 m
 
 def status(requests: DataFrame, table: DataFrame, most: int = 4) -> DataFrame:
     """One row: requests in all, how many the rate allowed, the rate, and addresses in the table."""
-    allowed = F.coalesce(F.sum(F.col("allowed").cast("long")), F.lit(0))
-    return requests.agg(F.count("*").alias("requests"), allowed.alias("allowed"), F.lit(most).alias("rate"), F.lit(table.count()).alias("known"))
+    rows = requests.select(F.lit(1).alias("requests"), F.col("allowed").cast("int").alias("allowed"), F.lit(0).alias("known"))
+    rows = rows.unionByName(table.select(F.lit(0).alias("requests"), F.lit(0).alias("allowed"), F.lit(1).alias("known")))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return rows.agg(n("requests"), n("allowed"), F.lit(most).alias("rate"), n("known"))

@@ -70,11 +70,18 @@ def suppressions(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "line", F.explode_outer(ids).alias("rule_id")).distinct()
 
 
+def marked(findings: DataFrame, rules_off: DataFrame, key: str = "doc_id") -> DataFrame:
+    """findings with `suppressed`: one join with the lines that rules_off(key, line, rule_id; null: all) names."""
+    off = rules_off.groupBy(F.col(key).alias("_off_key"), F.col("line").alias("_off_line")).agg(F.collect_set("rule_id").alias("_off"), F.max(F.col("rule_id").isNull()).alias("_all"))
+    met = findings.join(off, (findings[key] == F.col("_off_key")) & (findings["line"] == F.col("_off_line")), "left")
+    suppressed = F.coalesce(F.col("_all") | F.array_contains("_off", F.col("rule_id")), F.lit(False))
+    return met.withColumn("suppressed", suppressed).drop("_off_key", "_off_line", "_off", "_all")
+
+
 def split_suppressed(findings: DataFrame, rules_off: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(kept, suppressed) findings."""
-    off = rules_off.select(F.col(key).alias("k"), F.col("line").alias("l"), F.col("rule_id").alias("r"))
-    here = (findings[key] == F.col("k")) & (findings["line"] == F.col("l")) & (F.col("r").isNull() | (F.col("r") == findings["rule_id"]))
-    return findings.join(off, here, "left_anti"), findings.join(off, here, "left_semi")
+    """(kept, suppressed) findings: two views of marked()."""
+    every = marked(findings, rules_off, key)
+    return every.where("not suppressed").drop("suppressed"), every.where("suppressed").drop("suppressed")
 
 
 def severity_counts(findings: DataFrame, *by: str) -> DataFrame:

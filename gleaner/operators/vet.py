@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -33,6 +35,7 @@ def shaped(findings: DataFrame, source: str) -> DataFrame:
 class Result:
     findings: DataFrame
     suppressed: DataFrame
+    every: DataFrame | None = None  # both in one table, with the column `suppressed`: to be written once where both are wanted
 
     def counts(self) -> DataFrame:
         """One row: findings in all and by severity."""
@@ -97,10 +100,11 @@ def vet(
     findings = made[0] if made else docs.sparkSession.createDataFrame([], ", ".join(f"`{k}` {v}" for k, v in FINDING.items()) + ", seq int")
     for f in made[1:]:
         findings = findings.unionByName(f)
-    gone = findings.limit(0)
-    if suppress:
-        findings, gone = scan.split_suppressed(findings, scan.suppressions(docs, "path"), "path")
-    return Result(scan.deduplicated(findings, ["seq", "column", "snippet"]).drop("seq"), gone.drop("seq"))
+    every = scan.marked(findings, scan.suppressions(docs, "path"), "path") if suppress else findings.withColumn("suppressed", F.lit(False))
+    # of suppressed findings each stays; of the others the first of a file, rule and line
+    first = F.row_number().over(W.partitionBy("suppressed", "path", "rule_id", "line").orderBy("seq", "column", "snippet"))
+    every = every.withColumn("_n", first).where("suppressed or _n = 1").drop("_n", "seq")
+    return Result(every.where("not suppressed").drop("suppressed"), every.where("suppressed").drop("suppressed"), every)
 
 
 def vet_path(spark: SparkSession, root: str, max_bytes: int = files.MAX_BYTES, ignore: tuple[str, ...] = (), nested: bool = True, modes: bool = True, **options: object) -> Result:
@@ -110,6 +114,31 @@ def vet_path(spark: SparkSession, root: str, max_bytes: int = files.MAX_BYTES, i
     return vet(docs, signed=signed, listing=listing, **options)
 
 
+#: Options of a scan and what they are where nothing says otherwise.
+DEFAULTS = {"severity": "info", "ignore": (), "max_bytes": files.MAX_BYTES, "nested": True, "modes": True, "builtin": True, "with_signatures": True, "suppress": True}
+#: Names of options in files, and ours.
+NAMED = {"severity": "severity", "ignore": "ignore", "maxFileSize": "max_bytes", "yara": "with_signatures", "checkPermissions": "modes", "builtinRules": "builtin"}
+
+
+def options_from(text: str, **given: object) -> dict[str, object]:
+    """Options of vet_path: what is given comes before what a file (YAML or JSON) says, and that before the defaults; patterns to ignore are those of both.  A file that can't be read says nothing, and options of other names are left out."""
+    try:
+        import yaml
+
+        read = yaml.safe_load(text)
+    except ImportError:
+        try:
+            read = json.loads(text)
+        except ValueError:
+            read = None
+    except yaml.YAMLError:
+        read = None
+    said = {NAMED[k]: v for k, v in (read if isinstance(read, dict) else {}).items() if k in NAMED and v is not None}
+    out = DEFAULTS | said | {k: v for k, v in given.items() if v is not None}
+    patterns = [x for held in (said.get("ignore", ()), given.get("ignore") or ()) for x in ([held] if isinstance(held, str) else held)]
+    return out | {"ignore": tuple(dict.fromkeys(patterns))}
+
+
 def merged(*counts: DataFrame) -> DataFrame:
     """One row: the sums of counters of several scans."""
     out = counts[0]

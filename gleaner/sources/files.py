@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +118,15 @@ def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES, ignor
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), "length")
 
 
+def expanded(listing: DataFrame, patterns: tuple[str, ...], path: str = "path", max_depth: int = 10) -> DataFrame:
+    """(pattern, path): paths of a listing that patterns with * and ** name, down to max_depth folders; a pattern that names none stands for itself."""
+    told = [{"pattern": x, "regex": "^" + glob_regex(x).removeprefix("(^|/)").removeprefix("^").removesuffix("(/|$)") + "$"} for x in dict.fromkeys(patterns)]
+    named, p = F.from_json(F.lit(json.dumps(told)), "array<struct<pattern: string, regex: string>>"), F.col(path)
+    asked = listing.sparkSession.range(1).select(F.explode(named).alias("n")).select("n.pattern")
+    found = listing.where(depth(p) <= max_depth).select(p.alias("path"), F.explode(named).alias("n")).where(F.rlike("path", F.col("n.regex"))).select(F.col("n.pattern").alias("pattern"), "path").distinct()
+    return asked.join(found, "pattern", "left").select("pattern", F.coalesce("path", "pattern").alias("path"))
+
+
 def signature_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, length) of the files that signatures are matched against: by their own gate, whatever ignore files say."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") < MAX_BYTES)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import catalog, scan, vet
+from gleaner.operators import catalog, custom_rules, reputation, scan, vet
 from gleaner.sources import files, ignores
 from gleaner.streaming import increment, messages
 
@@ -85,3 +85,34 @@ def test_a_stream_of_changes(spark, tmp_path):
     increment.follow(source, run, str(tmp_path / "found"), str(tmp_path / "c")).awaitTermination()
     held = increment.current(spark.read.parquet(str(tmp_path / "found")))
     assert sorted((r.path, r.line) for r in held.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_suppressed_findings_are_marked_in_one_table(spark):
+    docs = spark.createDataFrame([("a.py", "key1 // vet-ignore own\nkey2 key3 // vet-ignore\nkey4\n# vet-ignore-next-line other, own\nkey5\nkey6 // vet-ignore other")], "path string, content string")
+    out = vet.vet(docs, builtin=False, with_signatures=False, custom=RULE)
+    assert sorted((r.line, r.column, r.suppressed) for r in out.every.collect()) == [(1, 1, True), (2, 1, True), (2, 6, True), (3, 1, False), (5, 1, True), (6, 1, False)]
+    assert sorted(r.line for r in out.findings.collect()) == [3, 6] and out.suppressed.count() == 4 and out.findings.columns == out.suppressed.columns
+    assert {r.suppressed for r in vet.vet(docs, builtin=False, with_signatures=False, custom=RULE, suppress=False).every.collect()} == {False}
+
+
+def test_options_are_merged_in_order():
+    got = vet.options_from(json.dumps({"severity": "warning", "maxFileSize": 10, "ignore": ["a", "b"], "yara": False, "unknown": 1, "checkPermissions": None}), severity="critical", ignore=("b", "c"), modes=None)
+    assert got == vet.DEFAULTS | {"severity": "critical", "max_bytes": 10, "ignore": ("a", "b", "c"), "with_signatures": False}
+    assert vet.options_from("{") == vet.options_from("") == vet.options_from("[1]") == vet.DEFAULTS
+
+
+def test_rules_from_paths(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"r{k}.yaml").write_text(json.dumps({"rules": [{"id": f"own-{k}", "pattern": f"x{k}"}]}))
+    assert [r.id for r in custom_rules.from_path(spark, str(tmp_path))] == ["own-1", "own-2"] and [r.id for r in custom_rules.from_path(spark, str(tmp_path / "r2.yaml"))] == ["own-2"]
+
+
+def test_globs_name_paths_or_themselves(spark):
+    listing = spark.createDataFrame([("a.js",), ("s/b.js",), ("s/t/c.js",), ("s/t/c.py",), ("/".join("d" * 12) + "/e.js",)], "path string")
+    got = sorted((r.pattern, r.path) for r in files.expanded(listing, ("*.js", "s/**/*.js", "s/t/c.*", "none/*.x", "*.js")).collect())
+    assert got == [("*.js", "a.js"), ("none/*.x", "none/*.x"), ("s/**/*.js", "s/t/c.js"), ("s/t/c.*", "s/t/c.js"), ("s/t/c.*", "s/t/c.py")]
+
+
+def test_status_is_one_row(spark):
+    asked = spark.createDataFrame([(True,), (False,), (True,)], "allowed boolean")
+    assert tuple(reputation.status(asked, spark.range(7)).first()) == (3, 2, 4, 7) and tuple(reputation.status(asked.limit(0), spark.range(0)).first()) == (0, 0, 4, 0)
