@@ -140,13 +140,13 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known_to_workers(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
-    slim = written(keyed.select("id", "digest", F.xxhash64("text").alias("check")), "fim-documents")
+    slim = written(keyed.select("id", "digest", F.xxhash64("text").alias("check"), F.monotonically_increasing_id().alias("row")), "fim-documents")
     copied = written(slim.groupBy("digest").count().where(F.col("count") > split_at).select("digest", F.ceil(F.col("count") / split_at).cast("int").alias("parts")), "fim-copied")
     dealt, texts = slim.join(small(copied), "digest", "left"), keyed.select("digest", "text")
     index = distinct_texts(texts.join(small(copied), "digest", "left_anti"))
     few = index.join(dealt.where("parts is null").withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & _same("content", "check"))
     parted = distinct_texts(texts.join(small(copied), "digest", "left_semi")).join(small(copied), "digest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pick = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int")
+    pick = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")  # by numbers that are written, so that a task done again deals out alike
     drawn = dealt.where("parts is not null").select("id", F.col("digest").alias("d"), "check", pick.alias("p"))
     many = parted.join(drawn, (F.col("digest") == F.col("d")) & (F.col("part") == F.col("p")) & _same("content", "check"))
     columns = ["id", "text", "n", "ends"]
