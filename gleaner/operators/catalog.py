@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.functions import dialect
-from gleaner.operators.packs import FIXED, PACKS
+from gleaner.operators.packs import FIXED, OWN, PACKS
 
 #: Rules whose ids begin so look at code; they skip documentation files.
 CODE_PREFIXES, DOC_EXTENSIONS = ("mcp-", "command-"), ("md", "mdx", "txt", "rst")
@@ -61,6 +61,11 @@ def rules(*modules: str) -> list[Rule]:
     return out
 
 
+def own(module: str) -> list[Rule]:
+    """Rules of our own that a pack has besides."""
+    return [Rule(*r, module=module) for r in OWN.get(module, ())]
+
+
 def load(spark: SparkSession, path: str) -> list[Rule]:
     """Rules of a rule file (or a folder of them) in JSON lines: id, severity, pattern, module, description and, where given, recommendation, needs (a literal), flags, language (js, or java, the default) and filePatterns.
 

@@ -1,5 +1,7 @@
 """Each query against its SQL in DuckDB, at the smallest scale."""
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
@@ -36,3 +38,21 @@ def test_entry_has_rows(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_hallucination_rules_are_all_asked(spark, con):
+    name = "rule_hits_hallucination"
+    found = {r.rule_id for r in queries.queries()[name](spark, SF).collect()}
+    assert found == {f"hallucination-{x}" for x in ("high-temperature", "no-citations", "no-grounding", "no-max-tokens")}
+    assert found == set(con.sql(queries.oracle_sql()[name]).df().rule_id)
+
+
+def test_rules_without_words_equal_sql(spark, con):
+    rules = [r for r in queries.catalog.rules("hallucination") if r.id in queries._WITHOUT]
+    parts = ["rag", "embedding", "\n", "\n ", "\n\n", "\r", " ", ": ", "=", "source", "citation", "y" * 90, "z" * 110, "model", "chat", "max_tokens", "{", "ground", "é"]
+    draw = random.Random(3)
+    texts = pd.DataFrame([(k, "".join(draw.choices(parts, k=draw.randint(1, 14)))) for k in range(800)], columns=["doc_id", "content"])
+    con.register("texts", texts)
+    wanted = con.sql(" UNION ALL ".join(queries._without_sql(rules, "texts"))).df()
+    assert len(wanted) > 50
+    assert rows(queries.scan.flagged(spark.createDataFrame(texts), rules).select("doc_id", "rule_id", "severity").toPandas()) == rows(wanted)
