@@ -27,21 +27,29 @@ def _told(rules: Sequence[Rule], *names: str) -> Column:
 
 def flagged(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> DataFrame:
     """(key, rule_id, severity, module) of each rule that matches a row of docs(key, content, path?)."""
-    rows = matcher.prepared(docs, rules).select(key, F.explode(matcher.hits(rules, "path" in docs.columns)).alias("k"))
+    numbers = F.concat(F.expr("transform(hit, h -> h.k)"), matcher.hits(rules, "path" in docs.columns))
+    rows = matcher.prepared(docs, rules).select(key, F.explode(numbers).alias("k"))
     return rows.select(key, F.get(_told(rules, "severity", "module"), F.col("k")).alias("r")).select(key, "r.*")
 
 
 def matched(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id", *names: str) -> DataFrame:
     """A row for each rule that matches a document: key, path, content, rule_id, severity and what else is asked for, and found, its matches (line, column, offset, match).
 
-    Rules that match mark the text; marks are turned into places once, after rows are made.
+    Workers give the places of rules that have a form in RE2.  Others mark the
+    text where they match, and marks are turned into places once, after rows are made.
     """
-    d = matcher.prepared(docs, rules).withColumn("clean", T.unmarked(F.col("content"))).withColumn("hits", matcher.hits(rules, "path" in docs.columns))
-    marks = [f"regexp_replace(clean, {matcher.quoted('(' + r.java + ')')}, '{T.OPEN}$1{T.CLOSE}')" for r in rules]
-    found = F.expr(f"transform(hits, k -> named_struct('k', k, 'marked', {matcher.by_number(marks, range(len(rules)))}))") if rules else F.expr("array(named_struct('k', 0, 'marked', ''))")
-    keep = [*dict.fromkeys([key, *(["path"] if "path" in docs.columns else [])])]
-    rows = d.select(*keep, "content", F.explode(found).alias("f")).select(*keep, "content", "f.marked", F.get(_told(rules, "severity", *names), F.col("f.k")).alias("r"))
-    return rows.select(*keep, "content", "r.*", T.places(F.col("marked")).alias("found"))
+    with_path = "path" in docs.columns
+    d = matcher.prepared(docs, rules, places=True).withColumn("clean", T.unmarked(F.col("content")))
+    left = [k for k, r in enumerate(rules) if matcher.for_workers(r, exact=True) is None]
+    found, places = F.expr("transform(hit, h -> struct(h.k, h.found, cast(null as string) as marked))"), F.col("f.found")
+    if left:
+        marks = [f"regexp_replace(clean, {matcher.quoted('(' + rules[k].java + ')')}, '{T.OPEN}$1{T.CLOSE}')" for k in left]
+        d = d.withColumn("left", matcher.hits(rules, with_path, places=True))
+        found = F.concat(found, F.expr(f"transform(left, k -> struct(k, cast(null as {matcher.PLACES}) as found, {matcher.by_number(marks, left)} as marked))"))
+        places = F.when(F.col("f.marked").isNull(), F.col("f.found")).otherwise(T.places(F.col("f.marked")))
+    keep = [*dict.fromkeys([key, *(["path"] if with_path else [])])]
+    rows = d.select(*keep, "content", F.explode(found).alias("f")).select(*keep, "content", "f", F.get(_told(rules, "severity", *names), F.col("f.k")).alias("r"))
+    return rows.select(*keep, "content", "r.*", places.alias("found"))
 
 
 def located(docs: DataFrame, rules: Sequence[Rule], key: str = "doc_id") -> DataFrame:

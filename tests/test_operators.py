@@ -419,3 +419,23 @@ def test_strings_of_a_card_have_paths(spark):
     assert cards.walk(None) == cards.walk("{") == cards.walk("1") == [] and cards.walk('"x"') == [("$", "x")]
     rows = spark.createDataFrame([(1, raw), (2, None), (3, "no json"), (4, "[" * 5000 + "]" * 5000)], "card_id long, raw string")
     assert sorted((r.card_id, r.path, r.name) for r in cards.places(rows).collect()) == [(1, '$.a[1]."b c"', "role reassignment"), (1, "$.d.e.f", "template injection"), (1, "$.t", "role reassignment")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("rules", [catalog.rules("sandbox-escape"), catalog.rules("pii")])
+def test_rules_are_asked_and_placed_by_workers(spark, rules):
+    odd = ["", "a\u0001--privileged\u0002 x", "é中 123-45-6789\nx nsenter -t 1\n\n/proc/self/environ", "8.8.8.8 a@b.example.com\r\n8.8.8.8", "docker run --privileged --network=host\n" * 70]
+    frame = spark.createDataFrame([*enumerate(odd), (99, None)], "doc_id long, content string")
+    plan = _plan(scan.matched(frame, rules))
+    assert "rlike" not in plan and "regexp_replace" not in plan and "arrowevalpython" in plan
+    assert "rlike" not in _plan(scan.flagged(frame, rules))
+    got = {(r.doc_id, r.rule_id): [tuple(m) for m in r.found] for r in scan.matched(frame, rules).collect()}
+    by_java = {}
+    for rule in rules:
+        for r in frame.select("doc_id", T.matches(F.col("content"), rule.java).alias("found")).collect():
+            by_java |= {(r.doc_id, rule.id): [tuple(m) for m in r.found]} if r.found else {}
+    assert got == by_java and by_java
+    assert {(r.doc_id, r.rule_id) for r in scan.flagged(frame, rules).collect()} == set(by_java)
