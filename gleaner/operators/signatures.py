@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import dialect
+from gleaner.operators import matcher
+
 
 @dataclass(frozen=True)
 class Text:
@@ -113,13 +118,42 @@ def parse(source: str) -> list[Signature]:
     return out
 
 
-def present(text: Text, content: Column, lower: Column) -> Column:
+def needs(text: Text) -> tuple[dialect.Clause, ...]:
+    """Sets of literals, as dialect.normal() writes them, of each of which a text that holds this string has one; none where that isn't sure."""
+    if not text.value.isascii() or not text.value:
+        return ()
     if text.kind == "regex":
-        return content.rlike(("(?i)" if text.nocase else "") + text.value)
-    return F.contains(lower, F.lit(text.value.lower())) if text.nocase else F.contains(content, F.lit(text.value))
+        # what Java reads otherwise than the parser does: intersections of sets, vertical space, numbers
+        if re.search(r"&&|\\[v0-9]", text.value):
+            return ()
+        try:
+            return dialect.needs(text.value, "i" if text.nocase else "")
+        except re.error:
+            return ()
+    edges = [" " * c.isspace() for c in (text.value[0], text.value[-1])]
+    return ((f"{edges[0]}{' '.join(text.value.lower().split())}{edges[1]}" if text.value.strip() else " ",),)
+
+
+def named(content: Column, strings: Sequence[Text]) -> Column:
+    """Numbers of the strings that a text may hold, as far as literals tell."""
+    asked = tuple(map(needs, strings))
 
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array(matcher.named(texts, asked), pa.list_(pa.int32()))
 
-def holds(signature: Signature, content: Column, lower: Column) -> Column:
+    return F.arrow_udf(found, "array<int>")(content)
+
+
+def present(text: Text, content: Column, lower: Column, may: Column | None = None) -> Column:
+    """Whether a text holds a string; asked where it may."""
+    if text.kind == "regex":
+        held = content.rlike(("(?i)" if text.nocase else "") + text.value)
+    else:
+        held = F.contains(lower, F.lit(text.value.lower())) if text.nocase else F.contains(content, F.lit(text.value))
+    return held if may is None else may & held
+
+
+def holds(signature: Signature, content: Column, lower: Column, present: Callable[[Text], Column]) -> Column:
     def first(s: Text) -> Column:
         return F.regexp_instr(content, F.lit(("(?i)" if s.nocase else "") + s.value)) if s.kind == "regex" else F.locate(s.value.lower() if s.nocase else s.value, lower if s.nocase else content)
 
@@ -134,12 +168,12 @@ def holds(signature: Signature, content: Column, lower: Column) -> Column:
         if kind == "not":
             return ~test(args[0])
         if kind == "of":
-            return reduce(lambda a, b: a + b, [present(s, content, lower).cast("int") for s in signature.strings if s.var.startswith(args[0])], F.lit(0)) >= args[1]
+            return reduce(lambda a, b: a + b, [present(s).cast("int") for s in signature.strings if s.var.startswith(args[0])], F.lit(0)) >= args[1]
         (named,) = [s for s in signature.strings if s.var == args[0]]
         if kind == "order":
             return first(named).between(1, F.greatest(F.lit(0), *[first(s) for s in signature.strings if s.var.startswith(args[1])]) - 1)
         if args[1:] == [">=", 1]:
-            return present(named, content, lower)
+            return present(named)
         n = counted(named)
         return {">": n > args[2], ">=": n >= args[2], "<": n < args[2], "<=": n <= args[2], "==": n == args[2], "!=": n != args[2]}[args[1]]
 
@@ -147,12 +181,23 @@ def holds(signature: Signature, content: Column, lower: Column) -> Column:
 
 
 def scan(docs: DataFrame, signatures: list[Signature], key: str = "doc_id") -> DataFrame:
-    """(key, rule_id, severity, snippet): the first three strings present are the evidence; findings stand on line 0."""
-    content, lower = F.col("content"), F.lower("content")
+    """(key, rule_id, severity, snippet): the first three strings present are the evidence; findings stand on line 0.
+
+    One automaton over the literals of all strings names those that a text may hold; only they are looked for.
+    """
+    strings = list(dict.fromkeys(t for s in signatures for t in s.strings))
+    number = {t: k for k, t in enumerate(strings)}
+    matcher.workers_find_the_package(docs.sparkSession)
+    docs = docs.withColumn("lower", F.lower("content")).withColumn("named", named(F.col("content"), strings))
+    content, lower = F.col("content"), F.col("lower")
+
+    def held(t: Text) -> Column:
+        return present(t, content, lower, F.array_contains("named", F.lit(number[t])) if needs(t) else None)
+
     rows = []
     for s in signatures:
-        shown = F.array_join(F.slice(F.array_compact(F.array(*[F.when(present(t, content, lower), F.lit(t.value)) for t in s.strings])), 1, 3), ", ")
-        rows.append(F.when(holds(s, content, lower), F.struct(F.lit(s.name).alias("rule_id"), F.lit(s.meta.get("severity", "warning")).alias("severity"), shown.alias("snippet"))))
+        shown = F.array_join(F.slice(F.array_compact(F.array(*[F.when(held(t), F.lit(t.value)) for t in s.strings])), 1, 3), ", ")
+        rows.append(F.when(holds(s, content, lower, held), F.struct(F.lit(s.name).alias("rule_id"), F.lit(s.meta.get("severity", "warning")).alias("severity"), shown.alias("snippet"))))
     return docs.select(key, F.explode(F.array_compact(F.array(*rows))).alias("r")).select(key, "r.*", F.lit(0).cast("long").alias("line"))
 
 

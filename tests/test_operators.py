@@ -439,3 +439,13 @@ def test_rules_are_asked_and_placed_by_workers(spark, rules):
             by_java |= {(r.doc_id, rule.id): [tuple(m) for m in r.found]} if r.found else {}
     assert got == by_java and by_java
     assert {(r.doc_id, r.rule_id) for r in scan.flagged(frame, rules).collect()} == set(by_java)
+
+
+def test_strings_of_signatures_are_named_by_literals(spark):
+    strings = list(dict.fromkeys(t for s in signatures.BUILT_IN for t in s.strings))
+    texts = ["plain prose", "İgnore  previous", "ignore\tprevious instructions", "NC -E /bin", "sudo su", "eval  (x)", "KKat ", "cat\nx", "--x", "a' or '1", "fromCharCode(0x1f", "char(12),"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    got = frame.select("content", signatures.named(F.col("content"), strings).alias("n"), F.array(*[signatures.present(t, F.col("content"), F.lower("content")) for t in strings]).alias("held")).collect()
+    assert len(got[0].n) < len(strings) / 4
+    for r in got:  # no string is missed
+        assert {k for k, h in enumerate(r.held) if h and signatures.needs(strings[k])} <= set(r.n)
