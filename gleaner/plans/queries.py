@@ -385,13 +385,13 @@ _RUNS = (
 @query(f"WITH {VIEW} SELECT doc_id, CAST({_INJ} AS BIGINT) AS points, {_DENSE} AS dense FROM vet_inputs")
 def injection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
-    points = sum((F.when(c.rlike(p.java), p.score).otherwise(0) for p in firewall.RESPONSE), F.lit(0))
-    return vet_inputs(spark, sf_dir).select("doc_id", points.cast("long").alias("points"), firewall.dense(c).alias("dense"))
+    return vet_inputs(spark, sf_dir).select("doc_id", firewall.points(c).cast("long").alias("points"), firewall.dense(c).alias("dense"))
 
 
 @query(f"WITH {VIEW} SELECT doc_id, CAST(least(100, {_INJ} + CASE WHEN {_DENSE} THEN 15 ELSE 0 END + 25 * encoded) AS BIGINT) AS score, CAST(encoded AS INT) AS encoded FROM (SELECT *, {_RUNS} AS encoded FROM vet_inputs)")
 def injection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vet_inputs(spark, sf_dir).select("doc_id", firewall.injection_score(F.col("content")).alias("score"), firewall.base64_runs(F.col("content")).alias("encoded"))
+    docs = vet_inputs(spark, sf_dir).withColumn("encoded", firewall.base64_runs(F.col("content")))
+    return docs.select("doc_id", firewall.injection_score(F.col("content"), F.col("encoded")).alias("score"), "encoded")
 
 
 _FIRST = " UNION ALL ".join(f"SELECT doc_id, '{p.id}' AS id, CAST(strpos(content, regexp_extract(content, {literal(p.re2)})) - 1 AS BIGINT) AS \"offset\" FROM vet_inputs WHERE regexp_matches(content, {literal(p.re2)})" for p in firewall.RESPONSE)
