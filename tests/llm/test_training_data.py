@@ -706,3 +706,38 @@ def test_spanning_trees_link_what_any_pairs_link():
                 return {frozenset(k for k in range(n) if of[k] == o) for o in of}
 
             assert parts(edges) == parts([(a, b) for a in range(len(members)) for b in range(a)])
+
+
+def test_crowds_are_compared_whole(spark, monkeypatch):
+    """Of a passage's variants that few or none of their like stand beside: in crowds no link is lost, whatever the size of groups and blocks."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(4000)]
+    texts = []
+    for base in range(3):  # three passages share their middle, so all meet in the same pairs of tokens
+        passage = [*rng.choice(words, 40).tolist(), *[f"m{k}" for k in range(40)], *rng.choice(words, 40).tolist()]
+        for _ in range(12):
+            variant = list(passage)
+            for at in (*rng.choice(38, 2), *(80 + rng.choice(38, 2))):
+                variant[at] = f"x{rng.integers(1 << 30)}"
+            texts.append(" ".join([*rng.choice(words, 60).tolist(), *variant, *rng.choice(words, 60).tolist()]))
+    def clusters():
+        return {r.doc_id: r.cluster_id for r in passages.repeated_passages(table(spark, texts)).collect()}
+
+    whole = clusters()
+    monkeypatch.setattr(passages, "GROUP", 10)
+    monkeypatch.setattr(passages, "BLOCK", 5)
+    monkeypatch.setattr(passages, "MERGED", 3)
+    assert len(whole) == 36 and clusters() == whole
+
+
+def test_trees_of_blocks_stand_for_all_pairs():
+    rng = np.random.default_rng(5)
+    members = [np.unique(rng.choice(300, rng.integers(40, 120))).astype(np.uint64) for _ in range(30)]
+    edges = []
+    for i in range(0, 30, 10):
+        for j in range(i, 30, 10):
+            at = [*range(i, i + 10), *([] if i == j else range(j, j + 10))]
+            edges += [(at[a], at[b], n) for a, b, n in passages.weighed([members[k] for k in at], 0 if i == j else 10)]
+    x, y, n = (np.array(c) for c in zip(*edges, strict=True))
+    kept = passages.one_tree(x, y, n)
+    assert sorted(n[kept].tolist()) == sorted(e[2] for e in passages.weighed(members))
