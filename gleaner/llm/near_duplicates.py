@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import shingles
-from gleaner.llm.common import known_to_workers, small, written
+from gleaner.llm.common import discard, known_to_workers, small, written
 from gleaner.llm.components import components
 from gleaner.llm.tokenization import arrow_rows
 
@@ -83,15 +83,17 @@ def sets(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def leaves(classes: DataFrame) -> DataFrame:
-    """(path, cid, count, big): the nodes in which trees end, of `count` classes, two or more; big ones are large at full depth."""
+    """(path, cid, count, big), written: the nodes in which trees end, of `count` classes, two or more; big ones are large at full depth."""
     tokens = classes.select("cid", "tokens")
     roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("tokens", t * DEPTH)).alias("path")))
     rows = tokens.select("cid", F.explode(roots).alias("r")).select("cid", "r.*")
-    ends = []
+    ends, nodes = [], []
     for level in range(1, DEPTH + 1):
         # counts are a table of their own, so that in the join a large node may be split
         counts = written(rows.groupBy("path").count().where("count > 1"), "counts")
         live = written(rows.join(small(counts), "path"), "nodes")
+        discard(counts)
+        nodes.append(live)
         large = live.where(F.col("count") > LEAF)
         if level == DEPTH:
             ends.append(live.select("path", "cid", "count", (F.col("count") > LEAF).alias("big")))
@@ -103,6 +105,8 @@ def leaves(classes: DataFrame) -> DataFrame:
     out = ends[0]
     for e in ends[1:]:
         out = out.unionByName(e)
+    out = written(out, "leaves")
+    discard(*nodes)
     return out
 
 
@@ -208,7 +212,9 @@ def whole_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, span: int
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     found = texts.join(small(wanted), "rep").select("cid", "hi", "lo", "text").mapInArrow(whole, "cid long, items array<long>")
     # rows with the same id and text give the same set
-    return written(found, "sets")
+    found = written(found, "sets")
+    discard(wanted)
+    return found
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, span: int, ratio: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
@@ -217,7 +223,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, span: int,
     found = whole_sets(wanted, classes, docs, span, id_col, text_col)
     left, right = (found.select(F.col("cid").alias(k), F.col("items").alias(f"items_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("items_a", "items_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(ratio[1] * shared >= ratio[0] * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b").distinct()
+    links = pairs.select("a", "b").join(left, "a").join(right, "b").where(ratio[1] * shared >= ratio[0] * (F.size("items_a") + F.size("items_b") - shared))
+    links = written(links.select("a", "b").distinct(), "links")
+    discard(found)
+    return links
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -299,30 +308,40 @@ def in_tiles(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, span: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept for each row; linked are sets with ratio[1] * |both| >= ratio[0] * |either|."""
     known_to_workers(docs.sparkSession)
-    rows = written(sets(docs, span, id_col, text_col), "rows")
-    with_set = rows.where("n > 0 and id is not null")
-    grouped = with_set.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    made = written(sets(docs, span, id_col, text_col), "rows")
+    grouped = made.where("n > 0 and id is not null").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    ends = written(leaves(classes), "leaves")
-    sketched = ends.join(classes.select("cid", "n", "sketch"), "cid")
+    # what classes hold of tokens and sketches isn't kept twice
+    rows = written(made.select("id", "n", "hi", "lo"), "ids")
+    discard(made)
+    with_set = rows.where("n > 0 and id is not null")
+    ends = leaves(classes)
+    told = classes.select("cid", "n", "sketch")
 
     def likely_links(rows: DataFrame) -> DataFrame:
         """Confirmed links (a, b) of each class's likeliest partner."""
         likeliest = compared(rows, False, ratio).groupBy("b").agg(F.max(F.struct("alike", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-        return confirmed(written(likeliest, "pairs"), classes, docs, span, ratio, id_col, text_col)
+        pairs = written(likeliest, "pairs")
+        out = confirmed(pairs, classes, docs, span, ratio, id_col, text_col)
+        discard(pairs)
+        return out
 
     def apart(roots: DataFrame) -> DataFrame:
         """Rows of nodes that hold more than one component."""
-        rows = sketched.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
-        mixed = rows.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path")
-        return written(rows.join(small(written(mixed, "mixed")), "path"), "open")
+        rows = ends.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
+        mixed = written(rows.groupBy("path").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path"), "mixed")
+        # sketches are joined to what is open alone
+        out = written(rows.join(small(mixed), "path").join(told, "cid"), "open")
+        discard(mixed, roots)
+        return out
 
-    links = written(likely_links(in_blocks(sketched.withColumn("root", F.col("cid")), 0)), "links")
+    links = likely_links(in_blocks(ends.join(told, "cid").withColumn("root", F.col("cid")), 0))
     open_ends = apart(written(components(links), "roots"))
     big = open_ends.where("big")
     if not big.isEmpty():
-        links = written(links.unionByName(likely_links(in_blocks(big, 1))), "links")
-        open_ends = apart(written(components(links), "roots"))
+        links = links.unionByName(likely_links(in_blocks(big, 1)))
+        stale, open_ends = open_ends, apart(written(components(links), "roots"))
+        discard(stale)
     # in leaves, the classes that have a candidate across components are compared on whole sets where they stand
     across = written(compared(open_ends.where("not big"), True, ratio), "across")
     found = whole_sets(across.select("cid").distinct(), classes, docs, span, id_col, text_col)
