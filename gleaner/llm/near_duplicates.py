@@ -49,6 +49,8 @@ from gleaner.llm.components import components
 from gleaner.llm.tokenization import arrow_rows
 
 TREES, DEPTH, LEAF = 16, 8, 100
+#: Levels at which the stages end: the first by itself, since most nodes end there, then some at a time.
+STAGES = (2, 5, DEPTH + 1)
 #: Of the sketch's bytes, how many must agree: 4.5 standard deviations below the threshold.
 ALIKE = 82
 #: Sets in each side of a tile, and shingles in them all together, on average at most.
@@ -84,24 +86,36 @@ def sets(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
 
 def leaves(classes: DataFrame) -> DataFrame:
     """(path, cid, count, big), written: the nodes in which trees end, of `count` classes, two or more; big ones are large at full depth."""
-    tokens = classes.select("cid", "tokens")
-    roots = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("tokens", t * DEPTH)).alias("path")))
-    rows = tokens.select("cid", F.explode(roots).alias("r")).select("cid", "r.*")
+    # paths from one level to another need no more than a class's tokens, so the levels of a stage are counted together
+    tokens, trees = classes.select("cid", "tokens"), F.sequence(F.lit(0), F.lit(TREES - 1))
+    step = lambda path, tree, level: F.xxhash64(path, F.get("tokens", tree * DEPTH + level - 1))
+    rows = tokens.select("cid", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), step(t, t, F.lit(1)).alias("path")))).alias("r"))
+    rows = rows.select("cid", "r.tree", F.lit(1).alias("level"), F.lit(None).cast("long").alias("above"), "r.path")
     ends, nodes = [], []
-    for level in range(1, DEPTH + 1):
-        # counts are a table of their own, so that in the join a large node may be split
-        counts = written(rows.groupBy("path").count().where("count > 1"), "counts")
-        live = written(rows.join(small(counts), "path"), "nodes")
-        discard(counts)
+    for first, last in zip((1, *STAGES), STAGES, strict=False):
+        # counts are a table of their own, so that in the join a large node may be split; where a node is large, the next level takes its place
+        counts = written(rows.groupBy("path", "level").agg(F.count("*").alias("count"), F.first("above").alias("above")).where("count > 1"), "counts")
+        goes_on = counts.where((F.col("count") > LEAF) & (F.col("level") < last - 1)).select(F.col("path").alias("above"))
+        tops = counts.where(F.col("level") == first)
+        below = counts.where(F.col("level") > first).join(goes_on, "above", "left_semi")
+        over = (F.col("count") <= LEAF) | (F.col("level") == last - 1)
+        wanted = tops if last - first == 1 else written(tops.unionByName(below).where(over), "counts")
+        live = written(rows.join(small(wanted.select("path", "count")), "path").select("path", "cid", "tree", "count"), "nodes")
+        discard(counts, wanted)
         nodes.append(live)
-        large = live.where(F.col("count") > LEAF)
-        if level == DEPTH:
-            ends.append(live.select("path", "cid", "count", (F.col("count") > LEAF).alias("big")))
+        large = F.col("count") > LEAF
+        if last > DEPTH:
+            ends.append(live.select("path", "cid", "count", large.alias("big")))
             break
-        ends.append(live.where(F.col("count") <= LEAF).select("path", "cid", "count", F.lit(False).alias("big")))
-        if large.isEmpty():
+        ends.append(live.where(~large).select("path", "cid", "count", F.lit(False).alias("big")))
+        if live.where(large).isEmpty():
             break
-        rows = large.join(tokens, "cid").select("cid", "tree", F.xxhash64("path", F.get("tokens", F.col("tree") * DEPTH + level)).alias("path"))
+        more = STAGES[STAGES.index(last) + 1]
+        rows = live.where(large).join(tokens, "cid")
+        for level in range(last, more):
+            rows = rows.withColumn(f"path{level}", step(F.col(f"path{level - 1}") if level > last else F.col("path"), F.col("tree"), F.lit(level)))
+        each = [F.struct(F.lit(level).alias("level"), F.col(f"path{level - 1}" if level > last else "path").alias("above"), F.col(f"path{level}").alias("path")) for level in range(last, more)]
+        rows = rows.select("cid", "tree", F.explode(F.array(*each)).alias("r")).select("cid", "tree", "r.level", "r.above", "r.path")
     out = ends[0]
     for e in ends[1:]:
         out = out.unionByName(e)

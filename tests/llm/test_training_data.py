@@ -741,3 +741,71 @@ def test_trees_of_blocks_stand_for_all_pairs():
     x, y, n = (np.array(c) for c in zip(*edges, strict=True))
     kept = passages.one_tree(x, y, n)
     assert sorted(n[kept].tolist()) == sorted(e[2] for e in passages.weighed(members))
+
+
+def _union(pairs):
+    to = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while to[x] != x:
+            x = to[x]
+        return x
+
+    for a, b in pairs:
+        p, q = sorted((top(a), top(b)))
+        to[q] = p
+    return {x: top(x) for x in to}
+
+
+def _jobs(spark, work):
+    """How many jobs of Spark work() runs, and what it gives."""
+    spark.sparkContext.setJobGroup(group := f"jobs-{id(work)}", "")
+    out = work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 0])
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch, at_once):
+    """A path, a star and random edges: one round whatever the shape where edges are few, the same components in rounds."""
+    from gleaner.llm import components as module
+
+    monkeypatch.setattr(module, "AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    pairs = [(k, k + 1) for k in range(100, 160)] + [(900, k) for k in range(901, 940)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2100, (60, 2))] + [(5, 5)]
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a long, b long")
+    jobs, got = _jobs(spark, lambda: {r.node: r.root for r in module.components(edges).collect()})
+    assert got == _union([(a, b) for a, b in pairs if a != b])
+    assert jobs <= 8 or not at_once
+    assert module.components(edges.where("a < 0")).collect() == []
+
+
+def test_levels_of_trees_are_counted_together(spark, monkeypatch):
+    """Leaves are those of trees that branch level by level; with nodes that are large to full depth, in few jobs."""
+    from gleaner.llm import near_duplicates as module
+
+    monkeypatch.setattr(module, "LEAF", 5)
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(0, 4, (400, module.TREES * module.DEPTH)).astype(int)
+    tokens[:60] = tokens[0]
+    tokens[200:240, ::3] = tokens[200, ::3]
+    classes = spark.createDataFrame([(k, t.tolist()) for k, t in enumerate(tokens)], "cid long, tokens array<int>").localCheckpoint()
+    wanted = set()
+    for tree in range(module.TREES):
+        nodes = [range(len(tokens))]
+        for level in range(1, module.DEPTH + 1):
+            parts = {}
+            for n, node in enumerate(nodes):
+                for cid in node:
+                    parts.setdefault((n, tokens[cid, tree * module.DEPTH + level - 1]), []).append(cid)
+            ended = [p for p in parts.values() if len(p) > 1 and (len(p) <= module.LEAF or level == module.DEPTH)]
+            wanted |= {(tree, frozenset(p), len(p) > module.LEAF) for p in ended}
+            nodes = [p for p in parts.values() if len(p) > module.LEAF]
+    jobs, rows = _jobs(spark, lambda: module.leaves(classes).collect())
+    got = {}
+    for r in rows:
+        got.setdefault((r["path"], r["count"], r["big"]), set()).add(r["cid"])
+    assert all(len(cids) == count for (_, count, _), cids in got.items())
+    assert sorted((sorted(c), big) for (_, _, big), c in got.items()) == sorted((sorted(c), big) for _, c, big in wanted)
+    assert jobs <= 30
