@@ -809,3 +809,14 @@ def test_levels_of_trees_are_counted_together(spark, monkeypatch):
     assert all(len(cids) == count for (_, count, _), cids in got.items())
     assert sorted((sorted(c), big) for (_, _, big), c in got.items()) == sorted((sorted(c), big) for _, c, big in wanted)
     assert jobs <= 30
+
+
+def test_candidates_take_along_whose_they_are(spark):
+    """A candidate's two sides meet in one join on its number; whose they are comes along with the words."""
+    words = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(7, words), (9, "before it " + words)], "doc_id long, text string")
+    classes = passages._texts(docs, "doc_id", "text").select(F.col("doc").alias("cid"), F.col("doc").alias("rep"), "h1", "h2")
+    met = spark.createDataFrame([(3, 9, 2, 60, 7, 0, 58)], "chain long, doc long, low int, high int, head long, head_low int, head_high int")
+    found = passages.verified(met, classes, docs, 0.8, 50, "doc_id", "text")
+    assert [tuple(r) for r in found.collect()] == [(9, 2, 82, 7, 0, 80)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3  # of texts on both sides, and of the two
