@@ -41,6 +41,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.llm import shingles
@@ -86,22 +87,22 @@ def sets(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
 
 def leaves(classes: DataFrame) -> DataFrame:
     """(path, cid, count, big), written: the nodes in which trees end, of `count` classes, two or more; big ones are large at full depth."""
-    # paths from one level to another need no more than a class's tokens, so the levels of a stage are counted together
+    # paths from one level to another need no more than a class's tokens, so a stage has one row for each class and tree, with the paths of all its levels
     tokens, trees = classes.select("cid", "tokens"), F.sequence(F.lit(0), F.lit(TREES - 1))
     step = lambda path, tree, level: F.xxhash64(path, F.get("tokens", tree * DEPTH + level - 1))
-    rows = tokens.select("cid", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), step(t, t, F.lit(1)).alias("path")))).alias("r"))
-    rows = rows.select("cid", "r.tree", F.lit(1).alias("level"), F.lit(None).cast("long").alias("above"), "r.path")
+    rows = tokens.select("cid", F.explode(F.transform(trees, lambda t: F.struct(t.alias("tree"), step(t, t, F.lit(1)).alias("path1")))).alias("r")).select("cid", "r.*")
     ends, nodes = [], []
     for first, last in zip((1, *STAGES), STAGES, strict=False):
-        # counts are a table of their own, so that in the join a large node may be split; where a node is large, the next level takes its place
-        counts = written(rows.groupBy("path", "level").agg(F.count("*").alias("count"), F.first("above").alias("above")).where("count > 1"), "counts")
-        goes_on = counts.where((F.col("count") > LEAF) & (F.col("level") < last - 1)).select(F.col("path").alias("above"))
-        tops = counts.where(F.col("level") == first)
-        below = counts.where(F.col("level") > first).join(goes_on, "above", "left_semi")
-        over = (F.col("count") <= LEAF) | (F.col("level") == last - 1)
-        wanted = tops if last - first == 1 else written(tops.unionByName(below).where(over), "counts")
-        live = written(rows.join(small(wanted.select("path", "count")), "path").select("path", "cid", "tree", "count"), "nodes")
-        discard(counts, wanted)
+        paths = [f"path{level}" for level in range(first, last)]
+        # counts are a table of their own, so that in the join a large node may be split; a node's count is the sum of those below it
+        sums = rows.groupBy(*paths).agg(F.count("*").alias(f"count{last - 1}"))
+        for k, level in enumerate(range(first, last - 1)):
+            sums = sums.withColumn(f"count{level}", F.sum(f"count{last - 1}").over(W.partitionBy(*paths[: k + 1])))
+        # a branch ends at the first level whose node is not large, or at the last one
+        over = lambda kind: F.coalesce(*[F.when(F.col(f"count{level}") <= LEAF, F.col(f"{kind}{level}")) for level in range(first, last - 1)], F.col(f"{kind}{last - 1}"))
+        wanted = written(sums.select(F.col(paths[-1]), over("path").alias("path"), over("count").alias("count")).where("count > 1"), "counts")
+        live = written(rows.join(small(wanted), paths[-1]).select("path", "cid", "tree", "count"), "nodes")
+        discard(wanted)
         nodes.append(live)
         large = F.col("count") > LEAF
         if last > DEPTH:
@@ -110,12 +111,10 @@ def leaves(classes: DataFrame) -> DataFrame:
         ends.append(live.where(~large).select("path", "cid", "count", F.lit(False).alias("big")))
         if live.where(large).isEmpty():
             break
-        more = STAGES[STAGES.index(last) + 1]
-        rows = live.where(large).join(tokens, "cid")
-        for level in range(last, more):
-            rows = rows.withColumn(f"path{level}", step(F.col(f"path{level - 1}") if level > last else F.col("path"), F.col("tree"), F.lit(level)))
-        each = [F.struct(F.lit(level).alias("level"), F.col(f"path{level - 1}" if level > last else "path").alias("above"), F.col(f"path{level}").alias("path")) for level in range(last, more)]
-        rows = rows.select("cid", "tree", F.explode(F.array(*each)).alias("r")).select("cid", "tree", "r.level", "r.above", "r.path")
+        rows = live.where(large).join(tokens, "cid").withColumnRenamed("path", f"path{last - 1}")
+        for level in range(last, STAGES[STAGES.index(last) + 1]):
+            rows = rows.withColumn(f"path{level}", step(F.col(f"path{level - 1}"), F.col("tree"), F.lit(level)))
+        rows = rows.drop(f"path{last - 1}", "tokens", "count")
     out = ends[0]
     for e in ends[1:]:
         out = out.unionByName(e)

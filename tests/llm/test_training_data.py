@@ -811,6 +811,18 @@ def test_levels_of_trees_are_counted_together(spark, monkeypatch):
     assert jobs <= 30
 
 
+def test_levels_of_a_stage_make_no_rows_each(spark, monkeypatch):
+    """A large group of copies has one row for each class and tree in a stage, however many levels the stage has."""
+    plans, write = [], near_duplicates.written
+    monkeypatch.setattr(near_duplicates, "LEAF", 5)
+    monkeypatch.setattr(near_duplicates, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, label))
+    classes = spark.createDataFrame([(k, [1] * (near_duplicates.TREES * near_duplicates.DEPTH)) for k in range(30)], "cid long, tokens array<int>").localCheckpoint()
+    rows = near_duplicates.leaves(classes).collect()
+    assert len(rows) == 30 * near_duplicates.TREES and all(r["count"] == 30 and r.big for r in rows)
+    # the trees alone are exploded: where the first stage is counted and where its rows are dealt out
+    assert sum("Generate" in p for p in plans) == 2
+
+
 def test_candidates_take_along_whose_they_are(spark):
     """A candidate's two sides meet in one join on its number; whose they are comes along with the words."""
     words = " ".join(f"w{k}" for k in range(80))
