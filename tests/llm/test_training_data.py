@@ -832,3 +832,18 @@ def test_candidates_take_along_whose_they_are(spark):
     found = passages.verified(met, classes, docs, 0.8, 50, "doc_id", "text")
     assert [tuple(r) for r in found.collect()] == [(9, 2, 82, 7, 0, 80)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3  # of texts on both sides, and of the two
+
+
+def test_stretches_of_a_text_share_its_rows(spark, monkeypatch):
+    """Candidates of one document, numbered in many partitions, cost a row with its text for each CUTS of them, and none is lost."""
+    tables, write = [], passages.written
+    monkeypatch.setattr(passages, "written", lambda df, label: tables.append((label, write(df, label))) or tables[-1][1])
+    words = " ".join(f"w{k}" for k in range(80))
+    docs = spark.createDataFrame([(7, words), (9, "before it " + words)], "doc_id long, text string")
+    classes = passages._texts(docs, "doc_id", "text").select(F.col("doc").alias("cid"), F.col("doc").alias("rep"), "h1", "h2")
+    met = spark.createDataFrame([(k << 33, 9, 2, 60, 7, 0, 58) for k in range(100)], "chain long, doc long, low int, high int, head long, head_low int, head_high int")
+    found = passages.verified(met, classes, docs, 0.8, 50, "doc_id", "text")
+    assert [tuple(r) for r in found.collect()] == [(9, 2, 82, 7, 0, 80)]
+    cuts = [t.select("rep", F.explode("cuts.chain").alias("chain")) for label, t in tables if label == "cuts"]
+    assert [sorted(r.chain for r in t.collect()) for t in cuts] == [[k << 33 for k in range(100)]] * 2
+    assert [t.count() for label, t in tables if label == "cuts"] == [2, 2]
